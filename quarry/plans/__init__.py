@@ -5,4 +5,5 @@ from .registry import ORACLES, QUERIES  # noqa: F401
 
 def load_all() -> None:
     """Import every query module so its queries register."""
-    from . import eda_queries, linear_queries, model_queries, prep_queries, stats_queries  # noqa: F401
+    from . import (eda_queries, learner_queries, linear_queries, model_queries, prep_queries,  # noqa: F401
+                   stats_queries)

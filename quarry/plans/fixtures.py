@@ -59,3 +59,17 @@ def ev_dup(spark, sf) -> DataFrame:
 # planted regression targets on lineitem (coefficients known)
 LIN_TARGET = "(3*l_quantity - 40*l_discount + l_linenumber + ((l_partkey % 13) - 6) / 10.0)"
 INTER_TARGET = "(2*l_quantity + 5*l_tax + 0.5*l_quantity*l_linenumber + ((l_partkey % 13) - 6) / 10.0)"
+
+
+# planted targets on events (key event_id): a known signal for the learners
+EV_Y = ("(2 * value + 0.05 * user_id + CASE WHEN event_type = 'purchase' THEN 30.0 ELSE 0.0 END"
+        " + ((event_id % 13) - 6) / 10.0)")
+EV_CLS2 = f"CASE WHEN {EV_Y} > 100 THEN 'high' ELSE 'low' END"
+EV_CLS3 = f"CASE WHEN {EV_Y} < 70 THEN 'a_low' WHEN {EV_Y} < 130 THEN 'b_mid' ELSE 'c_high' END"
+
+
+def ev_learn(spark, sf) -> DataFrame:
+    """events + planted regression, binary and 3-class targets."""
+    return t(spark, sf, "events").select(
+        "event_id", "value", "user_id", "event_type", F.expr(EV_Y).alias("y"),
+        F.expr(EV_CLS2).alias("y2"), F.expr(EV_CLS3).alias("y3"))
