@@ -3,8 +3,9 @@
 Two strategies, chosen per key from one statistics pass:
 
 * **map** -- Spark's exact ``percentile`` aggregate.  It keeps a
-  value -> count map per group, so it is only used where the number of
-  distinct values is known (``approx_count_distinct``) to be small.
+  value -> count map per group (merged in one task), so it is only used
+  where the number of distinct values is known (``approx_count_distinct``)
+  to be small.
 * **refine** -- for keys with many distinct values: equal-width
   histograms over the current value interval of each wanted order
   statistic, narrowed pass by pass (``bins`` per pass), until the
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from .roles import col
 
-MAP_DISTINCT_LIMIT = 1_000_000
+MAP_DISTINCT_LIMIT = 10_000
 COLLECT_LIMIT = 100_000
 BINS = 1024
 
@@ -101,7 +102,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
 
 def _refine(lv: DataFrame, keys: list[str], big, probs, collect_limit, bins) -> dict:
     spark = lv.sparkSession
-    # targets: one per (key, order statistic)
+    key_is_tuple = len(keys) == 2
     targets = {}
     wanted = {}
     for key, r in big:
@@ -116,64 +117,69 @@ def _refine(lv: DataFrame, keys: list[str], big, probs, collect_limit, bins) ->
             for rk in (lo_r, hi_r):
                 targets.setdefault((key, rk), {"lo": float(r["lo"]), "hi": float(r["hi"]),
                                                "below": 0, "cnt": n, "val": None})
-    tlist = list(targets.keys())
-    tid_of = {t: i for i, t in enumerate(tlist)}
-    key_is_tuple = len(keys) == 2
     for _ in range(64):
-        open_t = [t for t in tlist if targets[t]["val"] is None]
+        open_t = [t for t in targets if targets[t]["val"] is None]
         if not open_t:
             break
-        small = [t for t in open_t if targets[t]["cnt"] <= collect_limit]
-        large = [t for t in open_t if targets[t]["cnt"] > collect_limit]
-        rows = []
-        for t in small + large:
+        # targets sharing a value interval share one histogram / fetch
+        intervals: dict = {}
+        for t in open_t:
             st = targets[t]
-            key = t[0]
+            fetch = 1 if st["cnt"] <= collect_limit else 0
+            intervals.setdefault((t[0], st["lo"], st["hi"], fetch), []).append(t)
+        rows = []
+        iv_list = list(intervals.keys())
+        for iid, (key, lo, hi, fetch) in enumerate(iv_list):
             kv = list(key) if key_is_tuple else [key]
-            rows.append((tid_of[t], *kv, st["lo"], st["hi"], 1 if t in small else 0))
-        schema = T.StructType([T.StructField("tid", T.IntegerType())] +
+            rows.append((iid, *kv, lo, hi, fetch))
+        schema = T.StructType([T.StructField("iid", T.IntegerType())] +
                               [T.StructField("cid", T.IntegerType())] +
                               ([T.StructField("g", lv.schema["g"].dataType)] if key_is_tuple else []) +
                               [T.StructField("tlo", T.DoubleType()), T.StructField("thi", T.DoubleType()),
                                T.StructField("fetch", T.IntegerType())])
-        # one row per open target: size bounded by (#columns x #probs x 2)
+        # one row per open interval: bounded by (#columns x #probs x 2)
         tdf = F.broadcast(spark.createDataFrame(rows, schema))
         hits = lv.join(tdf, on=keys).where((F.col("v") >= F.col("tlo")) & (F.col("v") <= F.col("thi")))
-        if small:
-            got = (hits.where(F.col("fetch") == 1).groupBy("tid", "v").count().collect())
+        fetch_ids = [i for i, iv in enumerate(iv_list) if iv[3] == 1]
+        hist_ids = [i for i, iv in enumerate(iv_list) if iv[3] == 0]
+        if fetch_ids:
+            got = hits.where(F.col("fetch") == 1).groupBy("iid", "v").count().collect()
             per: dict = {}
             for r in got:
-                per.setdefault(r["tid"], []).append((r["v"], r["count"]))
-            for t in small:
-                vals = sorted(per.get(tid_of[t], []))
-                need = t[1] - targets[t]["below"]
-                acc = 0
-                for v, c in vals:
-                    acc += c
-                    if acc > need:
-                        targets[t]["val"] = v
-                        break
-        if large:
+                per.setdefault(r["iid"], []).append((r["v"], r["count"]))
+            for iid in fetch_ids:
+                vals = sorted(per.get(iid, []))
+                for t in intervals[iv_list[iid]]:
+                    need = t[1] - targets[t]["below"]
+                    acc = 0
+                    for v, c in vals:
+                        acc += c
+                        if acc > need:
+                            targets[t]["val"] = v
+                            break
+        if hist_ids:
             width = F.col("thi") - F.col("tlo")
             b = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("tlo")) / width * bins),
                                           F.lit(bins - 1))).otherwise(0).cast("int")
-            hist = (hits.where(F.col("fetch") == 0).groupBy("tid", b.alias("bin"))
+            hist = (hits.where(F.col("fetch") == 0).groupBy("iid", b.alias("bin"))
                     .agg(F.count("v").alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
                     .collect())
             per = {}
             for r in hist:
-                per.setdefault(r["tid"], []).append((r["bin"], r["c"], r["mn"], r["mx"]))
-            for t in large:
-                st = targets[t]
-                need = t[1] - st["below"]
-                acc = 0
-                for _, c, mn, mx in sorted(per.get(tid_of[t], [])):
-                    if acc + c > need:
-                        st["lo"], st["hi"], st["below"], st["cnt"] = mn, mx, st["below"] + acc, c
-                        if mn == mx:
-                            st["val"] = mn
-                        break
-                    acc += c
+                per.setdefault(r["iid"], []).append((r["bin"], r["c"], r["mn"], r["mx"]))
+            for iid in hist_ids:
+                hs = sorted(per.get(iid, []))
+                for t in intervals[iv_list[iid]]:
+                    st = targets[t]
+                    need = t[1] - st["below"]
+                    acc = 0
+                    for _, c, mn, mx in hs:
+                        if acc + c > need:
+                            st["lo"], st["hi"], st["below"], st["cnt"] = mn, mx, st["below"] + acc, c
+                            if mn == mx:
+                                st["val"] = mn
+                            break
+                        acc += c
     out = {}
     for key, ranks in wanted.items():
         vals = []

@@ -428,10 +428,11 @@ def clara(df: DataFrame, features: list[str], k: int = 3, samples: int = 5, samp
     cat = [f for f in features if f not in ranges]
     size = sample_size or (40 + 2 * k)
     data = df.select(*[col(f) for f in features])
-    # each sample: the rows with the smallest seeded hash (top-k, bounded per task)
+    # each sample: the rows with the smallest seeded hash of their values (top-k, bounded
+    # per task); equal rows hash alike, so the sample does not depend on row order
     parts = []
     for s in range(samples):
-        h = F.xxhash64(*[col(f) for f in features], F.monotonically_increasing_id(), F.lit(seed + s))
+        h = F.xxhash64(*[col(f) for f in features], F.lit(seed + s))
         parts.append(data.withColumn("__h", h).orderBy("__h").limit(size).drop("__h").withColumn("__s", F.lit(s)))
     smp = parts[0]
     for p in parts[1:]:

@@ -173,12 +173,13 @@ def shapiro_wilk(df: DataFrame, cols: list[str], max_n: int = 5000, seed: int =
     """Above ``max_n`` values a seeded hash sample of ``max_n`` is tested."""
     structs = [F.struct(F.lit(c).alias("variable"), _num(df, c).alias("v")) for c in cols]
     lv = df.select(F.inline(F.array(*structs))).where("v IS NOT NULL")
-    lv = lv.withColumn("__h", F.xxhash64(F.col("variable"), F.col("v"), F.monotonically_increasing_id(),
-                                         F.lit(seed)))
+    # hash of the value only: equal values are interchangeable, so the sampled
+    # multiset does not depend on row order or partitioning
+    lv = lv.withColumn("__h", F.xxhash64(F.col("variable"), F.col("v"), F.lit(seed)))
     parts = []
     for c in cols:
         # top-k by hash: each task keeps at most max_n rows
-        parts.append(lv.where(F.col("variable") == c).orderBy("__h").limit(max_n))
+        parts.append(lv.where(F.col("variable") == c).orderBy("__h", "v").limit(max_n))
     sample = parts[0]
     for p in parts[1:]:
         sample = sample.unionByName(p)

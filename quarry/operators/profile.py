@@ -302,22 +302,20 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, method: str
 
 
 def average_ranks(df: DataFrame, cols: list[str], pairwise: bool = False) -> DataFrame:
-    """Replace each column by its average rank (1-based), computed per column.
+    """Replace each column by its average rank (1-based; ties share the mean rank).
 
-    Ranks come from counts per distinct value and running sums over the
-    values in order, bucketed by value range so no window spans all rows.
+    Ranks are computed per column over its distinct values (counts, then
+    running sums by blocks) and joined back on the value itself, so no
+    row id is needed.
     """
     if pairwise:
         raise ValueError("Spearman with pairwise deletion is not supported; use complete rows")
-    # row id: unique and stable for a deterministic scan
-    base = df.withColumn("__rid", F.monotonically_increasing_id())
-    out = base.select("__rid")
-    for c in cols:
-        vc = base.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("c"))
-        ranked = _value_ranks(vc)
-        out = out.join(base.select("__rid", col(c).alias("v")).join(ranked, "v").select(
-            "__rid", F.col("rank").alias(c)), "__rid")
-    return out.drop("__rid")
+    out = df.select(*[col(c) for c in cols])
+    for i, c in enumerate(cols):
+        vc = df.groupBy(col(c).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+        ranked = _value_ranks(vc).withColumnRenamed("v", f"__v{i}").withColumnRenamed("rank", f"__r{i}")
+        out = out.join(ranked, out[c] == ranked[f"__v{i}"]).drop(c, f"__v{i}").withColumnRenamed(f"__r{i}", c)
+    return out.select(*[col(c) for c in cols])
 
 
 def _value_ranks(vc: DataFrame) -> DataFrame:

@@ -18,7 +18,21 @@ _FORMATS = {".csv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json"
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given test tables: ``<sf_dir>/<name>.parquet``."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give a scan at least ``defaultParallelism`` partitions.
+
+    A parquet file with one row group is read by one task, whatever
+    ``maxPartitionBytes`` says; the per-row work of the first stage would
+    then run on one core.  Large inputs (many files / row groups) already
+    have enough splits and are left alone -- no extra shuffle at scale.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want)
+    return df
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",",

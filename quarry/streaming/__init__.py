@@ -1 +1 @@
-"""quarry.streaming."""
+"""quarry.streaming: fitted transforms on streaming DataFrames."""
