@@ -329,3 +329,25 @@ def s5_structure(spark, sf):
 def s4_preview(spark, sf):
     from ..sources.tables import preview
     return preview(fx.t(spark, sf, "orders"), 100, ["o_orderkey"])
+
+
+@register("e21_auto_eda_bundle")
+def e21_auto_eda(spark, sf):
+    return P.auto_eda(fx.ords(spark, sf))
+
+
+@register("e22_insights")
+def e22_insights(spark, sf):
+    return P.insights(fx.ords(spark, sf))
+
+
+@register("s1_s3_s8_csv_roundtrip", f"SELECT * FROM {fx.ORD_SQL} AS s")
+def s1_csv_roundtrip(spark, sf):
+    import os
+    from ..session import ensure_checkpoint_dir
+    from ..sources.tables import load, write_predictions
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    path = os.path.join(base, f"csv_roundtrip_{os.getpid()}_{abs(hash(sf)) % 10**8}")
+    df = fx.ords(spark, sf)
+    write_predictions(df, path, "csv", sep=";")
+    return load(spark, path, fmt="csv", sep=";", schema=df.schema)

@@ -167,3 +167,71 @@ def r16_scale_location(spark, sf):
     df = inter_frame(spark, sf)
     fit = L.fit_ols(df, INTER_F)
     return rounded(L.scale_location(df, fit), 6)
+
+
+# ---- residual and interaction plot data (R11, R12, R23-R26) -----------------
+
+from ..operators import interactions as I  # noqa: E402
+
+
+@register("r11_residual_points", rsql(_ols1_sql(LIN_SQL) + f"""
+SELECT l_orderkey, l_linenumber, y AS actual, a + b * x AS predicted, y - (a + b * x) AS residual
+FROM {LIN_SQL} AS d, r""", ["actual", "predicted", "residual"], 4))
+def r11_points(spark, sf):
+    df = lin_frame(spark, sf)
+    fit = L.fit_ols(df, "y ~ x")
+    return rounded(I.residual_points(df, fit, keep=["l_orderkey", "l_linenumber"]), 4)
+
+
+@register("r12_residual_histogram", rsql(_ols1_sql(LIN_SQL) + f"""
+, e AS (SELECT y - (a + b * x) AS e FROM {LIN_SQL} AS d, r),
+m AS (SELECT min(e) AS lo, max(e) AS hi FROM e),
+c AS (SELECT CAST(least(floor((e - lo) / ((hi - lo) / 30)), 29) AS INTEGER) AS bin, count(*) AS n FROM e, m GROUP BY 1)
+SELECT CAST(g.range AS INTEGER) AS bin, lo + g.range * ((hi - lo) / 30) AS lower,
+  lo + (g.range + 1) * ((hi - lo) / 30) AS upper, coalesce(c.n, 0) AS count
+FROM range(30) AS g, m LEFT JOIN c ON c.bin = g.range""", ["lower", "upper"], 3))
+def r12_histogram(spark, sf):
+    df = lin_frame(spark, sf)
+    fit = L.fit_ols(df, "y ~ x")
+    return rounded(I.residual_histogram(df, fit), 3)
+
+
+@register("r12_residual_qq")
+def r12_qq(spark, sf):
+    df = lin_frame(spark, sf)
+    fit = L.fit_ols(df, "y ~ x")
+    return rounded(I.residual_qq(df, fit), 6)
+
+
+@register("r23_interaction_grid_numeric")
+def r23_grid(spark, sf):
+    df = inter_frame(spark, sf)
+    fit = L.fit_ols(df, INTER_F)
+    return rounded(I.interaction_grid(df, fit, "l_quantity", "l_linenumber"), 6)
+
+
+def _cat_inter_frame(spark, sf):
+    return fx.t(spark, sf, "lineitem").select("l_quantity", "l_returnflag", "l_linestatus",
+                                               F.expr(fx.INTER_TARGET).alias("y"))
+
+
+@register("r24_interaction_grid_numeric_by_level")
+def r24_grid(spark, sf):
+    df = _cat_inter_frame(spark, sf)
+    fit = L.fit_ols(df, "y ~ l_quantity * l_returnflag + l_linestatus")
+    return rounded(I.interaction_grid(df, fit, "l_quantity", "l_returnflag"), 6)
+
+
+@register("r25_interaction_grid_level_pairs")
+def r25_grid(spark, sf):
+    df = _cat_inter_frame(spark, sf)
+    fit = L.fit_ols(df, "y ~ l_returnflag * l_linestatus + l_quantity")
+    return rounded(I.interaction_grid(df, fit, "l_returnflag", "l_linestatus"), 6)
+
+
+@register("r26_interaction_lines_and_refit")
+def r26_lines(spark, sf):
+    df = inter_frame(spark, sf)
+    fit, table = I.interaction_refit(df, "y", ["l_quantity", "l_linenumber", "l_tax"], ["l_quantity", "l_linenumber"])
+    lines = I.interaction_lines(df, fit, "l_quantity", "l_linenumber")
+    return rounded(lines, 6)

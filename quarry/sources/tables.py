@@ -86,11 +86,13 @@ def structure(df: DataFrame) -> DataFrame:
         rows, "variable string, position int, type string, spark_type string, n_rows long, n_cols long")
 
 
-def write_predictions(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> str:
+def write_predictions(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite",
+                      sep: str = ",") -> str:
     """Predictions as CSV with a header (a directory of part files), or parquet."""
     w = df.write.mode(mode)
     if fmt == "csv":
-        w.option("header", "true").csv(path)
+        # missing written as NA, as R's write.csv does
+        w.option("header", "true").option("nullValue", "NA").option("sep", sep).csv(path)
     else:
         w.format(fmt).save(path)
     return path
