@@ -143,3 +143,16 @@ def k15_counts(spark, sf):
 @register("p14_drop_noise_rows", rsql(f"SELECT * FROM {CL_SQL} AS s WHERE cluster <> 0", ["x", "y"]))
 def p14_drop_noise(spark, sf):
     return rounded(drop_noise(cl_frame(spark, sf)))
+
+
+# DBSCAN fixture: the planted clusters, with every 97th event moved away by value * 10 (noise)
+DB_X = f"({CL_X} + CASE WHEN event_id % 97 = 0 THEN value * 10 ELSE 0.0 END)"
+DB_Y = f"({CL_Y} + CASE WHEN event_id % 97 = 0 THEN value * 10 ELSE 0.0 END)"
+
+
+@register("k5_dbscan_grid")
+def k5_dbscan(spark, sf):
+    from ..operators.dbscan import dbscan
+    df = fx.t(spark, sf, "events").select("event_id", F.expr(DB_X).alias("x"), F.expr(DB_Y).alias("y"))
+    lab = dbscan(df, ["x", "y"], eps=0.5, min_pts=5)
+    return lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
