@@ -117,8 +117,9 @@ def _fit_regressor(t: Trained, data: DataFrame, seed: int) -> Trained:
         root_var = a.agg(F.var_pop("label")).collect()[0][0] or 0.0
         est = DecisionTreeRegressor(maxDepth=p["depth"], minInfoGain=p["cp"] * root_var, seed=seed)
     elif t.algo == "rf":
+        # R grows full trees (node size 5 for regression); Spark's depth limit is set high
         est = RandomForestRegressor(numTrees=p["trees"], featureSubsetStrategy=str(min(p["mtry"], len(d.names))),
-                                    seed=seed)
+                                    maxDepth=p.get("max_depth", 15), minInstancesPerNode=5, seed=seed)
     elif t.algo == "gbm":
         est = GBTRegressor(maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["shrinkage"], seed=seed)
     else:
@@ -140,7 +141,8 @@ def _fit_classifier(t: Trained, data: DataFrame, seed: int) -> Trained:
     elif t.algo == "tree":
         est = DecisionTreeClassifier(maxDepth=p["depth"], minInfoGain=p["cp"] * 0.5, seed=seed)
     elif t.algo == "rf":
-        est = RandomForestClassifier(numTrees=p["trees"], seed=seed,
+        est = RandomForestClassifier(numTrees=p["trees"], seed=seed, maxDepth=p.get("max_depth", 15),
+                                     minInstancesPerNode=1,
                                      featureSubsetStrategy=str(min(p["mtry"], len(d.names))))
     elif t.algo == "gbm":
         g = GBTClassifier(maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["shrinkage"], seed=seed)

@@ -156,3 +156,26 @@ def k5_dbscan(spark, sf):
     df = fx.t(spark, sf, "events").select("event_id", F.expr(DB_X).alias("x"), F.expr(DB_Y).alias("y"))
     lab = dbscan(df, ["x", "y"], eps=0.5, min_pts=5)
     return lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+
+
+# two features: the eigenvectors of a 2 x 2 covariance matrix have a closed form
+PCA_SQL = f"""
+WITH d AS (SELECT event_id, x, y FROM {CL_SQL} AS s),
+m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM d),
+e AS (SELECT *, (a + c) / 2 + sqrt(power((a - c) / 2, 2) + b * b) AS l1,
+              (a + c) / 2 - sqrt(power((a - c) / 2, 2) + b * b) AS l2 FROM m),
+v AS (SELECT *, b / sqrt(b * b + power(l1 - a, 2)) AS v1x, (l1 - a) / sqrt(b * b + power(l1 - a, 2)) AS v1y,
+              b / sqrt(b * b + power(l2 - a, 2)) AS v2x, (l2 - a) / sqrt(b * b + power(l2 - a, 2)) AS v2y FROM e),
+s AS (SELECT *, CASE WHEN (abs(v1x) >= abs(v1y) AND v1x < 0) OR (abs(v1y) > abs(v1x) AND v1y < 0)
+                     THEN -1 ELSE 1 END AS s1,
+               CASE WHEN (abs(v2x) >= abs(v2y) AND v2x < 0) OR (abs(v2y) > abs(v2x) AND v2y < 0)
+                     THEN -1 ELSE 1 END AS s2 FROM v)
+SELECT event_id, s1 * ((x - mx) * v1x + (y - my) * v1y) AS PC1, s2 * ((x - mx) * v2x + (y - my) * v2y) AS PC2
+FROM d, s"""
+
+
+@register("k13_pca_scores_closed_form", rsql(PCA_SQL, ["PC1", "PC2"], 6))
+def k13_pca_closed(spark, sf):
+    df = cl_frame(spark, sf)
+    fit = K.pca(df, ["x", "y"])
+    return rounded(K.pca_scores(df, fit, keep=["event_id"]), 6)

@@ -235,3 +235,16 @@ def r26_lines(spark, sf):
     fit, table = I.interaction_refit(df, "y", ["l_quantity", "l_linenumber", "l_tax"], ["l_quantity", "l_linenumber"])
     lines = I.interaction_lines(df, fit, "l_quantity", "l_linenumber")
     return rounded(lines, 6)
+
+
+@register("f5_f7_fit_statistics_one_feature", rsql(_ols1_sql(LIN_SQL) + """
+, f AS (SELECT *, syy - b * sxy AS rss FROM r)
+SELECT 1 - rss / syy AS r2, 1 - (rss / syy) * (n - 1) / (n - 1 - 1) AS adj_r2,
+  n * (ln(2 * pi()) + ln(rss / n) + 1) + 2 * (2 + 1) AS aic,
+  n * (ln(2 * pi()) + ln(rss / n) + 1) + ln(n) * (2 + 1) AS bic, sqrt(rss / (n - 2)) AS sigma FROM f""",
+                                                   ["r2", "adj_r2", "aic", "bic", "sigma"], 4))
+def f5_f7_one(spark, sf):
+    fit = L.fit_ols(lin_frame(spark, sf), "y ~ x")
+    s = L.fit_summary(fit)
+    return rounded(spark.createDataFrame([tuple(float(s[k]) for k in ("r2", "adj_r2", "aic", "bic", "sigma"))],
+                                         "r2 double, adj_r2 double, aic double, bic double, sigma double"), 4)

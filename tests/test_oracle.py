@@ -6,7 +6,7 @@ import __spark_entry__ as E
 from oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("c4_", "r6_", "r8_", "a3_", "a7_", "a8_", "k11_", "x2_")
+SLOW = ("c4_", "r6_", "r8_", "a3_", "a7_", "a8_", "k11_", "x2_", "k5_", "e21_")
 
 
 @pytest.fixture(scope="module")
