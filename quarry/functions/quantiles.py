@@ -51,20 +51,26 @@ def _keycols(by):
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
               map_distinct_limit: int = MAP_DISTINCT_LIMIT,
-              collect_limit: int = COLLECT_LIMIT, bins: int = BINS) -> dict:
+              collect_limit: int = COLLECT_LIMIT, bins: int = BINS, stats: dict | None = None) -> dict:
     """Return {col: [q(p) ...]} or {(col, group): [...]} when ``by`` is given.
 
-    Missing where a key has no values.
+    Missing where a key has no values.  ``stats`` ({col: {n, lo, hi, nd}},
+    ungrouped only) saves the statistics pass when the caller already
+    aggregated the columns.
     """
     if not cols:
         return {}
     probs = [float(p) for p in probs]
     lv = long_values(df, cols, by)
     keys = _keycols(by)
-    stats = (lv.groupBy(*keys)
-             .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                  F.approx_count_distinct("v").alias("nd"))
-             .collect())
+    if stats is not None and by is None:
+        stats = [{"cid": i, "n": stats[c]["n"], "lo": stats[c]["lo"], "hi": stats[c]["hi"], "nd": stats[c]["nd"]}
+                 for i, c in enumerate(cols) if stats[c]["n"]]
+    else:
+        stats = (lv.groupBy(*keys)
+                 .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                      F.approx_count_distinct("v").alias("nd"))
+                 .collect())
     out: dict = {}
     small, big = [], []
     for r in stats:

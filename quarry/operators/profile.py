@@ -59,12 +59,14 @@ def moment_stats(df: DataFrame, cols: list[str]) -> dict:
                  moments.sample_skewness(x).alias(f"skew{i}"),
                  moments.sample_kurtosis(x).alias(f"kurt{i}"),
                  F.skewness(x).alias(f"pskew{i}"), F.kurtosis(x).alias(f"pkurt{i}"),
-                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}")]
+                 F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
+                 F.approx_count_distinct(x).alias(f"nd{i}")]
     r = df.agg(*aggs).collect()[0]
     out = {"__rows": r["__rows"]}
     for i, c in enumerate(cols):
         out[c] = {k: r[f"{k}{i}"] for k in
-                  ("n", "mean", "sd", "var", "skew", "kurt", "pskew", "pkurt", "min", "max")}
+                  ("n", "mean", "sd", "var", "skew", "kurt", "pskew", "pkurt", "min", "max", "nd")}
+        out[c]["lo"], out[c]["hi"] = out[c]["min"], out[c]["max"]
         out[c]["missing"] = r["__rows"] - r[f"n{i}"]
     return out
 
@@ -73,7 +75,8 @@ def describe(df: DataFrame, cols: list[str] | None = None, extended: bool = True
     """Descriptive statistics per numeric column (long form)."""
     num = cols if cols is not None else roles(df)[0]
     st = moment_stats(df, num)
-    qs = quantiles(df, num, [0.25, 0.5, 0.75])
+    # the moment pass also gave n, min, max and distinct estimates: no extra statistics pass
+    qs = quantiles(df, num, [0.25, 0.5, 0.75], stats={c: st[c] for c in num})
     rows = []
     n_rows = st["__rows"]
     for c in num:
