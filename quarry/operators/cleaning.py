@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,11 +155,10 @@ def remove_duplicates(df: DataFrame, subset: list[str] | str = "all",
     """Keep the first row of each group of duplicates.
 
     All columns: ``dropDuplicates`` (identical rows, any is "first").
-    Subset: the first row in ``order_by`` order per subset key, by
-    ``row_number`` over the key (a plain ``dropDuplicates(subset)`` keeps an
-    arbitrary row).  A key holding a third of all rows would sit in one
-    task, so that case first reduces each key to its minimum order value
-    with a partial aggregate, then joins back.
+    Subset: the first row in ``order_by`` order per subset key (a plain
+    ``dropDuplicates(subset)`` keeps an arbitrary row).  Each key is reduced
+    to its minimum order value by a partial aggregate and joined back, so a
+    key holding a third of all rows never sits whole in one window task.
     """
     if subset == "all" or subset is None:
         return df.dropDuplicates()
@@ -168,15 +167,13 @@ def remove_duplicates(df: DataFrame, subset: list[str] | str = "all",
         raise ValueError("No valid columns specified for dedup.")
     if not order_by:
         raise ValueError("remove_duplicates on a subset needs an order key (first in row order)")
-    if len(order_by) == 1:
-        # min of the order key per group: partial aggregation, no big group in one task
-        first = df.groupBy(*[col(c).alias(f"__k{i}") for i, c in enumerate(valid)]) \
-            .agg(F.min(col(order_by[0])).alias("__first"))
-        # missing keys are equal to each other, as in duplicated()
-        cond = [df[c].eqNullSafe(first[f"__k{i}"]) for i, c in enumerate(valid)]
-        keyed = df.join(first, on=cond, how="inner")
-        return (keyed.where(col(order_by[0]) == F.col("__first"))
-                .drop("__first", *[f"__k{i}" for i in range(len(valid))])
-                .dropDuplicates([*valid, order_by[0]]))
-    w = Window.partitionBy(*[col(c) for c in valid]).orderBy(*[col(c) for c in order_by])
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    # min of the order key per group: partial aggregation, no big group in one task
+    okey = F.struct(*[col(c) for c in order_by])
+    first = df.groupBy(*[col(c).alias(f"__k{i}") for i, c in enumerate(valid)]) \
+        .agg(F.min(okey).alias("__first"))
+    # missing keys are equal to each other, as in duplicated()
+    cond = [df[c].eqNullSafe(first[f"__k{i}"]) for i, c in enumerate(valid)]
+    keyed = df.join(first, on=cond, how="inner")
+    return (keyed.where(okey == F.col("__first"))
+            .drop("__first", *[f"__k{i}" for i in range(len(valid))])
+            .dropDuplicates([*valid, *order_by]))

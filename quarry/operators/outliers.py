@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
@@ -86,10 +86,9 @@ def near_zero_variance(df: DataFrame, freq_cut: float = 95 / 5, unique_cut: floa
     (0 if one value); percent_unique = 100 * distinct / rows; zero_var =
     one distinct value or all missing; nzv = (freq_ratio > freq_cut and
     percent_unique <= unique_cut) or zero_var.  Long form -> counts per
-    value -> top two per column by a window over (column): distributed.
+    value -> the two largest counts per column by a bounded top-k.
     """
     cols = df.columns
-    n = F.lit(None)
     structs = [F.struct(F.lit(c).alias("variable"),
                         (_num(df, c).cast("string") if c in roles(df)[0] else col(c).cast("string")).alias("v"))
                for c in cols]
@@ -97,12 +96,13 @@ def near_zero_variance(df: DataFrame, freq_cut: float = 95 / 5, unique_cut: floa
     counts = lv.groupBy("variable", "v").agg(F.count(F.lit(1)).alias("c"))
     rows = counts.groupBy("variable").agg(F.sum("c").alias("rows"))
     present = counts.where(F.col("v").isNotNull())
-    w = Window.partitionBy("variable").orderBy(F.desc("c"), "v")
-    top = (present.withColumn("rk", F.row_number().over(w)).where("rk <= 2")
-           .groupBy("variable").agg(F.max(F.when(F.col("rk") == 1, F.col("c"))).alias("c1"),
-                                    F.max(F.when(F.col("rk") == 2, F.col("c"))).alias("c2")))
+    # the two largest counts per column, by a bounded top-k per column (no window over all values)
+    from .profile import _top_per_variable
+    top2 = _top_per_variable(present.select("variable", F.col("v").alias("value"), F.col("c").alias("count")),
+                             cols, 2)
+    top = top2.groupBy("variable").agg(F.max(F.when(F.col("rank") == 1, F.col("count"))).alias("c1"),
+                                       F.max(F.when(F.col("rank") == 2, F.col("count"))).alias("c2"))
     uniq = present.groupBy("variable").agg(F.count(F.lit(1)).alias("u"))
-    del n
     out = (rows.join(uniq, "variable", "left").join(top, "variable", "left")
            .select("variable",
                    F.when(F.col("c2").isNull(), F.lit(0.0))

@@ -260,6 +260,24 @@ def variance_ranking(df: DataFrame, cols: list[str] | None = None, top: int | No
     return out.limit(top) if top else out
 
 
+def _top_per_variable(counts: DataFrame, variables: list[str], k: int) -> DataFrame:
+    """Top ``k`` (count desc, value asc, missing last) per variable.
+
+    One ``orderBy().limit(k)`` per variable: each task keeps at most k rows
+    (TakeOrderedAndProject), so a column with billions of distinct values
+    never lands whole in one window partition.
+    """
+    order = [F.desc("count"), F.col("value").asc_nulls_last()]
+    parts = [counts.where(F.col("variable") == F.lit(v)).orderBy(*order).limit(k) for v in variables]
+    if not parts:
+        return counts.limit(0).withColumn("rank", F.lit(0))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    w = Window.partitionBy("variable").orderBy(*order)   # at most k rows per variable here
+    return out.withColumn("rank", F.row_number().over(w))
+
+
 def categorical_summary(df: DataFrame, cols: list[str] | None = None, top: int = 5) -> DataFrame:
     """Unique count and top values with counts (missing is a value).
 
@@ -268,9 +286,8 @@ def categorical_summary(df: DataFrame, cols: list[str] | None = None, top: int =
     cat = cols if cols is not None else roles(df)[1]
     lv = _long_strings(df, cat)
     counts = lv.groupBy("variable", "value").agg(F.count(F.lit(1)).alias("count"))
-    w = Window.partitionBy("variable").orderBy(F.desc("count"), F.col("value").asc_nulls_last())
     uniq = counts.groupBy("variable").agg(F.count("value").alias("n_unique"))
-    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    return (_top_per_variable(counts, cat, top)
             .join(uniq, "variable")
             .select("variable", "n_unique", "rank", "value", F.col("count").cast("long").alias("count")))
 

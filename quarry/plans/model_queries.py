@@ -6,7 +6,6 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from ..operators import formula as FM
 from ..operators import metrics as M
 from ..operators import runs as R
 from ..operators import split as S
