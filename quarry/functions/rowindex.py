@@ -28,7 +28,9 @@ def _num_buckets(df: DataFrame) -> int:
 
 def with_row_index(df: DataFrame, order_by: list, name: str = "row_index",
                    bucket_key: Column | None = None, buckets: int | None = None,
-                   rows_per_bucket: int = 2_000_000) -> DataFrame:
+                   rows_per_bucket: int = 2_000_000, group: str | None = None) -> DataFrame:
+    """1-based position in ``order_by`` order; with ``group``, positions restart per
+    group (a small number of groups sharing one key distribution, e.g. shuffles)."""
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     key = bucket_key if bucket_key is not None else order_cols[0]
     key = key.cast("double")
@@ -44,17 +46,28 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_index",
     tmp = df.withColumn("__bk", key)
     bz = Bucketizer(splits=splits, inputCol="__bk", outputCol="__bucket", handleInvalid="keep")
     b = bz.transform(tmp).drop("__bk")
-    counts = sorted((r["__bucket"], r["count"]) for r in b.groupBy("__bucket").count().collect())
-    offsets, acc = {}, 0
-    for k, c in counts:
-        offsets[float(k)] = acc
-        acc += c
-    if offsets:
-        m = F.create_map(*[x for k, v in offsets.items() for x in (F.lit(k), F.lit(v))])
-        off = F.element_at(m, F.col("__bucket"))
+    gcols = [group] if group else []
+    counts = b.groupBy(*gcols, "__bucket").count().collect()   # (groups x buckets) rows
+    per: dict = {}
+    for r in counts:
+        per.setdefault(r[group] if group else None, []).append((r["__bucket"], r["count"]))
+    entries = []
+    for g, lst in per.items():
+        acc = 0
+        for k, c in sorted(lst):
+            entries.append((g, float(k), acc))
+            acc += c
+    if entries:
+        if group:
+            m = F.create_map(*[x for g, k, v in entries
+                               for x in (F.struct(F.lit(g).alias("g"), F.lit(k).alias("b")), F.lit(v))])
+            off = F.element_at(m, F.struct(F.col(group).alias("g"), F.col("__bucket").alias("b")))
+        else:
+            m = F.create_map(*[x for _, k, v in entries for x in (F.lit(k), F.lit(v))])
+            off = F.element_at(m, F.col("__bucket"))
     else:
         off = F.lit(0)
-    w = Window.partitionBy("__bucket").orderBy(*order_cols)
+    w = Window.partitionBy(*gcols, "__bucket").orderBy(*order_cols)
     return (b.withColumn(name, (off + F.row_number().over(w)).cast("long"))
             .drop("__bucket"))
 

@@ -62,3 +62,11 @@ def test_shapiro_wilk_normal_vs_skewed():
     w2, p2 = shapiro_wilk_w(rng.exponential(size=500))
     assert 0.99 < w1 <= 1 and p1 > 0.01
     assert w2 < 0.95 and p2 < 1e-6
+
+
+def test_row_index_restarts_per_group(spark):
+    df = spark.range(3000).selectExpr("id % 3 AS g", "id", "(id * 7919) % 3000 AS k")
+    out = with_row_index(df, ["k"], "ix", buckets=5, group="g").collect()
+    for g in range(3):
+        rows = sorted((r for r in out if r.g == g), key=lambda r: r.k)
+        assert [r.ix for r in rows] == list(range(1, 1001))
