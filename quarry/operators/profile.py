@@ -289,7 +289,8 @@ def categorical_summary(df: DataFrame, cols: list[str] | None = None, top: int =
     uniq = counts.groupBy("variable").agg(F.count("value").alias("n_unique"))
     return (_top_per_variable(counts, cat, top)
             .join(uniq, "variable")
-            .select("variable", "n_unique", "rank", "value", F.col("count").cast("long").alias("count")))
+            .select("variable", "n_unique", F.col("rank").cast("long").alias("rank"), "value",
+                    F.col("count").cast("long").alias("count")))
 
 
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None, method: str = "pearson",

@@ -11,8 +11,9 @@ from .registry import register, rounded, rsql
 
 
 @register("f3_design_matrix_treatment", """
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS o_orderstatusO,
-  CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END AS o_orderstatusP, CAST(o_custkey AS DOUBLE) AS o_custkey,
+SELECT o_orderkey, CAST(CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS o_orderstatusO,
+  CAST(CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS o_orderstatusP,
+  CAST(o_custkey AS DOUBLE) AS o_custkey,
   CASE WHEN o_orderstatus = 'O' THEN 1.0 ELSE 0.0 END * CAST(o_custkey AS DOUBLE) AS o_orderstatusO_x_o_custkey,
   CASE WHEN o_orderstatus = 'P' THEN 1.0 ELSE 0.0 END * CAST(o_custkey AS DOUBLE) AS o_orderstatusP_x_o_custkey,
   CASE WHEN o_orderpriority = '1-URGENT' THEN 1.0 ELSE 0.0 END * CAST(o_custkey AS DOUBLE)

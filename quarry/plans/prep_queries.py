@@ -90,7 +90,7 @@ def p10_select_categorical(spark, sf):
 @register("p11_factor_base_level", """
 WITH lv AS (SELECT v, row_number() OVER (ORDER BY CASE WHEN v = '3-MEDIUM' THEN 0 ELSE 1 END, v) AS code
             FROM (SELECT DISTINCT o_orderpriority AS v FROM orders WHERE o_orderpriority <> '5-LOW') AS d)
-SELECT o.o_orderkey, lv.v AS prio, CAST(lv.code AS INTEGER) AS prio_code
+SELECT o.o_orderkey, lv.v AS prio, CAST(lv.code AS BIGINT) AS prio_code
 FROM (SELECT o_orderkey, o_orderpriority FROM orders) AS o LEFT JOIN lv ON o.o_orderpriority = lv.v""")
 def p11_factor(spark, sf):
     o = fx.t(spark, sf, ORD).select("o_orderkey", F.col("o_orderpriority").alias("prio"))

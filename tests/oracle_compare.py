@@ -39,6 +39,17 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "smallint": "SMALLINT",
+                 "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def type_mismatches(sdf, con, sql):
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in sdf.schema.fields}
+    dt = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {c: (st.get(c), dt.get(c)) for c in set(st) | set(dt) if st.get(c) != dt.get(c)}
+
+
 def key(row):
     return tuple((0, "") if x is None else (1, str(x)) for x in row)
 
@@ -57,6 +68,9 @@ def compare(spark, con, name, fn, sql, sf_dir):
     idx = {c: i for i, c in enumerate(dcols)}
     if sorted(dcols) != scols:
         return dict(name=name, ok=False, why=f"cols spark={scols} duck={sorted(dcols)}", t=t1 - t0)
+    bad_types = type_mismatches(sdf, con, sql)
+    if bad_types:
+        return dict(name=name, ok=False, why=f"types {bad_types}", t=t1 - t0)
     drows = [tuple(norm(r[idx[c]]) for c in scols) for r in drows_raw]
     if len(drows) != len(srows):
         return dict(name=name, ok=False, why=f"rows spark={len(srows)} duck={len(drows)}", t=t1 - t0)
