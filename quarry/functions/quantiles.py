@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 from .roles import col
 
 MAP_DISTINCT_LIMIT = 10_000
+MAX_GROUPS = 10_000   # grouped quantiles come back per group: a bound on what reaches the driver
 COLLECT_LIMIT = 100_000
 BINS = 1024
 
@@ -67,6 +68,10 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
         stats = [{"cid": i, "n": stats[c]["n"], "lo": stats[c]["lo"], "hi": stats[c]["hi"], "nd": stats[c]["nd"]}
                  for i, c in enumerate(cols) if stats[c]["n"]]
     else:
+        if by is not None:
+            ng = lv.select("g").distinct().limit(MAX_GROUPS + 1).count()
+            if ng > MAX_GROUPS:
+                raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
         stats = (lv.groupBy(*keys)
                  .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
                       F.approx_count_distinct("v").alias("nd"))

@@ -89,6 +89,8 @@ def _moments(data: DataFrame, names: list[str]):
         .collect()[0]
     n = r["n"]
     means = np.array([r[f"m{i}"] or 0.0 for i in range(len(names))], dtype=float)
+    if len(names) > GRAM_AGG_LIMIT:
+        return n, means, _gram_by_partition(data, names, means)
     cen = [col(c) - F.lit(float(m)) for c, m in zip(names, means)]
     aggs = []
     for i in range(len(names)):
@@ -102,6 +104,31 @@ def _moments(data: DataFrame, names: list[str]):
     return n, means, G
 
 
+GRAM_AGG_LIMIT = 40   # above this many columns the p^2 sums would not fit one generated method
+
+
+def _gram_by_partition(data: DataFrame, names: list[str], means: np.ndarray) -> np.ndarray:
+    """Centred X'X per partition in Arrow batches (numpy); one p x p row per partition is summed."""
+    import pandas as pd
+    mu = means.copy()
+    cols = list(names)
+
+    def part(it):
+        G = np.zeros((len(cols), len(cols)))
+        for pdf in it:
+            if len(pdf):
+                X = pdf[cols].to_numpy(dtype=float) - mu
+                G += X.T @ X
+        yield pd.DataFrame({"g": [G.ravel().tolist()]})
+    safe = data.select(*[col(c).alias(f"__g{i}") for i, c in enumerate(cols)])
+    cols = [f"__g{i}" for i in range(len(names))]
+    rows = safe.mapInPandas(part, "g array<double>").collect()
+    G = np.zeros((len(cols), len(cols)))
+    for r in rows:
+        G += np.asarray(r["g"]).reshape(len(cols), len(cols))
+    return G
+
+
 def _pivot_keep(G: np.ndarray, tol: float = 1e-7) -> list[int]:
     """Columns kept in order; a column whose residual after the kept ones is tiny is aliased."""
     kept = []

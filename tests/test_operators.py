@@ -121,3 +121,13 @@ def test_streaming_scoring(spark, tmp_path):
     q.awaitTermination(120)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == 50 and set(out.columns) >= {"event_id", "prediction"}
+
+
+def test_gram_by_partition_matches_aggregate(spark):
+    from quarry.operators import linear as Lin
+    df = spark.range(2000).selectExpr(*[f"CAST((id * {k + 3}) % 97 AS DOUBLE) AS c{k}" for k in range(5)])
+    names = [f"c{k}" for k in range(5)]
+    n, means, G1 = Lin._moments(df, names)
+    G2 = Lin._gram_by_partition(df, names, means)
+    import numpy as np
+    assert np.allclose(G1, G2, rtol=1e-10, atol=1e-6)
