@@ -180,3 +180,20 @@ def s9_bundle(spark, sf):
     B.save_bundle(t, path, schema_of=tr)
     t2, meta = B.load_bundle(path)
     return B.score(te, t2, meta, keep=["event_id"]).select("event_id", "prediction")
+
+
+@register("s7_v1_score_csv_file")
+def s7_score_file(spark, sf):
+    """S7 + V1 + S8: a CSV scoring file read with the bundle, scored and written as CSV."""
+    tr, te = _split(spark, sf)
+    t = LR.train(tr, "y", FEATS, "linear", task="regression")
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    tag = f"{os.getpid()}_{abs(hash(sf)) % 10**8}"
+    bundle = os.path.join(base, f"bundle_linear_{tag}")
+    B.save_bundle(t, bundle, schema_of=tr)
+    from ..sources.tables import write_predictions
+    src = os.path.join(base, f"score_input_{tag}")
+    write_predictions(te.select("event_id", *FEATS), src, "csv")
+    pred = B.score_file(spark, src, bundle, out_path=os.path.join(base, f"score_output_{tag}"),
+                        keep=["event_id"], fmt="csv")
+    return rounded(pred, 4)

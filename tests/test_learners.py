@@ -43,3 +43,12 @@ def test_linear_coefficients_and_importance(spark, split):
     assert abs(coef["value"] - 2) < 0.01 and abs(coef["event_typepurchase"] - 30) < 0.5
     imp = LR.importance(t)
     assert imp[0][0] == "value"
+
+
+def test_automl_reports_and_skips_a_failing_learner(spark):
+    from quarry.operators import automl as AM
+    df = fx.ev_learn(spark, "/root/testdata/sf0.001").select("event_id", "y", *FEATS)
+    res = AM.run_automl(df, "y", FEATS, key="event_id", algos=("glm", "tree", "nope"))
+    assert "nope" in res.errors
+    assert {r.algorithm for r in res.ranking.collect()} == {"glm", "tree"}
+    assert res.best in ("glm", "tree") and res.run_id.startswith(res.best + "_")
