@@ -133,11 +133,19 @@ def r10_importance(spark, sf):
     return rounded(out, 6)
 
 
+_AUTOML_RUNS: dict = {}
+
+
 def _automl(spark, sf, target="y"):
-    df = fx.ev_learn(spark, sf).select("event_id", target, *FEATS)
-    params = {"rf": {"trees": 20}, "gbm": {"trees": 20}, "nnet": {"iters": 60}}
-    return AM.run_automl(df, target, FEATS, key="event_id", algos=("glm", "rf", "gbm", "tree", "nnet"),
-                         test_pct=20, params=params)
+    """One AutoML run per session and table set, shared by the A3/A7/A8 queries (as the app
+    shares one run between its ranking, predictions and registry views)."""
+    k = (id(spark), sf, target)
+    if k not in _AUTOML_RUNS:
+        df = fx.ev_learn(spark, sf).select("event_id", target, *FEATS)
+        params = {"rf": {"trees": 20}, "gbm": {"trees": 20}, "nnet": {"iters": 60}}
+        _AUTOML_RUNS[k] = AM.run_automl(df, target, FEATS, key="event_id",
+                                        algos=("glm", "rf", "gbm", "tree", "nnet"), test_pct=20, params=params)
+    return _AUTOML_RUNS[k]
 
 
 @register("a3_a6_automl_regression_ranking")
