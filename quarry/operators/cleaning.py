@@ -172,7 +172,7 @@ def remove_duplicates(df: DataFrame, subset: list[str] | str = "all",
     first = df.groupBy(*[col(c).alias(f"__k{i}") for i, c in enumerate(valid)]) \
         .agg(F.min(okey).alias("__first"))
     # missing keys are equal to each other, as in duplicated()
-    cond = [df[c].eqNullSafe(first[f"__k{i}"]) for i, c in enumerate(valid)]
+    cond = [df[f"`{c}`"].eqNullSafe(first[f"__k{i}"]) for i, c in enumerate(valid)]
     keyed = df.join(first, on=cond, how="inner")
     return (keyed.where(okey == F.col("__first"))
             .drop("__first", *[f"__k{i}" for i in range(len(valid))])

@@ -119,7 +119,10 @@ def apply_design(df: DataFrame, d: Design, keep: list[str] | None = None, with_t
     cols += [column_expr(combo).alias(name) for name, _, combo in d.columns]
     out = df.select(*cols)
     if complete:
-        out = out.na.drop(subset=(["__y"] if with_target else []) + d.names)
+        keep_ok = F.lit(True)
+        for c in (["__y"] if with_target else []) + d.names:
+            keep_ok = keep_ok & col(c).isNotNull() & ~F.isnan(col(c))
+        out = out.where(keep_ok)
     return out
 
 

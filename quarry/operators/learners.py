@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.roles import col, roles
 from . import gradient as GD
 from . import linear as L
+from .cleaning import drop_incomplete
 from .design import Design, apply_design, assemble, fit_design
 
 REGRESSORS = ("linear", "ridge", "lasso", "tree", "rf", "svm", "gbm", "nnet")
@@ -75,7 +76,7 @@ def train(df: DataFrame, target: str, features: list[str], algo: str, task: str
     """Fit one learner on complete rows of ``target`` + ``features``."""
     from .runs import detect_task
     feats = [f for f in features if f != target]
-    data = df.select(*[col(c) for c in [target] + feats]).na.drop()
+    data = drop_incomplete(df.select(*[col(c) for c in [target] + feats]))
     task = task or detect_task(data, target)
     p = dict(DEFAULTS.get(algo, {}))
     p.update(params or {})

@@ -230,7 +230,8 @@ def compare_models(df: DataFrame, formula: str) -> DataFrame:
     Both fits use the rows complete for the full model, as ``anova`` needs.
     """
     full_d = fit_design(df, formula)
-    complete = df.na.drop(subset=[full_d.target] + full_d.variables())
+    from .cleaning import drop_incomplete
+    complete = drop_incomplete(df, [full_d.target] + full_d.variables())
     full = fit_ols(complete, formula, full_d)
     base = fit_ols(complete, base_formula(formula))
     df_num = full.k - base.k

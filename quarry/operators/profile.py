@@ -185,7 +185,7 @@ def overview(df: DataFrame) -> DataFrame:
                     F.lit(len(num)).cast("long").alias("n_numeric"),
                     F.lit(len(cat)).cast("long").alias("n_categorical"),
                     F.col("cells_missing").cast("long").alias("total_missing"),
-                    (F.col("cells_missing") * 100.0 / (F.col("rows") * F.lit(ncol))).alias("missing_pct"),
+                    F.try_divide(F.col("cells_missing") * 100.0, F.col("rows") * F.lit(ncol)).alias("missing_pct"),
                     "duplicate_rows"))
 
 
@@ -309,7 +309,8 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, method: str
         return _spark(df).createDataFrame([], "var1 string, var2 string, correlation double")
     data = df.select(*[_clean(df, c).alias(c) for c in num])
     if use == "complete":
-        data = data.na.drop("any")
+        from .cleaning import drop_incomplete
+        data = drop_incomplete(data)
     if method == "spearman":
         data = average_ranks(data, num, pairwise=(use == "pairwise"))
     elif method != "pearson":
