@@ -35,13 +35,19 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_index",
     key = bucket_key if bucket_key is not None else order_cols[0]
     key = key.cast("double")
     nb = buckets or _num_buckets(df)
-    probe = df.agg(F.count(F.lit(1)).alias("n")).collect()[0]["n"]
-    nb = max(nb, int(math.ceil(probe / rows_per_bucket)))
-    probs = [i / nb for i in range(1, nb)]
-    bounds = []
-    if probe and probs:
-        got = df.agg(F.percentile_approx(key, probs, 10_000).alias("b")).collect()[0]["b"]
-        bounds = sorted({float(b) for b in (got or []) if b is not None})
+
+    def bounds_for(k):
+        probs = [i / k for i in range(1, k)] or [0.5]
+        r = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(key, probs, 10_000).alias("b")).collect()[0]
+        return r["n"], ((r["b"] or []) if k > 1 else [])
+    # one pass gives the row count and the bucket bounds; a second only when the rows
+    # need more buckets than the default
+    n, got = bounds_for(nb)
+    need = int(math.ceil(n / rows_per_bucket))
+    if need > nb:
+        nb = need
+        n, got = bounds_for(nb)
+    bounds = sorted({float(b) for b in got if b is not None}) if n else []
     splits = [-math.inf] + bounds + [math.inf]
     tmp = df.withColumn("__bk", key)
     bz = Bucketizer(splits=splits, inputCol="__bk", outputCol="__bucket", handleInvalid="keep")

@@ -315,6 +315,18 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, method: str
         data = average_ranks(data, num, pairwise=(use == "pairwise"))
     elif method != "pearson":
         raise ValueError(f"Unsupported correlation method: {method}")
+    if use == "complete":
+        # rows are complete: every pair comes from one centred cross-product matrix
+        # (p(p+1)/2 sums) instead of p^2 masked correlation aggregates
+        from .linear import _moments
+        _, _, G = _moments(data, num)
+        rows = []
+        for i, a in enumerate(num):
+            for j, b in enumerate(num):
+                den = G[i, i] * G[j, j]
+                r = (1.0 if i == j else float(G[i, j] / den ** 0.5)) if den > 0 else None
+                rows.append((a, b, r))
+        return _spark(df).createDataFrame(rows, "var1 string, var2 string, correlation double")
     structs = []
     for i, a in enumerate(num):
         for j, b in enumerate(num):
