@@ -29,10 +29,12 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     then run on one core.  Large inputs (many files / row groups) already
     have enough splits and are left alone -- no extra shuffle at scale.
     """
-    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
-        return df.repartition(want)
-    return df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- no RDD view (e.g. Spark Connect): leave the scan as it is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def read_csv(spark: SparkSession, path: str, header: bool = True, sep: str = ",",
