@@ -205,3 +205,30 @@ def s7_score_file(spark, sf):
     pred = B.score_file(spark, src, bundle, out_path=os.path.join(base, f"score_output_{tag}"),
                         keep=["event_id"], fmt="csv")
     return rounded(pred, 4)
+
+
+_STREAM_RUNS = __import__("itertools").count()
+
+
+# the stream scores with the same closed-form model as c6, so the same SQL is its oracle
+@register("v1_stream_scoring_of_table_files", NB_SQL)
+def v1_stream_scoring(spark, sf):
+    """V1 on a stream: the events table read as a file stream, scored by a saved bundle
+    (naive Bayes, a pure column expression) and collected in the in-process memory sink."""
+    from ..streaming.scoring import read_stream
+    df = fx.ev_learn(spark, sf)
+    t = LR.train(df, "y2", FEATS, "nb", task="classification")
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    tag = f"{os.getpid()}_{abs(hash(sf)) % 10**8}_{next(_STREAM_RUNS)}"
+    bundle = os.path.join(base, f"bundle_nb_stream_{tag}")
+    B.save_bundle(t, bundle, schema_of=df)
+    t2, meta = B.load_bundle(bundle)
+    schema = spark.read.parquet(os.path.join(sf, "events.parquet")).schema
+    # a file stream watches a folder or a glob: the glob names exactly the events file
+    stream = read_stream(spark, os.path.join(sf, "events.parq*"), schema, fmt="parquet")
+    scored = B.score(stream, t2, meta, keep=["event_id"])
+    name = f"scored_events_{tag}"
+    q = (scored.writeStream.format("memory").queryName(name).outputMode("append")
+         .option("checkpointLocation", os.path.join(base, f"ck_{name}")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name).select("event_id", "prediction")
