@@ -249,3 +249,29 @@ def f5_f7_one(spark, sf):
     s = L.fit_summary(fit)
     return rounded(spark.createDataFrame([tuple(float(s[k]) for k in ("r2", "adj_r2", "aic", "bic", "sigma"))],
                                          "r2 double, adj_r2 double, aic double, bic double, sigma double"), 4)
+
+
+def _ols3_sql():
+    # three regressors: beta = S^-1 s_xy by Cramer's rule on the sample covariance matrix
+    return f"""
+WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS a, l_discount AS b, CAST(l_linenumber AS DOUBLE) AS c,
+                  {fx.LIN_TARGET} AS y FROM lineitem),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, avg(y) AS my,
+             covar_samp(a, a) AS s11, covar_samp(a, b) AS s12, covar_samp(a, c) AS s13,
+             covar_samp(b, b) AS s22, covar_samp(b, c) AS s23, covar_samp(c, c) AS s33,
+             covar_samp(a, y) AS t1, covar_samp(b, y) AS t2, covar_samp(c, y) AS t3 FROM d),
+k AS (SELECT *, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s23 * s13) + s13 * (s12 * s23 - s22 * s13) AS det
+      FROM m),
+b AS (SELECT *,
+  (t1 * (s22 * s33 - s23 * s23) - s12 * (t2 * s33 - s23 * t3) + s13 * (t2 * s23 - s22 * t3)) / det AS b1,
+  (s11 * (t2 * s33 - t3 * s23) - t1 * (s12 * s33 - s23 * s13) + s13 * (s12 * t3 - t2 * s13)) / det AS b2,
+  (s11 * (s22 * t3 - s23 * t2) - s12 * (s12 * t3 - t2 * s13) + t1 * (s12 * s23 - s22 * s13)) / det AS b3 FROM k)
+SELECT '(Intercept)' AS term, my - b1 * ma - b2 * mb - b3 * mc AS estimate FROM b
+UNION ALL SELECT 'l_quantity', b1 FROM b UNION ALL SELECT 'l_discount', b2 FROM b
+UNION ALL SELECT 'l_linenumber', b3 FROM b"""
+
+
+@register("r1_ols_coefficients_three_features", rsql(_ols3_sql(), ["estimate"], 6))
+def r1_ols_three(spark, sf):
+    fit = L.fit_ols(lin_frame(spark, sf), "y ~ l_quantity + l_discount + l_linenumber")
+    return rounded(L.coefficient_table(fit).select("term", "estimate"), 6)
