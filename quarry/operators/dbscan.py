@@ -34,7 +34,6 @@ import math
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.roles import col
 from ..session import cut_lineage
@@ -177,5 +176,3 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_pts: int =
     res = keyed.join(pl, ["__" + x for x in xs], "left").withColumn(out, F.coalesce(F.col(out), F.lit(0)))
     return res.drop(*["__" + x for x in xs])
 
-
-_ = T

@@ -2,20 +2,14 @@
 
 The formula text follows R: ``target ~ a + b [+ a:b ...]`` with all
 two-way pairs of the interaction variables (ignored when fewer than two).
-The design matrix uses Spark's ``RFormula`` with treatment contrasts;
-``alphabetDesc`` index order makes it drop the alphabetically first level,
-as R does.
+The design matrix itself is built by :mod:`quarry.operators.design`
+(column expressions with R's treatment-contrast rule).
 """
 
 from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.ml.feature import RFormula
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 
 def build_formula(target: str, features: list[str], use_interactions: bool = False,
                   interaction_vars: list[str] | None = None) -> str:
@@ -32,30 +26,3 @@ def build_formula(target: str, features: list[str], use_interactions: bool = Fal
 def formula_terms(formula: str) -> tuple[str, list[str]]:
     lhs, rhs = formula.split("~", 1)
     return lhs.strip(), [t.strip() for t in rhs.split("+") if t.strip()]
-
-
-def rformula(formula: str, features_col: str = "features", label_col: str = "label") -> RFormula:
-    return RFormula(formula=formula, featuresCol=features_col, labelCol=label_col,
-                    stringIndexerOrderType="alphabetDesc", handleInvalid="keep")
-
-
-def attribute_names(df: DataFrame, vec_col: str = "features") -> list[str]:
-    """Names of the vector slots from the ML attribute metadata, in slot order."""
-    meta = df.schema[vec_col].metadata.get("ml_attr", {})
-    attrs = []
-    for group in meta.get("attrs", {}).values():
-        attrs.extend(group)
-    attrs.sort(key=lambda a: a["idx"])
-    return [a["name"] for a in attrs]
-
-
-def design_matrix(df: DataFrame, formula: str, keep: list[str] | None = None) -> DataFrame:
-    """Expanded design matrix as plain double columns (no intercept column)."""
-    model = rformula(formula).fit(df)
-    out = model.transform(df)
-    names = attribute_names(out)
-    arr = vector_to_array("features")
-    cols = [F.col(c) for c in (keep or [])]
-    clean = [n.replace(" ", "_").replace(".", "_") for n in names]
-    tmp = out.select(*cols, arr.alias("__x"))
-    return tmp.select(*cols, *[F.col("__x")[i].alias(c) for i, c in enumerate(clean)])

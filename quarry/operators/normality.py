@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import FLOAT_TYPES, col, dtype_of
-from ..functions.special import chi2_sf, norm_cdf
+from ..functions.special import norm_cdf
 
 
 def _num(df, c):
@@ -211,5 +211,3 @@ def normality_tests(df: DataFrame, cols: list[str], tests=("sw", "ks", "ad", "jb
     return (out.withColumn("n_reject", F.sum((F.col("p_value") < 0.05).cast("int")).over(w))
             .withColumn("n_tests", F.count("p_value").over(w)))
 
-
-_ = chi2_sf

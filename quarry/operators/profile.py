@@ -10,7 +10,6 @@ DataFrames.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -465,6 +464,3 @@ def insights(df: DataFrame) -> DataFrame:
         out.append(("success", "All clear!", "No major data issues detected."))
     return spark.createDataFrame(out, "severity string, title string, message string")
 
-
-def _isfinite(x):
-    return x is not None and not (isinstance(x, float) and math.isnan(x))

@@ -15,7 +15,6 @@ import os
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.roles import is_numeric_type
 from ..operators import learners as LR
@@ -155,5 +154,3 @@ def score_file(spark: SparkSession, path: str, bundle_path: str, out_path: str |
         write_predictions(pred, out_path)
     return pred
 
-
-_ = F
