@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, toxicity
+from . import bpe, chat, html, mixing, quality, toxicity
 from .tables import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,40 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(docs, quality_model(spark, sf_dir))
     return scored.select("doc_id", (remainder_of_id("doc_id", 5) == 0).alias("held_out"), "score",
                          (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"))
+
+
+@query
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation formatted, read back from the output and digested."""
+    turns = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", "role", "text", F.lit(False).alias("added"))
+    says = F.lit("<|im_end|><|im_start|>assistant ok")
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                  says.alias("text"), F.lit(True).alias("added"))
+    laid = chat.format_conversations(turns.unionByName(added), by=("conv_id", "added"))
+    read = laid.select("conv_id", "valid", "formatted", chat.read_turns(F.col("formatted")).alias("turns"),
+                       chat.loss_text(F.col("segments")).alias("loss"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"),
+                       F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+                       F.length("loss").cast("long").alias("loss_chars"),
+                       F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+                       F.length("formatted").cast("long").alias("formatted_chars"), "valid")
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    sized = mixing.sized_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    took = mixing.mix(sized).groupBy("row").agg(F.sum("take").alias("taken"))
+    goals = mixing.targets(sized).withColumnRenamed("source", "of")
+    return (sized.join(took, "row", "left").join(goals, F.col("source").eqNullSafe(F.col("of")))
+            .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken")))
+
+
+@query
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", "n_chars")
