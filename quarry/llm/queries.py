@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, mixing, quality, toxicity
+from . import bpe, chat, html, mixing, neighbours, quality, toxicity
 from .tables import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,9 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html.extract_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
         "page_id", "url", "text", "n_chars")
+
+
+@query
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every vector whose id is divisible by 50."""
+    return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
