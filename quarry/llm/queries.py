@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, mixing, neighbours, quality, toxicity
+from . import bpe, chat, html, lzprint, mixing, neighbours, quality, toxicity
 from .tables import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,9 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest of every vector whose id is divisible by 50."""
     return neighbours.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+@query
+def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return lzprint.chained(table(spark, sf_dir, "documents").select("doc_id", "text"))
