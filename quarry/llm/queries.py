@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, lzprint, mixing, neighbours, quality, toxicity
+from . import bpe, chat, html, lzprint, mixing, neighbours, ominhash, quality, toxicity
 from .tables import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,9 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return lzprint.chained(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return ominhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
