@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .tables import quoted, text_or_empty
+from .tables import broadcast_if_small, quoted, text_or_empty
 
 #: Weights by a source's place in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -114,3 +114,23 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
                           ["finish", "source", "repeat", "row"])
     return (ordered.withColumn("take", F.col("take") - F.greatest(F.col("position") - goal, F.lit(0)))
             .where(F.col("take") > 0).withColumn("position", F.least("position", F.lit(goal))))
+
+
+def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
+                    weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS, seed: int = 5) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns, whole texts.
+
+    A document that is taken in part stays if the part is half of it or more.
+    Rows that share id, source and size all stay as often as the one of them that is taken most.
+    """
+    sized = sized_documents(docs, key, text, source)
+    took = (mix(sized, weights, most, seed).where(2 * F.col("take") >= F.col("size"))
+            .groupBy("row", "doc_id", "source", "size").count()
+            .groupBy("doc_id", "source", "size").agg(F.max("count").cast("int").alias("copies")))
+    took = cut_lineage(took.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"),
+                                   F.col("size").alias("__size"), F.col("copies").alias("__copies")))
+    same = (quoted(key).eqNullSafe(F.col("__id")) & quoted(source).cast("string").eqNullSafe(F.col("__source"))
+            & (F.col("__words") == F.col("__size")))
+    return (docs.withColumn("__words", size_column(text)).join(broadcast_if_small(took, took.count()), same)
+            .withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies")))
+            .select(*[quoted(c) for c in docs.columns]))
