@@ -33,8 +33,8 @@ from .tables import text_or_empty
 
 #: Pre-tokens longer than this are encoded each time, not remembered.
 REMEMBERED_CHARS = 48
-#: Pre-tokens that one worker remembers before it starts afresh (about 100 MB).
-REMEMBERED = 600_000
+#: Pre-tokens that one worker remembers before it starts afresh (about 50 MB).
+REMEMBERED = 250_000
 #: Texts that are cut at once.
 SLICE = 64
 
@@ -206,12 +206,17 @@ def decode_column(ids: str | Column, ranks: dict[bytes, int]) -> Column:
             pieces[rank] = piece
         table = pieces.tolist()
         for lists in batches:
-            flat = np.asarray(lists.flatten().fill_null(-1), dtype=np.int64)
-            flat = np.where((flat >= 0) & (flat < size - 1), flat, size - 1)
-            lengths = np.asarray(lists.value_lengths().fill_null(0), dtype=np.int64)
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            yield pa.array([b"".join(map(table.__getitem__, flat[a:b].tolist()))
-                            for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+            flat = lists.flatten()
+            flat = np.asarray(flat.fill_null(-1) if flat.null_count else flat)
+            ends = np.cumsum(np.asarray(lists.value_lengths().fill_null(0)), dtype=np.int64).tolist()
+            out, at = [], 0
+            for end in ends:
+                own = flat[at:end]
+                if len(own) and (own.min() < 0 or own.max() >= size - 1):
+                    own = np.where((own >= 0) & (own < size - 1), own, size - 1)
+                out.append(b"".join(map(table.__getitem__, own.tolist())))
+                at = end
+            yield pa.array(out, pa.binary())
 
     return decode(F.col(ids) if isinstance(ids, str) else ids)
 
