@@ -200,7 +200,7 @@ def chained(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ids = docs.select(quoted(key).cast("long").alias("key")).withColumn("order", order)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     share = F.percentile_approx("order", [k / (2 * parts) for k in range(1, 2 * parts)], F.lit(20 * parts))
-    bounds = sorted({float(b) for b in ids.agg(share.alias("b")).first()["b"] or []})
+    bounds = sorted({float(b) for b in ids.agg(share.alias("b")).first()["b"] or [0]})
     spans = Bucketizer(splits=[-float("inf"), *bounds, float("inf")], inputCol="at", outputCol="span")
 
     def spanned(df: DataFrame) -> DataFrame:

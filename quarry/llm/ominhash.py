@@ -35,8 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .tables import BROADCAST_ROWS, broadcast_if_small, quoted, text_or_empty
+from .tables import BROADCAST_ROWS, broadcast_if_small, quoted, text_or_empty, written
 
 #: Words of an item, least similarity of a link.
 K, SIMILARITY = 5, 0.8
@@ -188,15 +187,15 @@ def classes_of(links: DataFrame) -> DataFrame:
     Each round takes the least class of the neighbours and then the class of
     that class, until nothing changes.
     """
-    edges = cut_lineage(links.select(F.col("a").alias("node"), F.col("b").alias("to"))
+    edges = written(links.select(F.col("a").alias("node"), F.col("b").alias("to"))
                         .unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct())
-    now = cut_lineage(edges.groupBy("node").agg(F.least("node", F.min("to")).alias("class")))
+    now = written(edges.groupBy("node").agg(F.least("node", F.min("to")).alias("class")))
     while True:
         near = (edges.join(now.select(F.col("node").alias("to"), F.col("class").alias("of")), "to")
                 .groupBy("node").agg(F.min("of").alias("of")))
         least = now.join(near, "node").select("node", "class", F.least("class", "of").alias("low"))
         jump = now.select(F.col("node").alias("low"), F.col("class").alias("top"))
-        moved = cut_lineage(least.join(jump, "low").select("node", F.col("class").alias("old"),
+        moved = written(least.join(jump, "low").select("node", F.col("class").alias("old"),
                                                            F.least("low", "top").alias("class")))
         now = moved.select("node", "class")
         if moved.where(F.col("old") != F.col("class")).isEmpty():
@@ -205,20 +204,20 @@ def classes_of(links: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` with ``linked``: whether their texts align."""
-    asked = cut_lineage(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rep"))
+    asked = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rep"))
     n = asked.count()
     if n <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(asked), "rep", "left_semi")
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("right"))
-    return cut_lineage(pairs.join(left, "a").join(right, "b").select(
+    return written(pairs.join(left, "a").join(right, "b").select(
         "a", "b", (similarity_column(F.col("left"), F.col("right")) >= SIMILARITY).alias("linked")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id`` for every row of ``docs``."""
     rows = docs.select(quoted(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    sketched = cut_lineage(rows.select("id", sketch_column("text").alias("s")).select("id", "s.*"))
+    sketched = written(rows.select("id", sketch_column("text").alias("s")).select("id", "s.*"))
     copies = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"),
                                             F.first("bands").alias("bands"))
     nodes = copies.where(F.col("rep").isNotNull() & (F.col("n") > 0))
@@ -231,18 +230,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     order = F.struct(F.xxhash64("rep").alias("by"), F.col("rep"), F.col("n"))
     shared = (keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(order).alias("first"))
               .where("size > 1").select("bucket", F.col("first").alias("lead")))
-    members = cut_lineage(keyed.join(shared, "bucket"))
+    members = written(keyed.join(shared, "bucket"))
     close = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
     # first, each member against the leader that comes first among its buckets' leaders
     pairs = (members.where(F.col("rep") != F.col("lead.rep")).groupBy("rep", "n").agg(F.min("lead").alias("lead"))
              .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("lead.n").alias("m"))
              .where(close).select("a", "b"))
-    reps = cut_lineage(members.select("rep").distinct())
+    reps = written(members.select("rep").distinct())
     n_reps = reps.count()
     texts = rows.withColumnRenamed("id", "rep").join(broadcast_if_small(reps, n_reps), "rep", "left_semi")
     if repeated:
         texts = texts.groupBy("rep").agg(F.min("text").alias("text"))
-    texts = cut_lineage(texts)
+    texts = written(texts)
     tested = _linked(pairs, texts)
     classes = classes_of(tested.where("linked"))
     low, high = 0, 1
@@ -252,7 +251,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                   .withColumn("class", F.coalesce("class", "rep")))
         mixed = placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"),
                                              F.count("*").alias("size")).where((F.col("x") != F.col("y")) & (F.col("size") > low))
-        members = cut_lineage(members.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "rep", "n"))
+        members = written(members.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "rep", "n"))
         if members.isEmpty():
             break
         rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep"))
@@ -262,10 +261,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             "bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("class").alias("of"), F.col("rank").alias("lead"))
         pairs = (ranked.join(leaders, "bucket").where((F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & close)
                  .select("a", F.col("rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        pairs = cut_lineage(pairs)
+        pairs = written(pairs)
         if not pairs.isEmpty():
             now = _linked(pairs, texts)
-            tested = cut_lineage(tested.unionByName(now))
+            tested = written(tested.unionByName(now))
             if not now.where("linked").isEmpty():
                 classes = classes_of(tested.where("linked"))
         low, high = high, 4 * high
@@ -281,7 +280,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     Rows with a null id are kept unless their text is that of a row with an id.
     """
     classes = near_duplicates(docs, key, text)
-    dropped = cut_lineage(classes.where(F.col("doc_id") != F.col("class_id"))
+    dropped = written(classes.where(F.col("doc_id") != F.col("class_id"))
                           .select(F.col("doc_id").alias("__dropped")).distinct())
     kept = docs.join(broadcast_if_small(dropped, dropped.count()), quoted(key) == F.col("__dropped"), "left_anti")
     if docs.where(quoted(key).isNotNull()).groupBy(quoted(key)).count().where("count > 1").isEmpty():

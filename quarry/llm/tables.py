@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 #: Most rows of a two-long-column side that is ever broadcast (about 8 MB of keys);
 #: a larger side goes through a shuffle join instead.
 BROADCAST_ROWS = 250_000
@@ -34,3 +38,15 @@ def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
 def remainder_of_id(id_col: str, modulus: int) -> Column:
     """``crc32`` of the id written as text, modulo ``modulus`` (null id: as the empty text)."""
     return F.crc32(F.coalesce(quoted(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, read again.
+
+    Cuts the lineage like a checkpoint.  The table also has its true size,
+    whereas a checkpoint keeps the planner's estimate, which a loop of joins
+    multiplies without bound.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
