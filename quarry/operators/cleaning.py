@@ -164,16 +164,12 @@ def remove_duplicates(df: DataFrame, subset: list[str] | str = "all",
         return df.dropDuplicates()
     valid = [c for c in subset if c in df.columns]
     if not valid:
-        raise ValueError("No valid columns specified for dedup.")
+        raise ValueError("remove_duplicates: no such column")
     if not order_by:
         raise ValueError("remove_duplicates on a subset needs an order key (first in row order)")
-    # min of the order key per group: partial aggregation, no big group in one task
-    okey = F.struct(*[col(c) for c in order_by])
-    first = df.groupBy(*[col(c).alias(f"__k{i}") for i, c in enumerate(valid)]) \
-        .agg(F.min(okey).alias("__first"))
-    # missing keys are equal to each other, as in duplicated()
-    cond = [df[f"`{c}`"].eqNullSafe(first[f"__k{i}"]) for i, c in enumerate(valid)]
-    keyed = df.join(first, on=cond, how="inner")
-    return (keyed.where(okey == F.col("__first"))
-            .drop("__first", *[f"__k{i}" for i in range(len(valid))])
-            .dropDuplicates([*valid, *order_by]))
+    # the first row per group by partial aggregation: one scan, no big group in one task
+    # (missing keys are equal to each other in a grouping)
+    whole = F.struct(*[col(c).alias(f"__c{i}") for i, c in enumerate(df.columns)])
+    first = df.groupBy(*[col(c).alias(f"__k{i}") for i, c in enumerate(valid)]).agg(
+        F.min_by(whole, F.struct(*[col(c) for c in order_by])).alias("__row"))
+    return first.select(*[F.col(f"__row.__c{i}").alias(c) for i, c in enumerate(df.columns)])

@@ -196,7 +196,8 @@ def silhouette(df: DataFrame, features: list[str], cluster: str = "cluster", noi
         b_part = F.when(~is_own, md)
         b_expr = b_part if b_expr is None else F.least(b_expr, b_part)
     s = F.when(F.element_at(own_n, col(cluster)) <= 1, F.lit(0.0)).otherwise(
-        (b_expr - a_expr) / F.greatest(a_expr, b_expr))
+        F.when(F.greatest(a_expr, b_expr) == 0, F.lit(0.0))
+        .otherwise(F.try_divide(b_expr - a_expr, F.greatest(a_expr, b_expr))))
     return d.withColumn("silhouette", s)
 
 
@@ -427,13 +428,15 @@ def clara(df: DataFrame, features: list[str], k: int = 3, samples: int = 5, samp
     num = [f for f in features if f in ranges]
     cat = [f for f in features if f not in ranges]
     size = sample_size or (40 + 2 * k)
-    data = df.select(*[col(f) for f in features])
-    # each sample: the rows with the smallest seeded hash of their values (top-k, bounded
-    # per task); equal rows hash alike, so the sample does not depend on row order
+    # distinct rows with their counts; each sample takes those with the smallest
+    # -log(u) / count, u from a seeded hash: drawn in proportion to the count, none twice
+    data = df.groupBy(*[col(f) for f in features]).agg(F.count(F.lit(1)).alias("__n"))
     parts = []
     for s in range(samples):
         h = F.xxhash64(*[col(f) for f in features], F.lit(seed + s))
-        parts.append(data.withColumn("__h", h).orderBy("__h").limit(size).drop("__h").withColumn("__s", F.lit(s)))
+        u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+        parts.append(data.withColumn("__h", -F.log(u) / F.col("__n")).orderBy("__h", *[col(f) for f in features])
+                     .limit(size).drop("__h", "__n").withColumn("__s", F.lit(s)))
     smp = parts[0]
     for p in parts[1:]:
         smp = smp.unionByName(p)

@@ -151,7 +151,7 @@ def dbscan(df: DataFrame, features: list[str], eps: float = 0.5, min_pts: int =
         new = cut_lineage(new)
         changed = new.join(lab.withColumnRenamed("l", "old"), "n").where(F.col("l") != F.col("old")).limit(1).count()
         lab = new
-        if changed == 0 or it > 200:
+        if changed == 0:
             break
     roots = lab.select("l").distinct()
     from ..functions.rowindex import with_row_index

@@ -130,6 +130,12 @@ def _fit_regressor(t: Trained, data: DataFrame, seed: int) -> Trained:
     return t
 
 
+def _gini(a: DataFrame) -> float:
+    """Impurity of the root: 1 - sum of squared class shares."""
+    counts = [r["count"] for r in a.groupBy("label").count().collect()]
+    return 1.0 - sum((c / sum(counts)) ** 2 for c in counts)
+
+
 def _fit_classifier(t: Trained, data: DataFrame, seed: int) -> Trained:
     p, d = t.params, t.design
     k = len(t.levels)
@@ -140,7 +146,7 @@ def _fit_classifier(t: Trained, data: DataFrame, seed: int) -> Trained:
     if t.algo == "logistic":
         est = LogisticRegression(regParam=0.0, family="multinomial" if k > 2 else "binomial", maxIter=100)
     elif t.algo == "tree":
-        est = DecisionTreeClassifier(maxDepth=p["depth"], minInfoGain=p["cp"] * 0.5, seed=seed)
+        est = DecisionTreeClassifier(maxDepth=p["depth"], minInfoGain=p["cp"] * _gini(a), seed=seed)
     elif t.algo == "rf":
         est = RandomForestClassifier(numTrees=p["trees"], seed=seed, maxDepth=p.get("max_depth", 15),
                                      minInstancesPerNode=1,
@@ -256,10 +262,11 @@ def naive_bayes_scores(m: NaiveBayes) -> list:
             mu, sd = params[c]
             if mu is None:
                 continue
-            sd = sd if sd and sd > 0 else 1e-9
+            sd = sd if sd and sd > 0 else m.threshold
             x = col(f).cast("double")
             logd = -0.5 * F.pow((x - F.lit(mu)) / F.lit(sd), 2) - F.lit(math.log(sd * math.sqrt(2 * math.pi)))
-            s = s + F.coalesce(F.greatest(logd, F.lit(thr)), F.lit(0.0))
+            # only a density that is 0 as a double is replaced
+            s = s + F.coalesce(F.when(F.exp(logd) > 0, logd).otherwise(F.when(logd.isNotNull(), F.lit(thr))), F.lit(0.0))
         for f, tb in m.table.items():
             probs = tb[c]
             if probs:

@@ -154,8 +154,8 @@ def roc_curve(df: DataFrame, score: str, label: str, positive=None, direction: i
     cp = _prefix_sum(idx, "__i", "pos").withColumnRenamed("before", "pos_before")
     cn = _prefix_sum(cp, "__i", "neg").withColumnRenamed("before", "neg_before")
     return cn.select((F.col("s") * F.lit(float(d))).alias("threshold"),
-                     ((F.col("neg_before") + F.col("neg")) / F.lit(float(tot["N"] or 0))).alias("fpr"),
-                     ((F.col("pos_before") + F.col("pos")) / F.lit(float(tot["P"] or 0))).alias("tpr"))
+                     F.try_divide(F.col("neg_before") + F.col("neg"), F.lit(float(tot["N"] or 0))).alias("fpr"),
+                     F.try_divide(F.col("pos_before") + F.col("pos"), F.lit(float(tot["P"] or 0))).alias("tpr"))
 
 
 def auc(df: DataFrame, score: str, label: str, positive=None, direction: int | None = None) -> DataFrame:
@@ -168,7 +168,7 @@ def auc(df: DataFrame, score: str, label: str, positive=None, direction: int | N
     j = per.join(ranks.withColumnRenamed("v", "s"), "s")
     return j.agg(F.sum(F.col("pos") * F.col("rank")).alias("rs"), F.sum("pos").alias("P"),
                  F.sum(F.col("c") - F.col("pos")).alias("N")).select(
-        ((F.col("rs") - F.col("P") * (F.col("P") + 1) / 2) / (F.col("P") * F.col("N"))).alias("auc"))
+        F.try_divide(F.col("rs") - F.col("P") * (F.col("P") + 1) / 2, F.col("P") * F.col("N")).alias("auc"))
 
 
 def prediction_check(df: DataFrame, actual: str, predicted: str, keep: list[str] | None = None) -> DataFrame:

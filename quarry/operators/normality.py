@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import FLOAT_TYPES, col, dtype_of
-from ..functions.special import norm_cdf
+from ..functions.special import log_norm_cdf, norm_cdf
 
 
 def _num(df, c):
@@ -72,12 +72,7 @@ def _ad_pvalue(aa: float) -> float:
 
 
 def _log_norm_cdf_series(z: pd.Series) -> pd.Series:
-    v = z.to_numpy(dtype=float)
-    out = np.empty(len(v))
-    for i, t in enumerate(v):
-        p = 0.5 * math.erfc(-t / math.sqrt(2.0))
-        out[i] = math.log(p) if p > 0 else -1e300
-    return pd.Series(out)
+    return pd.Series(log_norm_cdf(z.to_numpy(dtype=float)))
 
 
 def _log_norm_cdf(z):
@@ -169,13 +164,17 @@ def shapiro_wilk_w(x: np.ndarray) -> tuple[float, float]:
     return w, 1 - norm_cdf(z)
 
 
-def shapiro_wilk(df: DataFrame, cols: list[str], max_n: int = 5000, seed: int = 42) -> DataFrame:
-    """Above ``max_n`` values a seeded hash sample of ``max_n`` is tested."""
-    structs = [F.struct(F.lit(c).alias("variable"), _num(df, c).alias("v")) for c in cols]
+def shapiro_wilk(df: DataFrame, cols: list[str], max_n: int = 5000, seed: int = 42,
+                 key: list[str] | None = None) -> DataFrame:
+    """Above ``max_n`` values a seeded sample of ``max_n`` rows is tested.
+
+    Rows are chosen by a hash of ``key`` (all columns of ``df`` when not
+    given), so the sample is one of rows, whatever values repeat.
+    """
+    row = F.xxhash64(*[col(c).cast("string") for c in (key or df.columns)], F.lit(seed))
+    structs = [F.struct(F.lit(c).alias("variable"), _num(df, c).alias("v"), row.alias("__row")) for c in cols]
     lv = df.select(F.inline(F.array(*structs))).where("v IS NOT NULL")
-    # hash of the value only: equal values are interchangeable, so the sampled
-    # multiset does not depend on row order or partitioning
-    lv = lv.withColumn("__h", F.xxhash64(F.col("variable"), F.col("v"), F.lit(seed)))
+    lv = lv.withColumn("__h", F.xxhash64(F.col("variable"), F.col("__row"))).drop("__row")
     parts = []
     for c in cols:
         # top-k by hash: each task keeps at most max_n rows

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import combinations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def fit_outliers(df: DataFrame, cols: list[str], method: str = "iqr", z: float =
     num = set(roles(df)[0])
     valid = [c for c in cols if c in num]
     if not valid:
-        raise ValueError("No valid numeric columns for outlier detection.")
+        raise ValueError("fit_outliers: no numeric column among those named")
     p = OutlierParams(method)
     if method == "iqr":
         qs = quantiles(df, valid, [0.25, 0.75])
@@ -121,39 +123,28 @@ def remove_near_zero_variance(df: DataFrame, freq_cut: float = 95 / 5, unique_cu
 # ---- T15: high correlation filter -------------------------------------------
 
 def find_correlated(names: list[str], m: list[list[float]], cutoff: float = 0.90) -> list[str]:
-    """Greedy pick (caret's findCorrelation, exact form) on the small p x p matrix.
+    """Of each pair above the cutoff, the column with the larger mean absolute correlation goes.
 
-    Columns ordered by mean abs correlation (desc); scanning pairs above the
-    cutoff, drop the side with the larger mean abs correlation, refreshed
-    after each drop.
+    Pairs are met in the order of the columns' first means, largest first; the means
+    are those over the columns still there (ties: the later column of the pair goes).
     """
-    p = len(names)
-    a = [[abs(v) if v is not None else float("nan") for v in row] for row in m]
-
-    def mean_skip(vals):
-        xs = [v for v in vals if v == v]
-        return sum(xs) / len(xs) if xs else float("nan")
-
-    avg = [mean_skip([a[i][j] for j in range(p) if j != i]) for i in range(p)]
-    order = sorted(range(p), key=lambda i: -avg[i] if avg[i] == avg[i] else float("inf"))
-    x = [[a[i][j] for j in order] for i in order]
-    x2 = [[(x[i][j] if i != j else float("nan")) for j in range(p)] for i in range(p)]
-    delete = [False] * p
-    for i in range(p - 1):
-        if not any(v == v and v > cutoff for row in x2 for v in row):
-            break
-        if delete[i]:
-            continue
-        for j in range(i + 1, p):
-            if not delete[i] and not delete[j] and x[i][j] > cutoff:
-                mn1 = mean_skip(x2[i])
-                mn2 = mean_skip([v for k, row in enumerate(x2) if k != j for v in row])
-                k = i if mn1 > mn2 else j
-                delete[k] = True
-                for t in range(p):
-                    x2[k][t] = float("nan")
-                    x2[t][k] = float("nan")
-    return [names[order[i]] for i in range(p) if delete[i]]
+    r = np.abs(np.array([[np.nan if v is None else v for v in row] for row in m], dtype=float))
+    np.fill_diagonal(r, np.nan)
+
+    def mean_with(column: int, there: list[int]) -> float:
+        seen = r[column, there]
+        seen = seen[~np.isnan(seen)]
+        return float(seen.mean()) if len(seen) else -1.0
+
+    there = list(range(len(names)))
+    ranked = sorted(there, key=lambda c: -mean_with(c, there))
+    gone = []
+    for x, y in combinations(ranked, 2):
+        if x in there and y in there and r[x, y] > cutoff:
+            worse = x if mean_with(x, there) > mean_with(y, there) else y
+            there.remove(worse)
+            gone.append(worse)
+    return [names[c] for c in ranked if c in gone]
 
 
 def remove_correlated(df: DataFrame, threshold: float = 0.90) -> tuple[DataFrame, list[str]]:

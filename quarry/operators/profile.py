@@ -190,13 +190,17 @@ def overview(df: DataFrame) -> DataFrame:
 
 def constant_columns(df: DataFrame) -> DataFrame:
     """Columns with exactly one distinct present value."""
-    return column_counts(df).where(F.col("unique") == 1).select("variable")
+    one = [F.struct(F.lit(c).alias("variable"), (F.min(_text(df, c)) == F.max(_text(df, c))).alias("same"))
+           for c in df.columns]
+    return df.agg(F.array(*one).alias("a")).select(F.inline("a")).where("same").select("variable")
 
 
 def high_missing_columns(df: DataFrame, threshold_pct: float = 30.0) -> DataFrame:
     """Columns whose missing percent is above the threshold (30 live, 20 report)."""
-    return (column_counts(df).where(F.col("missing") * 100.0 / F.col("rows") > threshold_pct)
-            .select("variable", (F.col("missing") * 100.0 / F.col("rows")).alias("missing_pct")))
+    shares = [F.struct(F.lit(c).alias("variable"),
+                       F.try_divide(F.count_if(_text(df, c).isNull()) * 100.0, F.count(F.lit(1)))
+                       .alias("missing_pct")) for c in df.columns]
+    return (df.agg(F.array(*shares).alias("a")).select(F.inline("a")).where(F.col("missing_pct") > threshold_pct))
 
 
 def skewness_table(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
@@ -408,17 +412,17 @@ def auto_eda(df: DataFrame, high_missing_pct: float = 20.0) -> DataFrame:
     issues = []
     hm = [r["variable"] for r in high_missing_columns(df, high_missing_pct).collect()]
     if hm:
-        issues.append("High missing (>20%%): %s" % ", ".join(hm))
+        issues.append("many values missing: " + ", ".join(hm))
     if ov["duplicate_rows"] > 0:
-        issues.append("%d duplicate rows detected" % ov["duplicate_rows"])
+        issues.append("rows that repeat others: %d" % ov["duplicate_rows"])
     if num:
         zv = [r["variable"] for r in zero_variance_columns(df, num).collect()]
         if zv:
-            issues.append("Zero variance: %s" % ", ".join(zv))
+            issues.append("constant: " + ", ".join(zv))
         op = [r["variable"] for r in outlier_prone_columns(df, num).collect()]
         if op:
-            issues.append("Potential outliers (>5%% of data): %s" % ", ".join(op))
-    for s in issues or ["No major issues detected"]:
+            issues.append("more than 5%% outliers: %s" % ", ".join(op))
+    for s in issues or ["none found"]:
         rows.append(("issues", "issue", s))
     if num:
         for r in skewed_columns(df, num).collect():
@@ -428,7 +432,7 @@ def auto_eda(df: DataFrame, high_missing_pct: float = 20.0) -> DataFrame:
             for r in pairs:
                 rows.append(("high_correlations", f'{r["var1"]}~{r["var2"]}', r["label"]))
             if not pairs:
-                rows.append(("high_correlations", "none", "No high correlations (|r| > 0.8) found"))
+                rows.append(("high_correlations", "none", "no pair above 0.8"))
         for r in variance_ranking(df, num).collect():
             rows.append(("variable_importance", r["variable"], "%.4f" % r["score"]))
     if cat:
@@ -444,15 +448,15 @@ def insights(df: DataFrame) -> DataFrame:
     ov = overview(df).collect()[0]
     out = []
     if ov["missing_pct"] and ov["missing_pct"] > 0:
-        out.append(("warning", "Missing Data", "%.1f%% of all values are missing." % ov["missing_pct"]))
+        out.append(("warning", "Missing Data", "missing share of all cells: %.1f%%" % ov["missing_pct"]))
     if ov["duplicate_rows"] > 0:
-        out.append(("warning", "Duplicate Rows", "%d duplicate rows." % ov["duplicate_rows"]))
+        out.append(("warning", "Duplicate Rows", "rows that repeat others: %d" % ov["duplicate_rows"]))
     num = roles(df)[0]
     if num:
         hs = [r["variable"] for r in skewed_columns(df, num).collect()]
         if hs:
             out.append(("info", "High Skewness",
-                        "Variables with |skewness| > 1: " + ", ".join(hs)))
+                        "skewness beyond 1: " + ", ".join(hs)))
     hm = [r["variable"] for r in high_missing_columns(df, 30.0).collect()]
     if hm:
         out.append(("danger", "High Missing (>30%)", ", ".join(hm)))
@@ -461,6 +465,6 @@ def insights(df: DataFrame) -> DataFrame:
         cc = [c for c in df.columns if c in set(cc)]
         out.append(("danger", "Constant Columns", ", ".join(cc)))
     if not out:
-        out.append(("success", "All clear!", "No major data issues detected."))
+        out.append(("success", "All clear!", "nothing to report"))
     return spark.createDataFrame(out, "severity string, title string, message string")
 

@@ -6,6 +6,7 @@ import math
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def fit_scale(df: DataFrame, cols: list[str], method: str = "zscore", sd_zero_to
     num = set(roles(df)[0])
     valid = [c for c in cols if c in num]
     if not valid:
-        raise ValueError("No valid numeric columns to scale.")
+        raise ValueError("scale: no numeric column among those named")
     p = ScaleParams(method)
     if method == "log":
         p.stats = {c: None for c in valid}
@@ -106,7 +107,7 @@ def fit_encode(df: DataFrame, cols: list[str], full_rank: bool = True,
     """
     valid = [c for c in cols if c in df.columns]
     if not valid:
-        raise ValueError("No valid columns to encode.")
+        raise ValueError("encode: no such column")
     num = set(roles(df)[0])
     structs = [F.struct(F.lit(c).alias("variable"), col(c).cast("string").alias("v"),
                         (_num(df, c) if c in num else F.lit(None).cast("double")).alias("n"))
@@ -172,41 +173,29 @@ def scale_and_encode(df: DataFrame, scale_cols=None, method: str = "zscore", enc
 
 # ---- binning (R cut: right-closed, lowest included) -------------------------
 
-def _fmt(x: float, digits: int) -> str:
-    return "%.*g" % (digits, x)
+def bin_labels(breaks: list[float], digits: int = 3) -> list[str]:
+    """Text of right-closed intervals, the first closed on both sides.
 
-
-def bin_labels(breaks: list[float], dig_lab: int = 3) -> list[str]:
-    """Interval labels as R's cut: "[a,b]" first, "(a,b]" after, %.{d}g text,
-    digits raised until neighbouring edges print differently."""
-    nb = len(breaks)
-    for dig in range(dig_lab, max(12, dig_lab) + 1):
-        ch = [_fmt(0.0 + b, dig) for b in breaks]
-        if all(ch[i] != ch[i + 1] for i in range(nb - 1)):
+    Edges are written with as few significant digits, from ``digits`` to 12,
+    as make neighbours differ.
+    """
+    for used in range(digits, max(digits, 12) + 1):
+        edges = [f"{b or 0.0:.{used}g}" for b in breaks]  # no minus sign on zero
+        if not any(map(str.__eq__, edges, edges[1:])):
             break
-    labels = [f"({ch[i]},{ch[i + 1]}]" for i in range(nb - 1)]
-    if labels:
-        labels[0] = "[" + labels[0][1:]
-    return labels
-
-
-def _seq(a: float, b: float, n: int) -> list[float]:
-    """R's seq(a, b, length.out = n): a + i * ((b - a) / (n - 1)), last = b."""
-    n1 = n - 1
-    step = (b - a) / n1
-    return [a] + [a + i * step for i in range(1, n1)] + [b]
+    return [f"{'(' if k else '['}{low},{high}]" for k, (low, high) in enumerate(zip(edges, edges[1:]))]
 
 
 def equal_width_breaks(lo: float, hi: float, n_bins: int) -> list[float]:
-    """R's cut(x, n): n+1 equal steps over the range, outer edges widened by range/1000."""
-    nb = n_bins + 1
-    dx = hi - lo
-    if dx == 0:
-        dx = abs(lo) if lo != 0 else 1.0
-        return _seq(lo - dx / 1000, hi + dx / 1000, nb)
-    br = _seq(lo, hi, nb)
-    br[0], br[-1] = lo - dx / 1000, hi + dx / 1000
-    return br
+    """``n_bins + 1`` equal steps over the range, its ends a thousandth of the range further out.
+
+    A range of one value is as wide as that value (1 for zero), ends included.
+    """
+    if lo == hi:
+        out = (abs(lo) or 1.0) / 1000
+        return np.linspace(lo - out, hi + out, n_bins + 1).tolist()
+    out = (hi - lo) / 1000
+    return [lo - out, *np.linspace(lo, hi, n_bins + 1)[1:-1].tolist(), hi + out]
 
 
 @dataclass
@@ -221,7 +210,7 @@ def fit_bin(df: DataFrame, var: str, n_bins: int = 4, breaks=None, labels=None)
     if var not in df.columns:
         raise ValueError(f"Column not found: {var}")
     if var not in roles(df)[0]:
-        raise ValueError(f"{var} must be numeric for binning")
+        raise ValueError(f"bin_variable: {var} is not a numeric column")
     if breaks is None:
         r = df.agg(F.min(_num(df, var)).alias("lo"), F.max(_num(df, var)).alias("hi")).collect()[0]
         if r["lo"] is None:

@@ -17,6 +17,7 @@ from ..operators import explain as XP
 from ..operators import learners as LR
 from ..operators import metrics as M
 from ..operators.split import train_test_split
+from ..sources.tables import load_table
 from ..session import ensure_checkpoint_dir
 from ..sources import bundles as B
 from . import fixtures as fx
@@ -79,8 +80,10 @@ tot AS (SELECT sum(n) AS total FROM st),
 ct AS (SELECT y, event_type, count(*) AS c FROM d GROUP BY y, event_type),
 sc AS (SELECT d.event_id, st.y AS cls,
   ln(CAST(st.n AS DOUBLE) / tot.total)
-  + greatest(-0.5 * power((d.value - mv) / sv, 2) - ln(sv * sqrt(2 * pi())), ln(0.001))
-  + greatest(-0.5 * power((d.user_id - mu) / su, 2) - ln(su * sqrt(2 * pi())), ln(0.001))
+  + (CASE WHEN exp(-0.5 * power((d.value - mv) / sv, 2) - ln(sv * sqrt(2 * pi()))) > 0
+          THEN -0.5 * power((d.value - mv) / sv, 2) - ln(sv * sqrt(2 * pi())) ELSE ln(0.001) END)
+  + (CASE WHEN exp(-0.5 * power((d.user_id - mu) / su, 2) - ln(su * sqrt(2 * pi()))) > 0
+          THEN -0.5 * power((d.user_id - mu) / su, 2) - ln(su * sqrt(2 * pi())) ELSE ln(0.001) END)
   + coalesce(ln(CAST(ct.c AS DOUBLE) / st.n), ln(0.001)) AS s
   FROM d CROSS JOIN st CROSS JOIN tot LEFT JOIN ct ON ct.y = st.y AND ct.event_type = d.event_type)
 SELECT event_id, cls AS prediction FROM (
@@ -94,6 +97,28 @@ def c6_nb_closed(spark, sf):
     return t.predict(df, keep=["event_id"]).select("event_id", "prediction")
 
 
+NB_WIDE_SQL = """
+WITH d AS (SELECT o_orderkey, o_totalprice AS x, CASE WHEN o_totalprice > 150000 THEN 'hi' ELSE 'lo' END AS y
+           FROM orders),
+st AS (SELECT y, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM d GROUP BY y),
+sc AS (SELECT d.o_orderkey, st.y AS cls, ln(CAST(st.n AS DOUBLE) / (SELECT count(*) FROM d))
+         + (CASE WHEN exp(-0.5 * power((d.x - m) / s, 2) - ln(s * sqrt(2 * pi()))) > 0
+                 THEN -0.5 * power((d.x - m) / s, 2) - ln(s * sqrt(2 * pi())) ELSE ln(0.001) END) AS v
+       FROM d CROSS JOIN st)
+SELECT o_orderkey, cls AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY v DESC, cls) AS rn FROM sc) AS r WHERE rn = 1"""
+
+
+@register("c6_naive_bayes_wide_feature", NB_WIDE_SQL)
+def c6_nb_wide(spark, sf):
+    """A feature with a standard deviation in the tens of thousands decides the class."""
+    df = load_table(spark, sf, "orders").select(
+        "o_orderkey", F.col("o_totalprice").alias("x"),
+        F.when(F.col("o_totalprice") > 150000, "hi").otherwise("lo").alias("y"))
+    t = LR.train(df, "y", ["x"], "nb", task="classification")
+    return t.predict(df, keep=["o_orderkey"]).select("o_orderkey", "prediction")
+
+
 @register("c9_levels_and_label_mapping", """
 SELECT y3 AS level, CAST(row_number() OVER (ORDER BY y3) - 1 AS DOUBLE) AS label_index
 FROM (SELECT DISTINCT """ + fx.EV_CLS3 + """ AS y3 FROM events) AS d""")
@@ -183,8 +208,7 @@ def x2_permutation(spark, sf):
 def s9_bundle(spark, sf):
     tr, te = _split(spark, sf)
     t = LR.train(tr, "y2", FEATS, "rf", task="classification", params={"trees": 10})
-    base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base.replace("file:", ""), f"bundle_rf_{os.getpid()}")
+    path = os.path.join(ensure_checkpoint_dir(spark), f"bundle_rf_{os.getpid()}")
     B.save_bundle(t, path, schema_of=tr)
     t2, meta = B.load_bundle(path)
     return B.score(te, t2, meta, keep=["event_id"]).select("event_id", "prediction")
@@ -195,7 +219,7 @@ def s7_score_file(spark, sf):
     """S7 + V1 + S8: a CSV scoring file read with the bundle, scored and written as CSV."""
     tr, te = _split(spark, sf)
     t = LR.train(tr, "y", FEATS, "linear", task="regression")
-    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    base = ensure_checkpoint_dir(spark)
     tag = f"{os.getpid()}_{abs(hash(sf)) % 10**8}"
     bundle = os.path.join(base, f"bundle_linear_{tag}")
     B.save_bundle(t, bundle, schema_of=tr)
@@ -214,21 +238,17 @@ _STREAM_RUNS = __import__("itertools").count()
 @register("v1_stream_scoring_of_table_files", NB_SQL)
 def v1_stream_scoring(spark, sf):
     """V1 on a stream: the events table read as a file stream, scored by a saved bundle
-    (naive Bayes, a pure column expression) and collected in the in-process memory sink."""
-    from ..streaming.scoring import read_stream
+    (naive Bayes, a pure column expression), written by the file sink and read back."""
+    from ..streaming.scoring import score_stream
     df = fx.ev_learn(spark, sf)
     t = LR.train(df, "y2", FEATS, "nb", task="classification")
-    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    base = ensure_checkpoint_dir(spark)
     tag = f"{os.getpid()}_{abs(hash(sf)) % 10**8}_{next(_STREAM_RUNS)}"
     bundle = os.path.join(base, f"bundle_nb_stream_{tag}")
     B.save_bundle(t, bundle, schema_of=df)
-    t2, meta = B.load_bundle(bundle)
     schema = spark.read.parquet(os.path.join(sf, "events.parquet")).schema
+    out = os.path.join(base, f"scored_events_{tag}")
     # a file stream watches a folder or a glob: the glob names exactly the events file
-    stream = read_stream(spark, os.path.join(sf, "events.parq*"), schema, fmt="parquet")
-    scored = B.score(stream, t2, meta, keep=["event_id"])
-    name = f"scored_events_{tag}"
-    q = (scored.writeStream.format("memory").queryName(name).outputMode("append")
-         .option("checkpointLocation", os.path.join(base, f"ck_{name}")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name).select("event_id", "prediction")
+    score_stream(spark, os.path.join(sf, "events.parq*"), schema, bundle, out, keep=["event_id"], fmt="parquet",
+                 trigger_once=True).awaitTermination()
+    return spark.read.parquet(out).select("event_id", "prediction")

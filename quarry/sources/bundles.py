@@ -1,20 +1,23 @@
 """Model bundles: save, load, check and batch-score.
 
 A bundle is a folder: the fitted learner as a Spark ML pipeline where the
-learner is a Spark estimator (its own ``save``), plus ``bundle.json`` with
+learner is a Spark estimator (its own ``save``), plus a one-row ``sidecar`` table with
 algorithm, task, target, feature names and types, class levels, design
 levels and -- unlike the reference (D11) -- the preprocessing (scaling)
 parameters, so scoring new files is on the training scale.  Closed-form
-and numpy learners keep their parameters in the JSON/NPZ sidecar.
+and numpy learners keep their parameters in the sidecar.
 """
 
 from __future__ import annotations
 
+import io
 import json
 import os
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..functions.roles import is_numeric_type
 from ..operators import learners as LR
@@ -35,13 +38,13 @@ def _design_from_json(j: dict) -> Design:
 def save_bundle(t: LR.Trained, path: str, schema_of: DataFrame | None = None,
                 scaler: ScaleParams | None = None) -> str:
     """Write the model and its sidecar (overwrites)."""
-    os.makedirs(path, exist_ok=True) if "://" not in path else None
     meta = {"algo": t.algo, "task": t.task, "target": t.target, "features": t.features, "levels": t.levels,
             "params": t.params, "design": _design_to_json(t.design),
             "scaler": {"method": scaler.method, "stats": scaler.stats} if scaler else None,
             "feature_types": ({f: schema_of.schema[f].dataType.simpleString() for f in t.features}
                               if schema_of is not None else None)}
     m = t.model
+    arrays = None
     if hasattr(m, "write"):
         m.write().overwrite().save(os.path.join(path, "model"))
         meta["model_class"] = f"{type(m).__module__}.{type(m).__name__}"
@@ -59,30 +62,43 @@ def save_bundle(t: LR.Trained, path: str, schema_of: DataFrame | None = None,
                 arrays.update({f"k_{k}": (np.asarray(v) if v is not None else np.array([]))
                                for k, v in vars(m.kernel).items() if k != "kind"})
                 meta["kernel_kind"] = m.kernel.kind
-        np.savez(os.path.join(path, "arrays.npz"), **arrays)
+    kernel = None
     if t.extra.get("kernel") is not None:
         km = t.extra["kernel"]
-        np.savez(os.path.join(path, "kernel.npz"), **{k: (np.asarray(v) if v is not None else np.array([]))
-                                                      for k, v in vars(km).items() if k != "kind"})
+        kernel = {k: (np.asarray(v) if v is not None else np.array([])) for k, v in vars(km).items() if k != "kind"}
         meta["svm_kernel"] = km.kind
         meta["dims"] = t.extra.get("dims")
         meta["platt"] = t.extra.get("platt")
-    with open(os.path.join(path, "bundle.json"), "w") as fh:
-        json.dump(meta, fh, default=float)
+    row = (json.dumps(meta, default=float), _packed(arrays), _packed(kernel))
+    SparkSession.getActiveSession().createDataFrame([row], SIDECAR).coalesce(1).write.mode("overwrite").parquet(
+        os.path.join(path, "sidecar"))
     return path
 
 
+#: One row beside the model, written by Spark so that any store it reaches will do.
+SIDECAR = "meta string, arrays binary, kernel binary"
+
+
+def _packed(arrays: dict | None) -> bytes | None:
+    """Arrays as the bytes of an ``npz`` file."""
+    if arrays is None:
+        return None
+    out = io.BytesIO()
+    np.savez(out, **arrays)
+    return out.getvalue()
+
+
 def load_bundle(path: str) -> tuple[LR.Trained, dict]:
     """Read a bundle; a bare Spark model folder is accepted with
     algo 'Loaded' and task 'unknown', as the reference does."""
-    meta_path = os.path.join(path, "bundle.json")
-    if not os.path.exists(meta_path):
+    try:
+        row = SparkSession.getActiveSession().read.schema(SIDECAR).parquet(os.path.join(path, "sidecar")).first()
+    except AnalysisException:  # no such folder
         from pyspark.ml import PipelineModel
         m = PipelineModel.load(path)
         return LR.Trained("Loaded", "unknown", None, [], Design(target=""), model=m), {"algo": "Loaded",
                                                                                        "task": "unknown"}
-    with open(meta_path) as fh:
-        meta = json.load(fh)
+    meta = json.loads(row["meta"])
     d = _design_from_json(meta["design"])
     t = LR.Trained(meta["algo"], meta["task"], meta["target"], meta["features"], d, meta["levels"],
                    params=meta["params"])
@@ -91,7 +107,7 @@ def load_bundle(path: str) -> tuple[LR.Trained, dict]:
         import importlib
         t.model = getattr(importlib.import_module(mod), cls).load(os.path.join(path, "model"))
     else:
-        arr = dict(np.load(os.path.join(path, "arrays.npz"), allow_pickle=False))
+        arr = dict(np.load(io.BytesIO(row["arrays"]), allow_pickle=False))
         if t.algo == "linear":
             from ..operators.linear import OLSFit
             n, rss, tss, ym = arr["scalars"]
@@ -114,7 +130,7 @@ def load_bundle(path: str) -> tuple[LR.Trained, dict]:
             t.model = SVRModel(km, arr["w"], float(arr["y_mean"]), float(arr["y_sd"]))
     if meta.get("svm_kernel"):
         from ..operators.gradient import KernelMap
-        k = dict(np.load(os.path.join(path, "kernel.npz")))
+        k = dict(np.load(io.BytesIO(row["kernel"]), allow_pickle=False))
         t.extra["kernel"] = KernelMap(meta["svm_kernel"], k["mean"], k["sd"], k["W"] if k["W"].size else None,
                                       k["b"] if k["b"].size else None, float(k["gamma"]))
         t.extra["dims"] = meta["dims"]
@@ -149,6 +165,12 @@ def score_file(spark: SparkSession, path: str, bundle_path: str, out_path: str |
     from .tables import load, write_predictions
     t, meta = load_bundle(bundle_path)
     df = load(spark, path, fmt)
+    types = meta.get("feature_types") or {}
+    if any(f.dataType.simpleString() != types.get(f.name, f.dataType.simpleString()) for f in df.schema.fields):
+        # inferred types may differ from those of the training table (a code such as 007): read with those
+        schema = T.StructType([T.StructField(f.name, T.DataType.fromDDL(types[f.name]) if f.name in types else f.dataType)
+                               for f in df.schema.fields])
+        df = spark.read.schema(schema).parquet(path) if fmt == "parquet" else load(spark, path, fmt, schema=schema)
     pred = score(df, t, meta, keep)
     if out_path:
         write_predictions(pred, out_path)

@@ -38,7 +38,7 @@ def score_stream(spark: SparkSession, in_path: str, schema: T.StructType, bundle
     t, meta = load_bundle(bundle_path)
     stream = read_stream(spark, in_path, schema, fmt)
     pred = score(stream, t, meta, keep=keep)
-    ck = checkpoint or os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""),
+    ck = checkpoint or os.path.join(ensure_checkpoint_dir(spark),
                                     "score_stream_" + os.path.basename(out_path.rstrip("/")))
     w = pred.writeStream.format("parquet").option("path", out_path).option("checkpointLocation", ck) \
         .outputMode("append")
