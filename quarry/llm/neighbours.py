@@ -40,6 +40,8 @@ FIT_ROWS, TREES, LEAF = 20_000, 8, 256
 SHARE = 1.1
 #: Vectors of a leaf, and queries at a leaf, that one row holds at most (about).
 BLOCK = 512
+#: Queries whose best a task keeps before it hands them on.
+HELD = 20_000
 
 
 @dataclass
@@ -161,23 +163,43 @@ def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
 
 
 def _nearest(k: int):
-    @F.arrow_udf("array<struct<qid: long, vid: long, score: double>>")
-    def nearest(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for asked, held in batches:
-            out = []
-            for i in range(len(asked)):
+    """Blocks of queries and of leaf vectors -> ``qid, vid, about``: the best ``k`` of each query, task by task.
+
+    A task keeps the best of at most ``HELD`` queries; beyond that it hands
+    on what it has, and a query may then be handed on more than once.
+    """
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, dict[int, float]] = {}
+
+        def trimmed(found: dict[int, float]) -> dict[int, float]:
+            ranked = sorted(found.items(), key=lambda x: (-round(x[1], 12), x[0]))
+            return dict(ranked[:k])
+
+        def handed_on() -> pa.RecordBatch:
+            rows = [(q, v, s) for q, found in best.items() for v, s in trimmed(found).items()]
+            best.clear()
+            columns = list(zip(*rows, strict=True)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
+                                               pa.array(columns[2], pa.float64())], ["qid", "vid", "about"])
+
+        for batch in batches:
+            asked, held = batch.column("asked"), batch.column("held")
+            for i in range(batch.num_rows):
                 q, x = asked[i].values, held[i].values
-                a, b = _unit(_matrix(q.field("v"))), _unit(_matrix(x.field("v")))
-                qid, vid = np.asarray(q.field("id")), np.asarray(x.field("id"))
-                scores = a @ b.T
-                if len(vid) > 4 * k:  # all that reach the k-th score, ties too
-                    least = np.partition(scores, -k, axis=1)[:, -k] - 1e-12
-                    rows, cols = np.nonzero(scores >= least[:, None])
-                else:
-                    rows, cols = np.indices(scores.shape).reshape(2, -1)
-                out.append([{"qid": a, "vid": b, "score": s} for a, b, s in
-                            zip(qid[rows].tolist(), vid[cols].tolist(), scores[rows, cols].tolist(), strict=True)])
-            yield pa.array(out, pa.list_(pa.struct([("qid", pa.int64()), ("vid", pa.int64()), ("score", pa.float64())])))
+                scores = _unit(_matrix(q.field("v"))) @ _unit(_matrix(x.field("v"))).T
+                qid, vid = q.field("id").to_pylist(), np.asarray(x.field("id"))
+                for at, own in enumerate(scores):
+                    if len(vid) > 4 * k:  # all that reach the k-th score, ties too
+                        some = np.flatnonzero(own >= np.partition(own, -k)[-k] - 1e-12)
+                    else:
+                        some = np.arange(len(vid))
+                    found = best.setdefault(qid[at], {})
+                    found.update(zip(vid[some].tolist(), own[some].tolist(), strict=True))
+                    if len(found) > 8 * k:
+                        best[qid[at]] = trimmed(found)
+                if len(best) > HELD:
+                    yield handed_on()
+        yield handed_on()
 
     return nearest
 
@@ -220,7 +242,7 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
             asked = _unit(_matrix(vectors)) if len(vectors) else []
             yield pa.array([sent.value.visit(q, sizes, share * n) for q in asked], pa.list_(pa.int32()))
 
-    queries = rows.where(is_query)
+    queries = rows.where(is_query).distinct()
     asked_for = queries.join(units.select("vid", F.col("v").alias("w")), F.col("v") == F.col("w")).select("id", "vid")
     asked_for = cut_lineage(asked_for)
     asking = units.join(asked_for.select("vid").distinct(), "vid", "left_semi")
@@ -233,8 +255,9 @@ def search(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vec
     held = blocks(placed, "held", max(1, -(-int(sizes.max()) // BLOCK)))
     n_asking = asking.count()
     asked = blocks(at_leaf, "asked", max(1, -(-n_asking // BLOCK)))
-    found = (asked.join(held, "leaf").select(F.explode(_nearest(k + 1)("asked", "held")).alias("f"))
-             .groupBy("f.qid", "f.vid").agg(F.max("f.score").alias("about")))
+    found = (asked.join(held, "leaf").select("asked", "held")
+             .mapInArrow(_nearest(k + 1), "qid long, vid long, about double")
+             .groupBy("qid", "vid").agg(F.max("about").alias("about")))
     best = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.round("about", 12)), "vid"))
     few = found.withColumn("near", best).where(F.col("near") <= k + 1)
     right = units.select("vid", F.col("v").alias("right"), "ids")
