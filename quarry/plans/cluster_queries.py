@@ -32,7 +32,7 @@ def k1_prepare(spark, sf):
 @register("k2_kmeans_best_of_starts")
 def k2_kmeans(spark, sf):
     df = cl_frame(spark, sf)
-    fit = K.kmeans(df, ["x", "y"], k=4, n_starts=3)
+    fit = K.kmeans(df, ["x", "y"], k=4, n_starts=25)
     lab = K.assign_nearest(df, ["x", "y"], fit.centers, "kmeans_cluster")
     return lab.groupBy("kmeans_cluster").agg(F.count(F.lit(1)).alias("n"))
 
@@ -93,7 +93,7 @@ def k9_mean_silhouette(spark, sf):
 
 @register("k11_elbow_wss")
 def k11_elbow(spark, sf):
-    return rounded(K.elbow(cl_frame(spark, sf), ["x", "y"], ks=range(1, 11), n_starts=2), 2)
+    return rounded(K.elbow(cl_frame(spark, sf), ["x", "y"], ks=range(1, 11), n_starts=10), 2)
 
 
 @register("k4_k12_hierarchical_micro_clusters")
@@ -114,7 +114,7 @@ def k12_heights(spark, sf):
 def k3_clara(spark, sf):
     li = fx.t(spark, sf, "lineitem")
     feats = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
-    fit = K.clara(li, feats, k=3, samples=3)
+    fit = K.clara(li, feats, k=3, samples=5)
     lab = K.medoid_labels(li, fit)
     return lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 

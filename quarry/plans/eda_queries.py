@@ -341,6 +341,18 @@ def e22_insights(spark, sf):
     return P.insights(fx.ords(spark, sf))
 
 
+@register("s2_tab_text_roundtrip", f"SELECT * FROM {fx.ORD_SQL} AS s")
+def s2_tab_text(spark, sf):
+    """Tab-separated text."""
+    import os
+    from ..session import ensure_checkpoint_dir
+    from ..sources.tables import load, write_predictions
+    path = os.path.join(ensure_checkpoint_dir(spark), f"tab_{os.getpid()}_{abs(hash(sf)) % 10**8}.txt")
+    df = fx.ords(spark, sf)
+    write_predictions(df, path, "csv", sep="\t")
+    return load(spark, path, sep="\t", schema=df.schema)
+
+
 @register("s1_s3_s8_csv_roundtrip", f"SELECT * FROM {fx.ORD_SQL} AS s")
 def s1_csv_roundtrip(spark, sf):
     import os

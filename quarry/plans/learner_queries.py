@@ -8,6 +8,7 @@ a closed form and has one.
 
 from __future__ import annotations
 
+import itertools
 import os
 
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from . import fixtures as fx
 from .registry import register, rounded
 
 FEATS = ["value", "user_id", "event_type"]
+#: Numbers the folders that queries of one process write.
+_STREAM_RUNS = itertools.count()
 
 
 def _split(spark, sf):
@@ -38,16 +41,16 @@ def _reg_query(algo, params=None):
     return q
 
 
-# small settings keep the check fast; the defaults are those of the reference
+# settings as the reference starts with them
 for _name, _algo, _p in [
         ("r1_linear_test_predictions", "linear", None),
         ("r2_ridge_test_predictions", "ridge", {"lambda": 0.1}),
         ("r3_lasso_test_predictions", "lasso", {"lambda": 0.1}),
         ("r4_tree_test_predictions", "tree", {"depth": 5, "cp": 0.01}),
-        ("r5_forest_test_predictions", "rf", {"trees": 20, "mtry": 2}),
+        ("r5_forest_test_predictions", "rf", {"trees": 100, "mtry": 2}),
         ("r6_svm_regression_test_predictions", "svm", {"kernel": "radial", "cost": 1.0, "epsilon": 0.1}),
-        ("r7_boosting_test_predictions", "gbm", {"trees": 20, "depth": 3, "shrinkage": 0.1}),
-        ("r8_network_regression_test_predictions", "nnet", {"size": 5, "decay": 0.01, "iters": 100})]:
+        ("r7_boosting_test_predictions", "gbm", {"trees": 100, "depth": 3, "shrinkage": 0.1}),
+        ("r8_network_regression_test_predictions", "nnet", {"size": 5, "decay": 0.01, "iters": 200})]:
     register(_name)(_reg_query(_algo, _p))
 
 
@@ -64,11 +67,13 @@ for _name, _algo, _t, _p in [
         ("c1_logistic_binary_test_predictions", "logistic", "y2", None),
         ("c1_logistic_multinomial_test_predictions", "logistic", "y3", None),
         ("c2_tree_classifier_test_predictions", "tree", "y3", {"depth": 5, "cp": 0.01}),
-        ("c3_forest_classifier_test_predictions", "rf", "y2", {"trees": 20, "mtry": 2}),
+        ("c3_forest_classifier_test_predictions", "rf", "y2", {"trees": 100, "mtry": 2}),
         ("c4_svm_classifier_test_predictions", "svm", "y2", {"kernel": "radial", "cost": 1.0}),
         ("c6_naive_bayes_test_predictions", "nb", "y3", None),
-        ("c7_boosting_classifier_test_predictions", "gbm", "y2", {"trees": 20, "depth": 3, "shrinkage": 0.1}),
-        ("c8_network_classifier_test_predictions", "nnet", "y3", {"size": 5, "iters": 100})]:
+        ("c7_boosting_classifier_test_predictions", "gbm", "y2", {"trees": 100, "depth": 3, "shrinkage": 0.1}),
+        ("c4_svm_multiclass_test_predictions", "svm", "y3", {"kernel": "radial", "cost": 1.0}),
+        ("c7_boosting_multiclass_test_predictions", "gbm", "y3", {"trees": 100, "depth": 3, "shrinkage": 0.1}),
+        ("c8_network_classifier_test_predictions", "nnet", "y3", {"size": 5, "iters": 200})]:
     register(_name)(_cls_query(_algo, _t, _p))
 
 
@@ -148,7 +153,7 @@ def c10_learner_confusion(spark, sf):
 def r10_importance(spark, sf):
     tr, _ = _split(spark, sf)
     parts = []
-    for algo, task, target, p in [("linear", "regression", "y", None), ("rf", "regression", "y", {"trees": 20}),
+    for algo, task, target, p in [("linear", "regression", "y", None), ("rf", "regression", "y", {"trees": 100}),
                                   ("logistic", "classification", "y2", None)]:
         t = LR.train(tr, target, FEATS, algo, task=task, params=p)
         parts.append(XP.native_importance(t).withColumn("algorithm", F.lit(algo)))
@@ -158,19 +163,10 @@ def r10_importance(spark, sf):
     return rounded(out, 6)
 
 
-_AUTOML_RUNS: dict = {}
-
-
 def _automl(spark, sf, target="y"):
-    """One AutoML run per session and table set, shared by the A3/A7/A8 queries (as the app
-    shares one run between its ranking, predictions and registry views)."""
-    k = (id(spark), sf, target)
-    if k not in _AUTOML_RUNS:
-        df = fx.ev_learn(spark, sf).select("event_id", target, *FEATS)
-        params = {"rf": {"trees": 20}, "gbm": {"trees": 20}, "nnet": {"iters": 60}}
-        _AUTOML_RUNS[k] = AM.run_automl(df, target, FEATS, key="event_id",
-                                        algos=("glm", "rf", "gbm", "tree", "nnet"), test_pct=20, params=params)
-    return _AUTOML_RUNS[k]
+    """A whole AutoML run: all learners with their default settings."""
+    df = fx.ev_learn(spark, sf).select("event_id", target, *FEATS)
+    return AM.run_automl(df, target, FEATS, key="event_id", test_pct=20)
 
 
 @register("a3_a6_automl_regression_ranking")
@@ -180,10 +176,7 @@ def a3_automl(spark, sf):
 
 @register("a3_a6_automl_classification_ranking")
 def a3_automl_cls(spark, sf):
-    df = fx.ev_learn(spark, sf).select("event_id", "y2", *FEATS)
-    res = AM.run_automl(df, "y2", FEATS, key="event_id", algos=("glm", "rf", "tree"),
-                        params={"rf": {"trees": 20}})
-    return rounded(res.ranking, 4)
+    return rounded(_automl(spark, sf, "y2").ranking, 4)
 
 
 @register("a7_automl_best_predictions")
@@ -193,17 +186,30 @@ def a7_best(spark, sf):
 
 @register("a8_run_registry")
 def a8_registry(spark, sf):
-    return rounded(AM.runs_table([_automl(spark, sf)]).drop("run_id"), 4)
+    """A run is appended to the stored registry, failed learners with their error, and read back."""
+    df = fx.ev_learn(spark, sf).select("event_id", "y", *FEATS)
+    run = AM.run_automl(df, "y", FEATS, key="event_id", algos=("glm", "tree", "no_such_learner"))
+    path = f"{ensure_checkpoint_dir(spark)}/runs_{os.getpid()}_{next(_STREAM_RUNS)}"
+    AM.append_runs([run], path)
+    return rounded(AM.read_runs(spark, path).drop("run_id"), 4)
 
 
 @register("x2_x3_permutation_importance_top")
 def x2_permutation(spark, sf):
     tr, te = _split(spark, sf)
     t = LR.train(tr, "y", FEATS, "linear", task="regression")
-    imp = XP.permutation_importance(t, te, "event_id", n_perm=5)
+    imp = XP.permutation_importance(t, te, "event_id", n_perm=20)
     return rounded(XP.top_features(imp, 3), 6)
 
 
+@register("x1_importance_without_a_native_one")
+def x1_fallback(spark, sf):
+    """A learner without its own importance is asked by shuffling."""
+    tr, te = _split(spark, sf)
+    t = LR.train(tr, "y2", FEATS, "nb", task="classification")
+    return rounded(XP.native_importance(t, te, "event_id"), 6)
+
+
 @register("s9_s10_v1_bundle_roundtrip_scoring")
 def s9_bundle(spark, sf):
     tr, te = _split(spark, sf)
@@ -231,9 +237,6 @@ def s7_score_file(spark, sf):
     return rounded(pred, 4)
 
 
-_STREAM_RUNS = __import__("itertools").count()
-
-
 # the stream scores with the same closed-form model as c6, so the same SQL is its oracle
 @register("v1_stream_scoring_of_table_files", NB_SQL)
 def v1_stream_scoring(spark, sf):
