@@ -305,7 +305,7 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, method: str
 
     ``use="complete"``: rows complete in all columns (listwise);
     ``use="pairwise"``: each pair over the rows where both are present.
-    Spearman = Pearson on average ranks (ties get the mean rank).
+    Spearman = Pearson on average ranks (ties get the mean rank); Kendall = tau-b.
     """
     num = cols if cols is not None else roles(df)[0]
     if len(num) < 2:
@@ -314,6 +314,9 @@ def correlation_matrix(df: DataFrame, cols: list[str] | None = None, method: str
     if use == "complete":
         from .cleaning import drop_incomplete
         data = drop_incomplete(data)
+    if method == "kendall":
+        from .kendall import kendall_matrix
+        return kendall_matrix(data, num)
     if method == "spearman":
         data = average_ranks(data, num, pairwise=(use == "pairwise"))
     elif method != "pearson":

@@ -341,6 +341,24 @@ def e22_insights(spark, sf):
     return P.insights(fx.ords(spark, sf))
 
 
+_KENDALL = ["l_quantity", "l_linenumber", "l_discount"]
+
+
+def _kendall_sql(a: str, b: str) -> str:
+    # all pairs of distinct points, weighted by their counts
+    return f"""SELECT '{a}' AS var1, '{b}' AS var2,
+  sum(p.c * q.c * sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(p.c * q.c * abs(sign(p.x - q.x))))
+    / sqrt(sum(p.c * q.c * abs(sign(p.y - q.y)))) AS correlation
+FROM (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, count(*) AS c FROM lineitem GROUP BY 1, 2) AS p,
+     (SELECT CAST({a} AS DOUBLE) AS x, CAST({b} AS DOUBLE) AS y, count(*) AS c FROM lineitem GROUP BY 1, 2) AS q"""
+
+
+@register("e8_correlation_kendall", rsql(" UNION ALL ".join(_kendall_sql(a, b) for a in _KENDALL for b in _KENDALL),
+                                          ["correlation"], 9))
+def e8_kendall(spark, sf):
+    return rounded(P.correlation_matrix(fx.t(spark, sf, "lineitem"), _KENDALL, "kendall"), 9)
+
+
 @register("s2_tab_text_roundtrip", f"SELECT * FROM {fx.ORD_SQL} AS s")
 def s2_tab_text(spark, sf):
     """Tab-separated text."""
