@@ -13,7 +13,7 @@ about, and then less.  The band is as wide as such a similarity can need.
 
 Equal word sequences are one node from the start.  Within a bucket no pairs are
 listed: members are compared with a leader, and after that only with further leaders
-(1, 4, 16, ... by rank) of buckets that still hold documents of different
+(8, 128, 2048, ... by rank) of buckets that still hold documents of different
 classes, until every bucket is of one class or every member was a
 leader.  The classes are thus those of all pairs that share a band key;
 a pair at similarity 0.8 shares none with a chance of about 1 in 10,000.
@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import BROADCAST_ROWS, broadcast_if_small, quoted, text_or_empty, written
+from .tables import broadcast_if_small, quoted, text_or_empty, written
 
 #: Words of an item, least similarity of a link.
 K, SIMILARITY = 5, 0.8
 #: Items of one value, values of a band key, band keys.
 L, ROWS, BANDS = 2, 3, 36
+#: Leaders of a bucket after the first, and times as many in each further round.
+FIRST_LEADERS, MORE_LEADERS = 8, 16
 #: Words whose hash one worker remembers.
 REMEMBERED = 400_000
 #: Elements of the hash matrix that are made at once.
@@ -188,15 +190,15 @@ def classes_of(links: DataFrame) -> DataFrame:
     that class, until nothing changes.
     """
     edges = written(links.select(F.col("a").alias("node"), F.col("b").alias("to"))
-                        .unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct())
-    now = written(edges.groupBy("node").agg(F.least("node", F.min("to")).alias("class")))
+                    .unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct())
+    now = written(edges.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("class")))
     while True:
         near = (edges.join(now.select(F.col("node").alias("to"), F.col("class").alias("of")), "to")
                 .groupBy("node").agg(F.min("of").alias("of")))
         least = now.join(near, "node").select("node", "class", F.least("class", "of").alias("low"))
         jump = now.select(F.col("node").alias("low"), F.col("class").alias("top"))
         moved = written(least.join(jump, "low").select("node", F.col("class").alias("old"),
-                                                           F.least("low", "top").alias("class")))
+                                                       F.least("low", "top").alias("class")))
         now = moved.select("node", "class")
         if moved.where(F.col("old") != F.col("class")).isEmpty():
             return now
@@ -204,13 +206,12 @@ def classes_of(links: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """``pairs`` with ``linked``: whether their texts align."""
-    asked = written(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "rep"))
-    n = asked.count()
-    if n <= BROADCAST_ROWS:
-        texts = texts.join(F.broadcast(asked), "rep", "left_semi")
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("right"))
-    return written(pairs.join(left, "a").join(right, "b").select(
+    asked = pairs.select("a.rep").union(pairs.select("b.rep")).distinct()
+    texts = texts.join(broadcast_if_small(asked, 2 * pairs.count()), "rep", "left_semi")
+    left = texts.select(F.col("rep").alias("rep_a"), F.col("text").alias("left"))
+    right = texts.select(F.col("rep").alias("rep_b"), F.col("text").alias("right"))
+    joined = pairs.join(left, F.col("a.rep") == F.col("rep_a")).join(right, F.col("b.rep") == F.col("rep_b"))
+    return written(joined.select(
         "a", "b", (similarity_column(F.col("left"), F.col("right")) >= SIMILARITY).alias("linked")))
 
 
@@ -227,53 +228,69 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                  .select("rep", "s.*"))
     keyed = nodes.select("rep", "n", F.posexplode("bands").alias("band", "value")).select(
         "rep", "n", F.xxhash64("band", "value").alias("bucket"))
-    order = F.struct(F.xxhash64("rep").alias("by"), F.col("rep"), F.col("n"))
-    shared = (keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(order).alias("first"))
-              .where("size > 1").select("bucket", F.col("first").alias("lead")))
+    # documents are ordered by a hash of their id; leaders come first in it, and classes are named by their first
+    node = F.struct(F.xxhash64("rep").alias("by"), F.col("rep")).alias("node")
+    keyed = keyed.select(node, "n", "bucket")
+    shared = (keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead"))
+              .where("size > 1").drop("size"))
     members = written(keyed.join(shared, "bucket"))
     close = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
     # first, each member against the leader that comes first among its buckets' leaders
-    pairs = (members.where(F.col("rep") != F.col("lead.rep")).groupBy("rep", "n").agg(F.min("lead").alias("lead"))
-             .select(F.col("lead.rep").alias("a"), F.col("rep").alias("b"), "n", F.col("lead.n").alias("m"))
-             .where(close).select("a", "b"))
-    reps = written(members.select("rep").distinct())
-    n_reps = reps.count()
-    texts = rows.withColumnRenamed("id", "rep").join(broadcast_if_small(reps, n_reps), "rep", "left_semi")
+    pairs = written(members.where(F.col("node") != F.col("lead.node")).groupBy("node", "n").agg(F.min("lead").alias("lead"))
+                    .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "n", F.col("lead.n").alias("m"))
+                    .where(close).select("a", "b"))
+    reps = written(members.select("node.rep").distinct())
+    texts = rows.withColumnRenamed("id", "rep").join(broadcast_if_small(reps, reps.count()), "rep", "left_semi")
     if repeated:
         texts = texts.groupBy("rep").agg(F.min("text").alias("text"))
     texts = written(texts)
     tested = _linked(pairs, texts)
     classes = classes_of(tested.where("linked"))
-    low, high = 0, 1
+    low, high = 0, FIRST_LEADERS
     while True:
-        placed = (members.select("bucket", "rep", "n")
-                  .join(classes.select(F.col("node").alias("rep"), "class"), "rep", "left")
-                  .withColumn("class", F.coalesce("class", "rep")))
-        mixed = placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"),
-                                             F.count("*").alias("size")).where((F.col("x") != F.col("y")) & (F.col("size") > low))
-        members = written(members.join(mixed.select("bucket"), "bucket", "left_semi").select("bucket", "rep", "n"))
-        if members.isEmpty():
+        placed = (members.select("bucket", "node", "n").join(classes, "node", "left")
+                  .withColumn("class", F.coalesce("class", "node")))
+        mixed = (placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("size"))
+                 .where((F.col("x") != F.col("y")) & (F.col("size") > low)).select("bucket"))
+        placed = written(placed.join(mixed, "bucket", "left_semi"))
+        if placed.isEmpty():
             break
-        rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.xxhash64("rep"), "rep"))
-        ranked = (members.join(classes.select(F.col("node").alias("rep"), "class"), "rep", "left")
-                  .withColumn("class", F.coalesce("class", "rep")).withColumn("rank", rank))
+        members = placed.drop("class")
+        ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
         leaders = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
-            "bucket", F.col("rep").alias("a"), F.col("n").alias("m"), F.col("class").alias("of"), F.col("rank").alias("lead"))
-        pairs = (ranked.join(leaders, "bucket").where((F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & close)
-                 .select("a", F.col("rep").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        pairs = written(pairs)
-        if not pairs.isEmpty():
-            now = _linked(pairs, texts)
-            tested = written(tested.unionByName(now))
-            if not now.where("linked").isEmpty():
-                classes = classes_of(tested.where("linked"))
-        low, high = high, 4 * high
-    of_copies = (copies.select("digest", "rep").join(classes, copies["rep"] == classes["node"], "left")
-                 .select(F.col("digest"), F.coalesce("class", "rep").alias("class_id")))
+            "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("class").alias("of"), F.col("rank").alias("lead"))
+        pairs = written(ranked.join(leaders, "bucket")
+                        .where((F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & close)
+                        .select("a", F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        now = _linked(pairs, texts)
+        if not now.where("linked").isEmpty():
+            classes = _joined(classes, now.where("linked"))
+        tested = tested.unionByName(now)
+        low, high = high, MORE_LEADERS * high
+    # the class id is the least document id of the class
+    named = classes.groupBy("class").agg(F.min("node.rep").alias("class_id"))
+    of_node = classes.join(named, "class").select(F.col("node.rep").alias("rep"), "class_id")
+    of_copies = copies.select("digest", "rep").join(of_node, "rep", "left").select(
+        "digest", F.coalesce("class_id", "rep").alias("class_id"))
     return (sketched.select(F.col("id").alias("doc_id"), "digest").join(of_copies, "digest")
             .select("doc_id", "class_id"))
 
 
+def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after further links: components of the classes that these connect."""
+    def of(side: str) -> DataFrame:
+        return classes.select(F.col("node").alias(side), F.col("class").alias(f"of_{side}"))
+
+    between = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+               .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a != b").distinct())
+    merged = classes_of(between).select(F.col("node").alias("class"), F.col("class").alias("into"))
+    # nodes that had no class until now are classes of their own in ``merged``
+    alone = merged.join(classes.select("class").distinct(), "class", "left_anti").select(
+        F.col("class").alias("node"), F.col("into").alias("class"))
+    moved = classes.join(merged, "class", "left").select("node", F.coalesce("into", "class").alias("class"))
+    return written(moved.unionByName(alone))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the least of its class, one row each, all columns.
 
