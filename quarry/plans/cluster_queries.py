@@ -29,12 +29,22 @@ def k1_prepare(spark, sf):
     return rounded(K.prepare(fx.t(spark, sf, "events"), ["value", "user_id", "event_type"], "zscore"))
 
 
-@register("k2_kmeans_best_of_starts")
+# the planted clusters are far apart: sizes and centres are known
+PLANTED_SQL = rsql(f"""SELECT count(*) AS n, avg(x) AS x, avg(y) AS y FROM (SELECT event_id, {CL_X} AS x, {CL_Y} AS y FROM events) AS s
+GROUP BY event_id % 4""", ["x", "y"], 6)
+
+
+def _found(labelled, cluster):
+    return rounded(labelled.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+                   .drop(cluster), 6)
+
+
+@register("k2_kmeans_best_of_starts", PLANTED_SQL)
 def k2_kmeans(spark, sf):
     df = cl_frame(spark, sf)
     fit = K.kmeans(df, ["x", "y"], k=4, n_starts=25)
     lab = K.assign_nearest(df, ["x", "y"], fit.centers, "kmeans_cluster")
-    return lab.groupBy("kmeans_cluster").agg(F.count(F.lit(1)).alias("n"))
+    return _found(lab, "kmeans_cluster")
 
 
 @register("k6_euclidean_distance_to_centre", rsql(f"""
@@ -96,12 +106,12 @@ def k11_elbow(spark, sf):
     return rounded(K.elbow(cl_frame(spark, sf), ["x", "y"], ks=range(1, 11), n_starts=10), 2)
 
 
-@register("k4_k12_hierarchical_micro_clusters")
+@register("k4_k12_hierarchical_micro_clusters", PLANTED_SQL)
 def k4_hier(spark, sf):
     df = cl_frame(spark, sf)
     fit = K.hierarchical(df, ["x", "y"], k=4, method="ward.D2", micro=100)
     lab = K.hierarchical_labels(df, fit, "hc")
-    return lab.groupBy("hc").agg(F.count(F.lit(1)).alias("n"))
+    return _found(lab, "hc")
 
 
 @register("k12_merge_heights_last20")

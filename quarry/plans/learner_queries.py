@@ -22,13 +22,30 @@ from ..sources.tables import load_table
 from ..session import ensure_checkpoint_dir
 from ..sources import bundles as B
 from . import fixtures as fx
-from .registry import register, rounded
+from . import ols_sql as SQL
+from .registry import register, rounded, rsql
 
 FEATS = ["value", "user_id", "event_type"]
 #: Numbers the folders that queries of one process write.
 _STREAM_RUNS = itertools.count()
 
 
+# event types in order, the first being the base level
+_TYPES = ("click", "error", "purchase", "signup", "view")
+_SPLIT_SQL = f"""(SELECT event_id, value, user_id, event_type, {fx.EV_Y} AS y,
+  row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR) || ':42'), event_id) <= floor(0.8 * count(*) OVER ()) AS train
+  FROM events)"""
+
+
+def _linear_sql(columns: str) -> str:
+    """Predictions of the linear model, fitted on the train rows, for the test rows."""
+    levels = [f"(event_type = '{t}')::INT" for t in _TYPES[1:]]
+    terms = ["value", "user_id", *levels]
+    predicted = "b0 + " + " + ".join(f"b{j} * {x}" for j, x in enumerate(terms, 1))
+    return (SQL.ols(f"(SELECT * FROM {_SPLIT_SQL} AS t WHERE train)", terms)
+            + f" SELECT {columns}, {predicted} AS prediction FROM {_SPLIT_SQL} AS t, fit WHERE NOT train")
+
+
 def _split(spark, sf):
     return train_test_split(fx.ev_learn(spark, sf), "event_id", 0.8, 42)
 
@@ -51,7 +68,8 @@ for _name, _algo, _p in [
         ("r6_svm_regression_test_predictions", "svm", {"kernel": "radial", "cost": 1.0, "epsilon": 0.1}),
         ("r7_boosting_test_predictions", "gbm", {"trees": 100, "depth": 3, "shrinkage": 0.1}),
         ("r8_network_regression_test_predictions", "nnet", {"size": 5, "decay": 0.01, "iters": 200})]:
-    register(_name)(_reg_query(_algo, _p))
+    register(_name, rsql(_linear_sql("event_id, y AS actual"), ["actual", "prediction"], 4) if _algo == "linear" else None)(
+        _reg_query(_algo, _p))
 
 
 def _cls_query(algo, target, params=None):
@@ -220,7 +238,7 @@ def s9_bundle(spark, sf):
     return B.score(te, t2, meta, keep=["event_id"]).select("event_id", "prediction")
 
 
-@register("s7_v1_score_csv_file")
+@register("s7_v1_score_csv_file", rsql(_linear_sql("event_id"), ["prediction"], 4))
 def s7_score_file(spark, sf):
     """S7 + V1 + S8: a CSV scoring file read with the bundle, scored and written as CSV."""
     tr, te = _split(spark, sf)
@@ -234,7 +252,7 @@ def s7_score_file(spark, sf):
     write_predictions(te.select("event_id", *FEATS), src, "csv")
     pred = B.score_file(spark, src, bundle, out_path=os.path.join(base, f"score_output_{tag}"),
                         keep=["event_id"], fmt="csv")
-    return rounded(pred, 4)
+    return rounded(pred.withColumn("event_id", F.col("event_id").cast("long")), 4)
 
 
 # the stream scores with the same closed-form model as c6, so the same SQL is its oracle

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import design as D
 from ..operators import linear as L
 from . import fixtures as fx
+from . import ols_sql as SQL
 from .registry import register, rounded, rsql
 
 
@@ -70,7 +71,10 @@ def r9_predict(spark, sf):
     return rounded(L.predict(df, fit).select("l_orderkey", "l_linenumber", "y", "prediction"), 4)
 
 
-@register("f5_f7_fit_statistics")
+@register("f5_f7_fit_statistics", rsql(
+    SQL.ols(f"(SELECT l_quantity, l_discount, l_linenumber, {fx.LIN_TARGET} AS y FROM lineitem)",
+            ["l_quantity", "l_discount", "l_linenumber"])
+    + f" SELECT {SQL.statistics(3)}, sqrt(s2) AS sigma FROM fit", ["r2", "adj_r2", "aic", "bic", "sigma"], 4))
 def f5_f7_fit_stats(spark, sf):
     df = lin_frame(spark, sf)
     fit = L.fit_ols(df, "y ~ l_quantity + l_discount + l_linenumber")
@@ -125,6 +129,16 @@ def r13_vif(spark, sf):
 
 
 INTER_F = "y ~ l_quantity * l_linenumber + l_tax"
+INTER_X = ["l_quantity", "l_linenumber", "l_tax", "l_quantity * l_linenumber"]
+INTER_NAMES = ["l_quantity", "l_linenumber", "l_tax", "l_quantity:l_linenumber"]
+INTER_SQL = f"(SELECT l_quantity, l_linenumber, l_tax, {fx.INTER_TARGET} AS y FROM lineitem)"
+INTER_FIT = SQL.ols(INTER_SQL, INTER_X)
+# moderator values: mean and a standard deviation to both sides
+INTER_MOD = """, md AS (SELECT avg(l_linenumber) AS mm, stddev_samp(l_linenumber) AS ms, min(l_linenumber) AS lo,
+  max(l_linenumber) AS hi, min(l_quantity) AS qlo, max(l_quantity) AS qhi, avg(l_tax) AS mt, regr_slope(l_tax, l_quantity) AS rt, avg(l_quantity) AS mq FROM lineitem),
+lv AS (SELECT 'Low (-1 SD)' AS level, mm - ms AS v FROM md UNION ALL SELECT 'Mean', mm FROM md
+       UNION ALL SELECT 'High (+1 SD)', mm + ms FROM md)
+"""
 
 
 def inter_frame(spark, sf):
@@ -132,42 +146,78 @@ def inter_frame(spark, sf):
         "l_quantity", "l_linenumber", "l_tax", F.expr(fx.INTER_TARGET).alias("y"))
 
 
-@register("r17_r18_interaction_terms")
+@register("r17_r18_interaction_terms", rsql(INTER_FIT + SQL.coefficient_rows(INTER_NAMES, 4),
+                                             ["estimate", "std_error", "t_value"], 4))
 def r18_interactions(spark, sf):
     fit = L.fit_ols(inter_frame(spark, sf), INTER_F)
-    return rounded(L.interaction_terms(fit), 6)
+    return rounded(L.interaction_terms(fit).select("term", "estimate", "std_error", "t_value"), 4)
 
 
-@register("r17_coefficient_summary")
+@register("r17_coefficient_summary", rsql(INTER_FIT + SQL.coefficient_rows(INTER_NAMES),
+                                           ["estimate", "std_error", "t_value"], 4))
 def r17_summary(spark, sf):
+    fit = L.fit_ols(inter_frame(spark, sf), INTER_F)
+    return rounded(L.coefficient_table(fit).select("term", "estimate", "std_error", "t_value"), 4)
+
+
+@register("r17_p_values_and_stars")
+def r17_p_values(spark, sf):
     fit = L.fit_ols(inter_frame(spark, sf), INTER_F)
     return rounded(L.coefficient_table(fit), 6)
 
 
+def _compare_sql():
+    full = f"({INTER_FIT} SELECT n, rss, tss, {SQL.statistics(4)} FROM fit)"
+    base = f"({SQL.ols(INTER_SQL, INTER_X[:3])} SELECT n, rss, tss, {SQL.statistics(3)} FROM fit)"
+    return f"""
+SELECT 'Base (Main Effects)' AS model, b.r2, b.adj_r2, b.aic, b.bic, NULL::DOUBLE AS delta_r2, NULL::DOUBLE AS f_change
+FROM {base} AS b
+UNION ALL SELECT 'Full (With Interactions)', f.r2, f.adj_r2, f.aic, f.bic, f.r2 - b.r2,
+  (b.rss - f.rss) / (f.rss / (f.n - 5)) FROM {base} AS b, {full} AS f"""
+
+
+@register("r19_r20_compare_models", rsql(_compare_sql(), ["r2", "adj_r2", "aic", "bic", "delta_r2", "f_change"], 1))
+def r20_compare_closed(spark, sf):
+    return rounded(L.compare_models(inter_frame(spark, sf), INTER_F).drop("p_f_change"), 1)
+
+
 @register("r19_r20_compare_base_full")
 def r20_compare(spark, sf):
     return rounded(L.compare_models(inter_frame(spark, sf), INTER_F), 4)
 
 
-@register("r21_simple_slopes")
+@register("r21_simple_slopes", rsql(INTER_FIT + INTER_MOD + """
+SELECT level AS moderator_level, v AS mod_value, b1 + b4 * v AS slope FROM fit, lv""", ["mod_value", "slope"], 4))
 def r21_slopes(spark, sf):
     df = inter_frame(spark, sf)
     fit = L.fit_ols(df, INTER_F)
     return rounded(L.simple_slopes(fit, df, "l_quantity", "l_linenumber"), 4)
 
 
-@register("r22_marginal_effects")
+@register("r22_marginal_effects", rsql(INTER_FIT + INTER_MOD.rstrip() + f""",
+g AS (SELECT lo + i * ((hi - lo) / 49.0) AS v FROM md, range(50) AS r(i)),
+e AS (SELECT v, b1 + b4 * v AS me, sqrt(s2 * ({SQL.c(1, 1)} + v * v * {SQL.c(4, 4)} + 2 * v * {SQL.c(1, 4)})) AS se
+      FROM g, fit)
+SELECT v AS moderator_value, me AS marginal_effect, me - 1.96 * se AS lower_ci, me + 1.96 * se AS upper_ci FROM e""",
+                                       ["moderator_value", "marginal_effect", "lower_ci", "upper_ci"], 4))
 def r22_marginal(spark, sf):
     df = inter_frame(spark, sf)
     fit = L.fit_ols(df, INTER_F)
     return rounded(L.marginal_effects(fit, df, "l_quantity", "l_linenumber"), 4)
 
 
-@register("r16_scale_location")
+@register("r16_scale_location", rsql(INTER_FIT + f""",
+h AS (SELECT b0 + b1 * x1 + b2 * x2 + b3 * x3 + b4 * x4 AS fitted, oy, s2,
+    1.0 / n + {" + ".join(f"(x{i} - m{i}) * (x{j} - m{j}) * {SQL.c(i, j)}" for i in range(1, 5) for j in range(1, 5))} AS lev
+  FROM o0, fit),
+q AS (SELECT fitted, sqrt(abs((oy - fitted) / (sqrt(s2) * sqrt(1 - lev)))) AS y FROM h),
+w AS (SELECT min(fitted) AS lo, (max(fitted) - min(fitted)) / 30 AS w FROM q)
+SELECT CAST(least(floor((fitted - lo) / w), 29) AS INTEGER) AS bin, avg(fitted) AS fitted, avg(y) AS smooth, count(*) AS n
+FROM q, w GROUP BY 1""", ["fitted", "smooth"], 4))
 def r16_scale_location(spark, sf):
     df = inter_frame(spark, sf)
     fit = L.fit_ols(df, INTER_F)
-    return rounded(L.scale_location(df, fit), 6)
+    return rounded(L.scale_location(df, fit), 4)
 
 
 # ---- residual and interaction plot data (R11, R12, R23-R26) -----------------
@@ -204,11 +254,14 @@ def r12_qq(spark, sf):
     return rounded(I.residual_qq(df, fit), 6)
 
 
-@register("r23_interaction_grid_numeric")
+@register("r23_interaction_grid_numeric", rsql(INTER_FIT + INTER_MOD + """
+SELECT qlo + i * ((qhi - qlo) / 99.0) AS x, replace(level, ' SD', 'SD') AS level,
+  b0 + b1 * (qlo + i * ((qhi - qlo) / 99.0)) + b2 * v + b3 * mt + b4 * (qlo + i * ((qhi - qlo) / 99.0)) * v AS pred
+FROM fit, md, lv, range(100) AS r(i)""", ["x", "pred"], 4))
 def r23_grid(spark, sf):
     df = inter_frame(spark, sf)
     fit = L.fit_ols(df, INTER_F)
-    return rounded(I.interaction_grid(df, fit, "l_quantity", "l_linenumber"), 6)
+    return rounded(I.interaction_grid(df, fit, "l_quantity", "l_linenumber"), 4)
 
 
 def _cat_inter_frame(spark, sf):
@@ -216,26 +269,42 @@ def _cat_inter_frame(spark, sf):
                                                F.expr(fx.INTER_TARGET).alias("y"))
 
 
-@register("r24_interaction_grid_numeric_by_level")
+CAT_SQL = f"(SELECT l_quantity, l_returnflag, l_linestatus, {fx.INTER_TARGET} AS y FROM lineitem)"
+_N, _R, _O = "(l_returnflag = 'N')::INT", "(l_returnflag = 'R')::INT", "(l_linestatus = 'O')::INT"
+
+
+@register("r24_interaction_grid_numeric_by_level", rsql(
+    SQL.ols(CAT_SQL, ["l_quantity", _N, _R, _O, f"l_quantity * {_N}", f"l_quantity * {_R}"]) + """,
+g AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem),
+p AS (SELECT lo + i * ((hi - lo) / 99.0) AS x FROM g, range(100) AS r(i))
+SELECT x, f AS level, b0 + b1 * x + (CASE f WHEN 'N' THEN b2 + b5 * x WHEN 'R' THEN b3 + b6 * x ELSE 0 END) AS pred
+FROM p, fit, (VALUES ('A'), ('N'), ('R')) AS l(f)""", ["x", "pred"], 4))
 def r24_grid(spark, sf):
     df = _cat_inter_frame(spark, sf)
     fit = L.fit_ols(df, "y ~ l_quantity * l_returnflag + l_linestatus")
-    return rounded(I.interaction_grid(df, fit, "l_quantity", "l_returnflag"), 6)
+    return rounded(I.interaction_grid(df, fit, "l_quantity", "l_returnflag"), 4)
 
 
-@register("r25_interaction_grid_level_pairs")
+@register("r25_interaction_grid_level_pairs", rsql(
+    SQL.ols(CAT_SQL, [_N, _R, _O, "l_quantity", f"{_N} * {_O}", f"{_R} * {_O}"]) + """
+SELECT f AS x, s AS level, b0 + b4 * m4 + (CASE f WHEN 'N' THEN b1 WHEN 'R' THEN b2 ELSE 0 END)
+  + (CASE s WHEN 'O' THEN b3 + (CASE f WHEN 'N' THEN b5 WHEN 'R' THEN b6 ELSE 0 END) ELSE 0 END) AS pred
+FROM fit, (VALUES ('A'), ('N'), ('R')) AS l(f), (VALUES ('F'), ('O')) AS k(s)""", ["pred"], 4))
 def r25_grid(spark, sf):
     df = _cat_inter_frame(spark, sf)
     fit = L.fit_ols(df, "y ~ l_returnflag * l_linestatus + l_quantity")
-    return rounded(I.interaction_grid(df, fit, "l_returnflag", "l_linestatus"), 6)
+    return rounded(I.interaction_grid(df, fit, "l_returnflag", "l_linestatus"), 4)
 
 
-@register("r26_interaction_lines_and_refit")
+@register("r26_interaction_lines_and_refit", rsql(INTER_FIT + INTER_MOD + """
+SELECT replace(level, ' SD', 'SD') AS level, b1 + b4 * v + b3 * rt AS slope, b0 + b2 * v + b3 * (mt - rt * mq) AS intercept,
+  CAST(n AS BIGINT) AS n FROM fit, md, lv""",
+                                                   ["slope", "intercept"], 4))
 def r26_lines(spark, sf):
     df = inter_frame(spark, sf)
     fit, table = I.interaction_refit(df, "y", ["l_quantity", "l_linenumber", "l_tax"], ["l_quantity", "l_linenumber"])
     lines = I.interaction_lines(df, fit, "l_quantity", "l_linenumber")
-    return rounded(lines, 6)
+    return rounded(lines, 4)
 
 
 @register("f5_f7_fit_statistics_one_feature", rsql(_ols1_sql(LIN_SQL) + """
