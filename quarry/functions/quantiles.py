@@ -91,12 +91,15 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None
                 out[r["cid"]] = list(r["q"])
         else:
             small_ids = sorted({k[0] for k, _ in small})
-            rows = (lv.where(F.col("cid").isin(small_ids)).groupBy("cid", "g")
-                    .agg(pct.alias("q"), F.approx_count_distinct("v").alias("nd")).collect())
-            big_keys = {k for k, _ in big}
-            for r in rows:
-                if (r["cid"], r["g"]) not in big_keys:
-                    out[(r["cid"], r["g"])] = list(r["q"])
+            few = lv.where(F.col("cid").isin(small_ids))
+            if big:  # groups of many values never enter the map (as many rows as there are groups, checked above)
+                large = lv.sparkSession.createDataFrame(
+                    [k for k, _ in big], T.StructType([T.StructField("bc", T.IntegerType()),
+                                                       T.StructField("bg", lv.schema["g"].dataType)]))
+                few = few.join(F.broadcast(large), (F.col("cid") == F.col("bc")) & F.col("g").eqNullSafe(F.col("bg")),
+                               "left_anti")
+            for r in few.groupBy("cid", "g").agg(pct.alias("q")).collect():
+                out[(r["cid"], r["g"])] = list(r["q"])
     if big:
         out.update(_refine(lv, keys, big, probs, collect_limit, bins))
     named = {}
@@ -132,11 +135,13 @@ def _refine(lv: DataFrame, keys: list[str], big, probs, collect_limit, bins) ->
         open_t = [t for t in targets if targets[t]["val"] is None]
         if not open_t:
             break
+        # values fetched in one pass are bounded by collect_limit over all intervals
+        each = max(1_000, collect_limit // len(open_t))
         # targets sharing a value interval share one histogram / fetch
         intervals: dict = {}
         for t in open_t:
             st = targets[t]
-            fetch = 1 if st["cnt"] <= collect_limit else 0
+            fetch = 1 if st["cnt"] <= each else 0
             intervals.setdefault((t[0], st["lo"], st["hi"], fetch), []).append(t)
         rows = []
         iv_list = list(intervals.keys())
@@ -144,13 +149,16 @@ def _refine(lv: DataFrame, keys: list[str], big, probs, collect_limit, bins) ->
             kv = list(key) if key_is_tuple else [key]
             rows.append((iid, *kv, lo, hi, fetch))
         schema = T.StructType([T.StructField("iid", T.IntegerType())] +
-                              [T.StructField("cid", T.IntegerType())] +
-                              ([T.StructField("g", lv.schema["g"].dataType)] if key_is_tuple else []) +
+                              [T.StructField("tcid", T.IntegerType())] +
+                              ([T.StructField("tg", lv.schema["g"].dataType)] if key_is_tuple else []) +
                               [T.StructField("tlo", T.DoubleType()), T.StructField("thi", T.DoubleType()),
                                T.StructField("fetch", T.IntegerType())])
         # one row per open interval: bounded by (#columns x #probs x 2)
         tdf = F.broadcast(spark.createDataFrame(rows, schema))
-        hits = lv.join(tdf, on=keys).where((F.col("v") >= F.col("tlo")) & (F.col("v") <= F.col("thi")))
+        same = F.col("cid") == F.col("tcid")
+        if key_is_tuple:
+            same = same & F.col("g").eqNullSafe(F.col("tg"))  # a null group is a group
+        hits = lv.join(tdf, same & (F.col("v") >= F.col("tlo")) & (F.col("v") <= F.col("thi")))
         fetch_ids = [i for i, iv in enumerate(iv_list) if iv[3] == 1]
         hist_ids = [i for i, iv in enumerate(iv_list) if iv[3] == 0]
         if fetch_ids:
