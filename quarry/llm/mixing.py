@@ -100,10 +100,12 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
     ranges = max(LEAST_RANGES, 1 << (int(totals["n"]) // RANGE_ROWS).bit_length())
     bits = min(ranges.bit_length() - 1, 30)
     goal = totals["words"] if budget is None else budget
-    place = F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed))
+    # 60 bits of a hash of id and seed
+    text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
+    place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     rows = sized.join(targets(sized, weights, most).withColumnRenamed("source", "__source"),
                       F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("place", place)
-    served = running_sum(rows, "size", "served", ["source"], F.shiftright("place", 64 - bits),
+    served = running_sum(rows, "size", "served", ["source"], F.shiftright("place", 60 - bits),
                          ["place", "doc_id", "size", "row"])
     first = F.col("served") - F.col("size") + F.col("repeat") * F.col("source_size")
     entries = (served.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
