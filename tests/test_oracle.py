@@ -6,7 +6,8 @@ import __spark_entry__ as E
 from oracle_compare import compare, duck
 
 SF = "/root/testdata/sf0.001"
-SLOW = ("c4_", "r6_", "r8_", "a3_", "a7_", "a8_", "k11_", "x2_", "k5_", "e21_")
+# long fits, tested by their own modules; the op* queries and the pipeline have their own folder
+SLOW = ("c4_", "c7_", "c8_", "r6_", "r7_", "r8_", "a3_", "a7_", "k11_", "x2_", "k5_", "e21_", "op", "pipeline")
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(n for n in E.oracle_sql() if not n.startswith("op")))
 def test_query_matches_oracle(spark, con, name):
     r = compare(spark, con, name, E.queries()[name], E.oracle_sql()[name], SF)
     assert r["ok"], r
@@ -24,7 +25,7 @@ def test_query_matches_oracle(spark, con, name):
                                         and not n.startswith(SLOW)))
 def test_rows_only_queries_run(spark, name):
     df = E.queries()[name](spark, SF)
-    assert df.count() >= 0
+    assert df.count() > 0
 
 
 def test_entry_smoke(spark):
