@@ -12,7 +12,8 @@ union.  That is the Jaccard similarity of the items unless text was moved
 about, and then less.  The band is as wide as such a similarity can need.
 
 Equal word sequences are one node from the start.  Within a bucket no pairs are
-listed: members are compared with a leader, and after that only with further leaders
+listed: members are compared with a leader, and after that, unless too many of their items occur in no other
+document, only with further leaders
 (8, 128, 2048, ... by rank) of buckets that still hold documents of different
 classes, until every bucket is of one class or every member was a
 leader.  The classes are thus those of all pairs that share a band key;
@@ -171,6 +172,17 @@ def sketch_column(text: str | Column) -> Column:
     return sketch(text_or_empty(text))
 
 
+def items_column(text: str | Column) -> Column:
+    """The items of a text (``array<long>``)."""
+
+    @F.arrow_udf("array<long>")
+    def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([items(words_of(t)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    return listed(text_or_empty(text))
+
+
 def similarity_column(a: Column, b: Column) -> Column:
     """:func:`alignment` of two texts (double)."""
 
@@ -235,6 +247,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
               .where("size > 1").drop("size"))
     members = written(keyed.join(shared, "bucket"))
     close = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
+    most = F.least("can", "may")
+    possible = most >= SIMILARITY * (F.col("n") + F.col("m") - most)
     # first, each member against the leader that comes first among its buckets' leaders
     pairs = written(members.where(F.col("node") != F.col("lead.node")).groupBy("node", "n").agg(F.min("lead").alias("lead"))
                     .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "n", F.col("lead.n").alias("m"))
@@ -247,20 +261,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     tested = _linked(pairs, texts)
     classes = classes_of(tested.where("linked"))
     low, high = 0, FIRST_LEADERS
+    members = _matchable(_mixed_buckets(members.select("bucket", "node", "n"), classes, low), texts)
     while True:
-        placed = (members.select("bucket", "node", "n").join(classes, "node", "left")
-                  .withColumn("class", F.coalesce("class", "node")))
-        mixed = (placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("size"))
-                 .where((F.col("x") != F.col("y")) & (F.col("size") > low)).select("bucket"))
-        placed = written(placed.join(mixed, "bucket", "left_semi"))
+        placed = written(_mixed_buckets(members, classes, low))
         if placed.isEmpty():
             break
         members = placed.drop("class")
         ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
         leaders = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
-            "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("class").alias("of"), F.col("rank").alias("lead"))
+            "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("can").alias("may"), F.col("class").alias("of"),
+            F.col("rank").alias("lead"))
         pairs = written(ranked.join(leaders, "bucket")
-                        .where((F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & close)
+                        .where((F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & possible)
                         .select("a", F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
         now = _linked(pairs, texts)
         if not now.where("linked").isEmpty():
@@ -276,6 +288,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             .select("doc_id", "class_id"))
 
 
+def _mixed_buckets(members: DataFrame, classes: DataFrame, low: int) -> DataFrame:
+    """Members, with their ``class``, of buckets of several classes that have more than ``low`` members."""
+    placed = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    mixed = (placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("size"))
+             .where((F.col("x") != F.col("y")) & (F.col("size") > low)).select("bucket"))
+    return placed.join(mixed, "bucket", "left_semi")
+
+
+def _matchable(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``bucket, node, n, can``: members with the most items that can match any other member.
+
+    Items that no other document here has match nothing.  A document in which less
+    than the similarity can match has no link to look for and is left out.
+    """
+    members = written(members.drop("class"))
+    nodes = written(members.select("node", "n").distinct())
+    own = texts.join(broadcast_if_small(nodes.select("node.rep"), nodes.count()), "rep", "left_semi")
+    single = (own.select("rep", F.explode(items_column("text")).alias("item")).groupBy("item")
+              .agg(F.count("*").alias("times"), F.min("rep").alias("rep")).where("times = 1")
+              .groupBy("rep").agg(F.count("*").cast("int").alias("alone")))
+    able = (nodes.join(single, F.col("node.rep") == F.col("rep"), "left")
+            .select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("can"))
+            .where(F.col("can") >= SIMILARITY * F.col("n")))
+    return written(members.join(able, "node").select("bucket", "node", "n", "can"))
+
+
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
     """Classes after further links: components of the classes that these connect."""
     def of(side: str) -> DataFrame:
