@@ -81,6 +81,21 @@ def _cls_query(algo, target, params=None):
     return q
 
 
+_NB_TEST_SQL = f"""
+WITH d AS (SELECT *, CASE WHEN y < 70 THEN 'a_low' WHEN y < 130 THEN 'b_mid' ELSE 'c_high' END AS cls FROM {_SPLIT_SQL} AS t),
+st AS (SELECT cls, count(*) AS n, avg(value) AS mv, stddev_samp(value) AS sv, avg(user_id) AS mu,
+              stddev_samp(user_id) AS su FROM d WHERE train GROUP BY cls),
+ct AS (SELECT cls, event_type, count(*) AS c FROM d WHERE train GROUP BY cls, event_type),
+l AS (SELECT d.event_id, d.cls AS actual, st.cls, st.n, ct.c, (SELECT sum(n) FROM st) AS total,
+        -0.5 * power((d.value - mv) / sv, 2) - ln(sv * sqrt(2 * pi())) AS lv,
+        -0.5 * power((d.user_id - mu) / su, 2) - ln(su * sqrt(2 * pi())) AS lu
+      FROM d CROSS JOIN st LEFT JOIN ct ON ct.cls = st.cls AND ct.event_type = d.event_type WHERE NOT d.train),
+s AS (SELECT event_id, actual, cls, ln(CAST(n AS DOUBLE) / total) + (CASE WHEN exp(lv) > 0 THEN lv ELSE ln(0.001) END)
+        + (CASE WHEN exp(lu) > 0 THEN lu ELSE ln(0.001) END) + coalesce(ln(CAST(c AS DOUBLE) / n), ln(0.001)) AS s FROM l)
+SELECT event_id, actual, cls AS prediction FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s DESC, cls) AS rn FROM s) AS r WHERE rn = 1"""
+
+
 for _name, _algo, _t, _p in [
         ("c1_logistic_binary_test_predictions", "logistic", "y2", None),
         ("c1_logistic_multinomial_test_predictions", "logistic", "y3", None),
@@ -92,7 +107,7 @@ for _name, _algo, _t, _p in [
         ("c4_svm_multiclass_test_predictions", "svm", "y3", {"kernel": "radial", "cost": 1.0}),
         ("c7_boosting_multiclass_test_predictions", "gbm", "y3", {"trees": 100, "depth": 3, "shrinkage": 0.1}),
         ("c8_network_classifier_test_predictions", "nnet", "y3", {"size": 5, "iters": 200})]:
-    register(_name)(_cls_query(_algo, _t, _p))
+    register(_name, _NB_TEST_SQL if _algo == "nb" else None)(_cls_query(_algo, _t, _p))
 
 
 NB_SQL = f"""

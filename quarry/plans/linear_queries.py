@@ -57,10 +57,13 @@ def r1_ols_one(spark, sf):
     return rounded(L.coefficient_table(fit).select("term", "estimate", "std_error", "t_value"), 4)
 
 
-@register("r1_ols_planted_three_features")
+@register("r1_ols_planted_three_features", rsql(
+    SQL.ols(f"(SELECT l_quantity, l_discount, l_linenumber, {fx.LIN_TARGET} AS y FROM lineitem)",
+            ["l_quantity", "l_discount", "l_linenumber"])
+    + SQL.coefficient_rows(["l_quantity", "l_discount", "l_linenumber"]), ["estimate", "std_error", "t_value"], 4))
 def r1_ols_planted(spark, sf):
     fit = L.fit_ols(lin_frame(spark, sf), "y ~ l_quantity + l_discount + l_linenumber")
-    return rounded(L.coefficient_table(fit), 6)
+    return rounded(L.coefficient_table(fit).select("term", "estimate", "std_error", "t_value"), 4)
 
 
 @register("r9_ols_predictions", rsql(_ols1_sql(LIN_SQL) + f"""
