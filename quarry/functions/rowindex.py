@@ -20,12 +20,20 @@ import math
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _num_buckets(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _monotone_number(df: DataFrame, key: Column) -> Column:
+    """A double that never falls where the key rises: the key itself, or a text's first six bytes as a number."""
+    if isinstance(df.select(key).schema[0].dataType, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(key.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("double")
+    return key.cast("double")
+
+
 def with_row_index(df: DataFrame, order_by: list, name: str = "row_index",
                    bucket_key: Column | None = None, buckets: int | None = None,
                    rows_per_bucket: int = 2_000_000, group: str | None = None) -> DataFrame:
@@ -33,7 +41,7 @@ def with_row_index(df: DataFrame, order_by: list, name: str = "row_index",
     group (a small number of groups sharing one key distribution, e.g. shuffles)."""
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order_by]
     key = bucket_key if bucket_key is not None else order_cols[0]
-    key = key.cast("double")
+    key = _monotone_number(df, key)
     nb = buckets or _num_buckets(df)
 
     def bounds_for(k):
