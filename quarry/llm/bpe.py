@@ -33,10 +33,10 @@ from .tables import text_or_empty
 
 #: Pre-tokens longer than this are encoded each time, not remembered.
 REMEMBERED_CHARS = 48
-#: Pre-tokens that one worker remembers before it starts afresh (about 50 MB).
-REMEMBERED = 250_000
+#: Pre-tokens that one worker remembers before it starts afresh (about 30 MB).
+REMEMBERED = 150_000
 #: Texts that are cut at once.
-SLICE = 64
+SLICE = 32
 
 
 def byte_char(value: int) -> str:
@@ -184,10 +184,12 @@ def encode_column(text: str | Column, ranks: dict[bytes, int], pattern: str) ->
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         pieces = worker_pieces(key, sent)
         for texts in batches:
-            packed = [one for at in range(0, len(texts), SLICE) for one in pieces.packed(texts[at:at + SLICE].to_pylist())]
-            ends = np.cumsum([0, *(len(one) // 4 for one in packed)], dtype=np.int32)
-            ids = np.frombuffer(b"".join(packed), dtype="<i4")
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+            ids, ends = bytearray(), array("i", [0])
+            for at in range(0, len(texts), SLICE):
+                for one in pieces.packed(texts[at:at + SLICE].to_pylist()):
+                    ids += one
+                    ends.append(len(ids) // 4)
+            yield pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, np.int32)), pa.array(np.frombuffer(ids, "<i4")))
 
     return encode(text_or_empty(text))
 

@@ -12,12 +12,15 @@ union.  That is the Jaccard similarity of the items unless text was moved
 about, and then less.  The band is as wide as such a similarity can need.
 
 Equal word sequences are one node from the start.  Within a bucket no pairs are
-listed: members are compared with a leader, and after that, unless too many of their items occur in no other
-document, only with further leaders
-(8, 128, 2048, ... by rank) of buckets that still hold documents of different
-classes, until every bucket is of one class or every member was a
-leader.  The classes are thus those of all pairs that share a band key;
-a pair at similarity 0.8 shares none with a chance of about 1 in 10,000.
+listed: members are compared with a leader, and after that only with further
+leaders (8, 128, 2048, ... by rank) of buckets that still hold documents of
+different classes, until every bucket is of one class or every member was a
+leader.  A pair is passed over if too many items of either occur in no other
+document still looked at.  The classes are thus those of all pairs that share a
+band key; a pair at similarity 0.8 shares none with a chance under 1 in 10,000.
+
+Tables made once are checkpoints; those of the rounds are written tables, whose
+sizes the planner knows.
 
 Null text is empty; empty texts are copies of each other.  Texts are read whole.
 Ids are a key: rows that share an id are one document, of which the least text
@@ -36,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .tables import broadcast_if_small, quoted, text_or_empty, written
 
 #: Words of an item, least similarity of a link.
@@ -230,7 +234,7 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id`` for every row of ``docs``."""
     rows = docs.select(quoted(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    sketched = written(rows.select("id", sketch_column("text").alias("s")).select("id", "s.*"))
+    sketched = cut_lineage(rows.select("id", sketch_column("text").alias("s")).select("id", "s.*"))
     copies = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"),
                                             F.first("bands").alias("bands"))
     nodes = copies.where(F.col("rep").isNotNull() & (F.col("n") > 0))
@@ -245,7 +249,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     keyed = keyed.select(node, "n", "bucket")
     shared = (keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead"))
               .where("size > 1").drop("size"))
-    members = written(keyed.join(shared, "bucket"))
+    members = cut_lineage(keyed.join(shared, "bucket"))
     close = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
     most = F.least("can", "may")
     possible = most >= SIMILARITY * (F.col("n") + F.col("m") - most)
@@ -257,7 +261,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     texts = rows.withColumnRenamed("id", "rep").join(broadcast_if_small(reps, reps.count()), "rep", "left_semi")
     if repeated:
         texts = texts.groupBy("rep").agg(F.min("text").alias("text"))
-    texts = written(texts)
+    texts = cut_lineage(texts)
     tested = _linked(pairs, texts)
     classes = classes_of(tested.where("linked"))
     low, high = 0, FIRST_LEADERS
