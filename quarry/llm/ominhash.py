@@ -242,11 +242,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     if repeated:
         nodes = (nodes.groupBy("rep").agg(F.min(F.struct("digest", "n", "bands")).alias("s"))
                  .select("rep", "s.*"))
-    keyed = nodes.select("rep", "n", F.posexplode("bands").alias("band", "value")).select(
-        "rep", "n", F.xxhash64("band", "value").alias("bucket"))
+    nodes = nodes.select("rep", "n", F.transform("bands", lambda v, i: F.xxhash64(i, v)).alias("buckets"))
     # documents are ordered by a hash of their id; leaders come first in it, and classes are named by their first
     node = F.struct(F.xxhash64("rep").alias("by"), F.col("rep")).alias("node")
-    keyed = keyed.select(node, "n", "bucket")
+    nodes = nodes.select(node, "n", "buckets")
+    keyed = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = (keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead"))
               .where("size > 1").drop("size"))
     members = cut_lineage(keyed.join(shared, "bucket"))
@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     tested = _linked(pairs, texts)
     classes = classes_of(tested.where("linked"))
     low, high = 0, FIRST_LEADERS
-    members = _matchable(_mixed_buckets(members.select("bucket", "node", "n"), classes, low), texts)
+    members = _matchable(_mixed_buckets(members.select("bucket", "node", "n"), classes, low), texts, nodes)
     while True:
         placed = written(_mixed_buckets(members, classes, low))
         if placed.isEmpty():
@@ -274,9 +274,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
         leaders = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
             "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("can").alias("may"), F.col("class").alias("of"),
+            F.col("earlier").alias("before"),
             F.col("rank").alias("lead"))
         pairs = written(ranked.join(leaders, "bucket")
-                        .where((F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & possible)
+                        .where((F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & possible
+                               & ~F.arrays_overlap("earlier", "before"))
                         .select("a", F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
         now = _linked(pairs, texts)
         if not now.where("linked").isEmpty():
@@ -300,22 +302,26 @@ def _mixed_buckets(members: DataFrame, classes: DataFrame, low: int) -> DataFram
     return placed.join(mixed, "bucket", "left_semi")
 
 
-def _matchable(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``bucket, node, n, can``: members with the most items that can match any other member.
+def _matchable(members: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``bucket, node, n, can, earlier``: members with the most items that can match any other
+    member, and the buckets of the document before this one (a pair is looked at in the first it shares).
 
     Items that no other document here has match nothing.  A document in which less
     than the similarity can match has no link to look for and is left out.
     """
     members = written(members.drop("class"))
-    nodes = written(members.select("node", "n").distinct())
-    own = texts.join(broadcast_if_small(nodes.select("node.rep"), nodes.count()), "rep", "left_semi")
+    left = written(members.select("node", "n").distinct())
+    n_left = left.count()
+    own = texts.join(broadcast_if_small(left.select("node.rep"), n_left), "rep", "left_semi")
     single = (own.select("rep", F.explode(items_column("text")).alias("item")).groupBy("item")
               .agg(F.count("*").alias("times"), F.min("rep").alias("rep")).where("times = 1")
               .groupBy("rep").agg(F.count("*").cast("int").alias("alone")))
-    able = (nodes.join(single, F.col("node.rep") == F.col("rep"), "left")
+    able = (left.join(single, F.col("node.rep") == F.col("rep"), "left")
             .select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("can"))
             .where(F.col("can") >= SIMILARITY * F.col("n")))
-    return written(members.join(able, "node").select("bucket", "node", "n", "can"))
+    able = able.join(nodes.select("node", "buckets"), "node")
+    earlier = F.slice("buckets", F.lit(1), (F.array_position("buckets", F.col("bucket")) - 1).cast("int"))
+    return written(members.join(able, "node").select("bucket", "node", "n", "can", earlier.alias("earlier")))
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
