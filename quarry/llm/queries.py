@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, lzprint, mixing, neighbours, ominhash, quality, toxicity
+from . import bpe, chat, html, lzprint, mixing, neighbours, ominhash, pseudolm, quality, toxicity
 from .tables import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,11 @@ def op4_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class of near duplicates of every document."""
     return ominhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pseudo-log-likelihood of every document under the network trained on all of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    frequent = [w for w, _ in pseudolm.frequent_words(docs)]
+    return pseudolm.score_documents(docs, frequent, pseudolm.fit(docs, frequent))
