@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .tables import broadcast_if_small, quoted, text_or_empty, written
+from .tables import broadcast_if_small, quoted, text_or_empty, texts_of, written
 
 #: Words of an item, least similarity of a link.
 K, SIMILARITY = 5, 0.8
@@ -49,7 +49,7 @@ L, ROWS, BANDS = 2, 3, 36
 #: Leaders of a bucket after the first, and times as many in each further round.
 FIRST_LEADERS, MORE_LEADERS = 8, 16
 #: Words whose hash one worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Elements of the hash matrix that are made at once.
 _CELLS = 1 << 20
 
@@ -70,6 +70,11 @@ class _WordHashes(dict):
 _WORD_HASHES = _WordHashes()
 
 
+def forget_words() -> None:
+    """Give this worker's word hashes back."""
+    _WORD_HASHES.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * _MIX
     return x ^ (x >> np.uint64(29))
@@ -164,7 +169,7 @@ def sketch_column(text: str | Column) -> Column:
     def sketch(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             digests, sizes, bands = [], [], []
-            for t in texts.to_pylist():
+            for t in texts_of(texts):
                 words = words_of(t)
                 found = items(words)
                 digests.append(hashlib.md5(" ".join(words).encode()).digest())
@@ -172,6 +177,7 @@ def sketch_column(text: str | Column) -> Column:
                 bands.append(band_keys(found))
             yield pa.StructArray.from_arrays([pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
                                               pa.array(bands, pa.list_(pa.int64()))], ["digest", "n", "bands"])
+        forget_words()
 
     return sketch(text_or_empty(text))
 
@@ -182,7 +188,7 @@ def items_column(text: str | Column) -> Column:
     @F.arrow_udf("array<long>")
     def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([items(words_of(t)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+            yield pa.array([items(words_of(t)).view(np.int64) for t in texts_of(texts)], pa.list_(pa.int64()))
 
     return listed(text_or_empty(text))
 

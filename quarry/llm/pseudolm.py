@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import quoted, text_or_empty
+from .tables import quoted, text_or_empty, texts_of
 
 FREQUENT, OTHERS, WINDOW, WIDTH = 192, 64, 2, 16
 CLASSES = FREQUENT + OTHERS
@@ -158,7 +158,7 @@ def score_documents(docs: DataFrame, frequent: list[str], net: dict[str, np.ndar
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classes = classifier(frequent)
         for texts in batches:
-            tokens = (classes(t) for t in texts.to_pylist())
+            tokens = (classes(t) for t in texts_of(texts))
             rows = [(len(x), log_likelihood(net, x)) for x in tokens]
             yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
                                               pa.array([r[1] for r in rows], pa.float64())], ["n", "total"])

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import text_or_empty
+from .tables import text_or_empty, texts_of
 
 #: Most labelled rows that a model is fitted on.
 FIT_ROWS = 9_000
@@ -72,7 +72,7 @@ def statistics_column(text: str | Column) -> Column:
     @F.arrow_udf("struct<" + ", ".join(f"{s}: double" for s in STATISTICS) + ">")
     def describe(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            rows = np.array([statistics(t) for t in texts.to_pylist()], dtype=np.float64).reshape(-1, len(STATISTICS))
+            rows = np.array([statistics(t) for t in texts_of(texts)], dtype=np.float64).reshape(-1, len(STATISTICS))
             yield pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(STATISTICS))], list(STATISTICS))
 
     return describe(text_or_empty(text))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,3 +52,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def texts_of(batch: pa.Array, size: int = 256) -> Iterator[str]:
+    """The texts of an Arrow batch, a few at a time as Python strings; gives unused memory back at the end."""
+    for at in range(0, len(batch), size):
+        yield from batch.slice(at, size).to_pylist()
+    pa.default_memory_pool().release_unused()

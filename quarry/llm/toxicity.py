@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import quoted, text_or_empty
+from .tables import quoted, text_or_empty, texts_of
 
 BUCKETS = 1 << 28
 #: Most labelled rows that a model is fitted on.
@@ -39,7 +39,7 @@ FIT_ROWS = 9_000
 FIT_TERMS, LEAST_ROWS, LEAST_CHI2 = 2_048, 4, 8.0
 FACTORS, EPOCHS, BATCH, STEP, DECAY = 8, 25, 256, 0.05, 2e-4
 #: Words whose buckets one worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 _WORDS = re.compile(r"\w+").findall
 
@@ -57,7 +57,7 @@ def buckets_column(text: Column) -> Column:
     def buckets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
             yield pa.array([sorted({b for w in set(_WORDS(t.lower())) for b in term_buckets(w)})
-                            for t in texts.to_pylist()], pa.list_(pa.int32()))
+                            for t in texts_of(texts)], pa.list_(pa.int32()))
 
     return buckets(text)
 
@@ -154,7 +154,7 @@ def score_column(text: str | Column, model: Model) -> Column:
         slots = model.slots
         for texts in batches:
             out = []
-            for t in texts.to_pylist():
+            for t in texts_of(texts):
                 found: set[int] = set()
                 words = set(_WORDS(t.lower()))
                 for w in words.difference(known):
