@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .tables import quoted, text_or_empty, texts_of
 
-FREQUENT, OTHERS, WINDOW, WIDTH = 192, 64, 2, 16
+FREQUENT, OTHERS, WINDOW, WIDTH = 48, 16, 2, 8
 CLASSES = FREQUENT + OTHERS
 BATCH, STEP = 512, 0.1
 REMEMBERED = 300_000

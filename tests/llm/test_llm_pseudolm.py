@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_sum_of_conditional_log_probabilities():
     net = pseudolm.start()
-    tokens = np.array([3, 5, 3, 200, 7], dtype=np.int32)
+    tokens = np.array([3, 5, 3, 60, 7], dtype=np.int32)
     total = 0.0
     for i in range(5):
         near = [tokens[i + k] if 0 <= i + k < 5 else pseudolm.CLASSES for k in (-2, -1, 1, 2)]
