@@ -1,11 +1,15 @@
 """Masked pseudo-likelihood: each token is predicted from the tokens on both sides.
 
-Tokens are word classes: the ``FREQUENT`` most frequent words of the whole corpus
-and ``OTHERS`` hash classes for all other words.  A small network (embeddings of the
-``WINDOW`` tokens before and behind, weighted by place, a tanh layer, a softmax) is
-trained in numpy: every task passes once over all tokens of its rows from the same
-start, and Spark averages the parameters, weighted by tokens.  A document's score is
-the sum of the logarithms of its tokens' conditional probabilities.
+The softmax has two levels.  The first is over word classes: the ``FREQUENT`` most
+frequent words of the whole corpus, each its own class, and ``OTHERS`` hash classes for
+all other words.  A small network (embeddings of the ``WINDOW`` tokens before and behind,
+weighted by place, a tanh layer, a softmax) is trained in numpy: every task passes once
+over all tokens of its rows from the same start, and Spark averages the parameters,
+weighted by tokens.  The second level is over the words of a class: every word of the
+corpus has its share of its class (the maximum likelihood without neighbours), looked up
+by a shuffle join, so the vocabulary is as large as the corpus makes it.  The neighbours
+thus tell classes apart, not the words within a hash class.  A document's score is the sum
+of the logarithms of its tokens' conditional probabilities.
 
 Null and empty texts have no tokens and the sum 0 (null mean).  Texts are read
 whole.  Repeated rows score alike; without any text the network is its start.
@@ -15,6 +19,7 @@ Other columns are not looked at.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import quoted, text_or_empty, texts_of
+from .tables import quoted, text_or_empty, texts_of, written
 
-FREQUENT, OTHERS, WINDOW, WIDTH = 48, 16, 2, 8
+FREQUENT, OTHERS, WINDOW, WIDTH = 192, 64, 2, 16
 CLASSES = FREQUENT + OTHERS
 BATCH, STEP = 512, 0.1
 REMEMBERED = 300_000
@@ -33,11 +38,31 @@ _SHAPES = {"embed": (CLASSES + 1, WIDTH), "place": (2 * WINDOW, WIDTH), "bias":
 _OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
 
 
-def frequent_words(docs: DataFrame, text: str = "text") -> list[tuple[str, int]]:
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Every word of the corpus and its count (``word, n``), as a table."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())],
+                                              ["word", "n"])
+
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for t in texts_of(batch.column(0)):
+                seen.update(t.lower().split())
+                if len(seen) > REMEMBERED:
+                    yield counted()
+                    seen.clear()
+        if seen:
+            yield counted()
+
+    words = docs.select(text_or_empty(text).alias("text")).mapInArrow(count, "word string, n long")
+    return written(words.groupBy("word").agg(F.sum("n").alias("n")))
+
+
+def frequent_words(docs: DataFrame, text: str = "text", words: DataFrame | None = None) -> list[tuple[str, int]]:
     """The most frequent words of the corpus and their counts (ties: by word)."""
-    words = docs.select(F.explode(F.split(F.lower(text_or_empty(text)), r"\s+")).alias("word")).where("word != ''")
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    return [(r["word"], r["n"]) for r in top]
+    words = vocabulary(docs, text) if words is None else words
+    return [(r["word"], r["n"]) for r in words.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
 
 
 def classifier(frequent: list[str]) -> Callable[[str], np.ndarray]:
@@ -71,19 +96,20 @@ def start(seed: int = 9) -> dict[str, np.ndarray]:
     return net
 
 
-def log_probabilities(net: dict[str, np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log softmax over the classes, and the hidden layer."""
+def logits(net: dict[str, np.ndarray], near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of the classes, less their greatest, and the hidden layer."""
     hidden = np.tanh((net["embed"][near] * net["place"]).sum(axis=1) + net["bias"])
-    z = hidden @ net["out"].T + net["prior"]
+    z = hidden @ net["out"].T
+    z += net["prior"]
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z, hidden
 
 
 def learn(net: dict[str, np.ndarray], seen: dict[str, np.ndarray], near: np.ndarray, token: np.ndarray) -> None:
     """One AdaGrad step on a batch."""
-    z, hidden = log_probabilities(net, near)
-    err = np.exp(z)
+    err, hidden = logits(net, near)
+    np.exp(err, out=err)
+    err /= err.sum(axis=1, keepdims=True)
     err[np.arange(len(token)), token] -= 1
     err /= len(token)
     back = (err @ net["out"]) * (1 - hidden**2)
@@ -145,24 +171,60 @@ def fit(docs: DataFrame, frequent: list[str], text: str = "text") -> dict[str, n
 def log_likelihood(net: dict[str, np.ndarray], tokens: np.ndarray) -> float:
     total, near = 0.0, contexts(tokens)
     for at in range(0, len(tokens), BATCH):
-        z, _ = log_probabilities(net, near[at:at + BATCH])
-        own = tokens[at:at + BATCH]
-        total += float(z[np.arange(len(own)), own].sum(dtype=np.float64))
+        z, _ = logits(net, near[at:at + BATCH])
+        own = z[np.arange(len(z)), tokens[at:at + BATCH]]
+        np.exp(z, out=z)
+        total += float((own - np.log(z.sum(axis=1))).sum(dtype=np.float64))
     return total
 
 
+def within_classes(rows: DataFrame, frequent: list[str], vocabulary: DataFrame) -> DataFrame:
+    """``row, within``: logarithms of the shares of the rows' ``words`` in their classes, summed.
+
+    A class of ``N`` tokens gives a word of count ``n`` the share ``n / (N + 1)``, and
+    ``1 / (N + 1)`` to all words that the vocabulary does not have.
+    """
+    group = (F.crc32(F.col("word").cast("binary")) % OTHERS).cast("int")
+    others = vocabulary.where(~F.col("word").isin(frequent))
+    sizes = {r["k"]: r["n"] for r in others.groupBy(group.alias("k")).agg(F.sum("n").alias("n")).collect()}
+    all_of = F.element_at(F.array(*[F.lit(float(np.log(sizes.get(k, 0) + 1))) for k in range(OTHERS)]), group + 1)
+    said = rows.select("row", F.inline("words"))
+    share = F.coalesce(F.log(F.col("n").cast("double")), F.lit(0.0)) - all_of
+    return (said.join(others, "word", "left").groupBy("row").agg(F.sum(F.col("times") * share).alias("within")))
+
+
 def score_documents(docs: DataFrame, frequent: list[str], net: dict[str, np.ndarray], key: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood``."""
-    @F.arrow_udf("struct<n: long, total: double>")
+                    text: str = "text", vocabulary: DataFrame | None = None) -> DataFrame:
+    """``doc_id, n_tokens, log_likelihood, mean_log_likelihood``; without a vocabulary, of the classes alone."""
+    fixed = set(frequent)
+
+    @F.arrow_udf("struct<n: long, total: double, words: array<struct<word: string, times: int>>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         classes = classifier(frequent)
         for texts in batches:
-            tokens = (classes(t) for t in texts_of(texts))
-            rows = [(len(x), log_likelihood(net, x)) for x in tokens]
-            yield pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.int64()),
-                                              pa.array([r[1] for r in rows], pa.float64())], ["n", "total"])
-
-    return (docs.select(quoted(key).alias("doc_id"), score(text_or_empty(text)).alias("s"))
-            .select("doc_id", F.col("s.n").alias("n_tokens"), F.col("s.total").alias("log_likelihood"),
-                    F.try_divide("s.total", "s.n").alias("mean_log_likelihood")))
+            n, total, ends, words, times = [], [], [0], [], []
+            for t in texts_of(texts):
+                tokens = classes(t)
+                n.append(len(tokens))
+                total.append(log_likelihood(net, tokens))
+                if vocabulary_given:
+                    found = Counter(w for w in t.lower().split() if w not in fixed)
+                    words.extend(found)
+                    times.extend(found.values())
+                ends.append(len(words))
+            pairs = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(times, pa.int32())], ["word", "times"])
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(total, pa.float64()),
+                                              pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                                             ["n", "total", "words"])
+
+    vocabulary_given = vocabulary is not None
+    scored = docs.select(quoted(key).alias("doc_id"), score(text_or_empty(text)).alias("s"))
+    total = F.col("total")
+    if vocabulary is None:
+        rows = scored.select("doc_id", "s.n", "s.total")
+    else:
+        kept = written(scored.select(F.monotonically_increasing_id().alias("row"), "doc_id", "s.*"))
+        rows = kept.drop("words").join(within_classes(kept, frequent, vocabulary), "row", "left")
+        total = total + F.coalesce("within", F.lit(0.0))
+    return rows.select("doc_id", F.col("n").alias("n_tokens"), total.alias("log_likelihood"),
+                       F.try_divide(total, F.col("n")).alias("mean_log_likelihood"))

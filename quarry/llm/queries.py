@@ -165,5 +165,6 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudo-log-likelihood of every document under the network trained on all of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    frequent = [w for w, _ in pseudolm.frequent_words(docs)]
-    return pseudolm.score_documents(docs, frequent, pseudolm.fit(docs, frequent))
+    words = pseudolm.vocabulary(docs)
+    frequent = [w for w, _ in pseudolm.frequent_words(docs, words=words)]
+    return pseudolm.score_documents(docs, frequent, pseudolm.fit(docs, frequent), vocabulary=words)

@@ -1,6 +1,7 @@
 """The network against its own formula, and real documents against shuffled ones."""
 
 import random
+import zlib
 
 import numpy as np
 
@@ -39,3 +40,32 @@ def test_query_scores_every_document(spark):
     rows = QUERIES["op6_pseudo_likelihood"](spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
     assert all(r["log_likelihood"] < 0 for r in rows if r["n_tokens"])
+
+
+def test_words_of_a_hash_class_are_told_apart(spark):
+    def group(w):
+        return zlib.crc32(w.encode()) % pseudolm.OTHERS
+
+    common = " ".join(f"common{i}" for i in range(pseudolm.FREQUENT))
+    known = "known"
+    invented = next(w for w in map("invented{}".format, range(9_999)) if group(w) == group(known))
+    rows = [(i, f"{common} {known}") for i in range(40)] + [(40, f"{common} {invented} \u00c9t\u00e9")] + [(41, common)] * 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    words = pseudolm.vocabulary(docs)
+    frequent = [w for w, _ in pseudolm.frequent_words(docs, words=words)]
+    assert known not in frequent and words.count() == pseudolm.FREQUENT + 3
+    net = pseudolm.fit(docs, frequent)
+    test = spark.createDataFrame([(0, f"{common} {known}"), (1, f"{common} {invented}"), (2, f"{common} {known} {known}"),
+                                  (3, common), (4, None), (None, "nowhere")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pseudolm.score_documents(test, frequent, net, vocabulary=words).collect()}
+    plain = {r["doc_id"]: r for r in pseudolm.score_documents(test, frequent, net).collect()}
+    total = 41 + (group("\u00e9t\u00e9") == group(known))
+    share = np.log(40 / (total + 1))
+    within = {k: got[k]["log_likelihood"] - plain[k]["log_likelihood"] for k in got}
+    assert abs(got[0]["log_likelihood"] - got[1]["log_likelihood"] - np.log(40)) < 1e-4
+    assert abs(within[0] - share) < 1e-6 and abs(within[2] - 2 * share) < 1e-6
+    assert within[3] == within[4] == 0 and within[None] <= 0 and len(got) == 6
+
+
+def test_at_least_the_earlier_sizes():
+    assert pseudolm.FREQUENT >= 192 and pseudolm.OTHERS >= 64 and pseudolm.WIDTH >= 16
