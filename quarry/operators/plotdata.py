@@ -1,19 +1,26 @@
 """Statistics behind each chart (G1-G9); drawing is left to the caller.
 
-All are grouped aggregates over bins or values: the result size is the
-number of bins / levels / grid points, never the number of rows.
+Grouped aggregates over bins or values: the result size is the number of
+bins / levels / grid points.  Only projections (scatter points, outlier rows)
+and Q-Q points have as many rows as the table has.
 """
 
 from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
 from ..functions.roles import FLOAT_TYPES, col, dtype_of, roles
+from ..functions.rowindex import with_row_index
 from ..functions.special import norm_ppf
+from .profile import _prefix_sum
+
+#: Most Q-Q points that one row of counts is expanded to in a piece.
+QQ_PIECE = 10_000
 
 
 def _num(df, c):
@@ -148,26 +155,39 @@ def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None) -> D
     return df.select(*cols)
 
 
-def qq_points(df: DataFrame, c: str, n_points: int | None = None) -> DataFrame:
-    """Normal Q-Q points on a quantile grid, plus the line through the quartiles.
+def qq_points(df: DataFrame, c: str) -> DataFrame:
+    """Normal Q-Q points, one per row, plus the line through the quartiles.
 
-    Sample quantiles at plotting positions (i - a)/(n + 1 - 2a), a = 3/8
-    for n <= 10 else 1/2 (R's ppoints); at scale a grid of ``n_points``
-    positions (default min(n, 512)) stands for the sorted sample.
+    The sorted sample at plotting positions (i - a)/(n + 1 - 2a), a = 3/8
+    for n <= 10 else 1/2 (R's ppoints), whatever n is.  Values are counted
+    first and their positions come from running counts; those of a frequent
+    value are dealt out in pieces of ``QQ_PIECE``.
     """
     x = _num(df, c)
+    per = df.select(x.alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     n = df.where(x.isNotNull()).count()
-    m = min(n, n_points or 512)
-    a = 3 / 8 if m <= 10 else 0.5
-    probs = [(i + 1 - a) / (m + 1 - 2 * a) for i in range(m)]
-    qs = quantiles(df, [c], probs + [0.25, 0.75])[c]
-    q1, q3 = qs[-2], qs[-1]
+    if not n:
+        return df.sparkSession.createDataFrame([], "theoretical double, sample double, line_slope double, "
+                                                   "line_intercept double")
+    a = 3 / 8 if n <= 10 else 0.5
+    q1, q3 = quantiles(df, [c], [0.25, 0.75])[c]
     z1, z3 = norm_ppf(0.25), norm_ppf(0.75)
     slope = (q3 - q1) / (z3 - z1)
     intercept = q1 - slope * z1
-    rows = [(float(norm_ppf(p)), float(v), float(slope), float(intercept)) for p, v in zip(probs, qs[:-2])]
-    return df.sparkSession.createDataFrame(rows, "theoretical double, sample double, line_slope double, "
-                                                 "line_intercept double")
+
+    @F.arrow_udf("double")
+    def normal_quantile(p: pa.Array) -> pa.Array:
+        return pa.array([norm_ppf(q) for q in p.to_pylist()], pa.float64())
+
+    cum = _prefix_sum(with_row_index(per, ["v"], "__i"), "__i", "c")
+    pieces = (cum.select("v", "c", "before", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / QQ_PIECE))).alias("k"))
+              .select("v", (F.col("before") + F.col("k") * QQ_PIECE).alias("lo"),
+                      (F.col("before") + F.least(F.col("c"), (F.col("k") + 1) * QQ_PIECE)).alias("hi"))
+              .repartition("lo"))
+    points = pieces.select("v", F.explode(F.sequence(F.col("lo") + 1, F.col("hi"))).alias("i"))
+    return points.select(normal_quantile((F.col("i") - F.lit(a)) / F.lit(n + 1 - 2 * a)).alias("theoretical"),
+                         F.col("v").alias("sample"), F.lit(float(slope)).alias("line_slope"),
+                         F.lit(float(intercept)).alias("line_intercept"))
 
 
 def missing_bars(df: DataFrame) -> DataFrame:

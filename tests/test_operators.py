@@ -131,3 +131,19 @@ def test_gram_by_partition_matches_aggregate(spark):
     G2 = Lin._gram_by_partition(df, names, means)
     import numpy as np
     assert np.allclose(G1, G2, rtol=1e-10, atol=1e-6)
+
+
+def test_qq_points_of_every_row(spark):
+    from statistics import NormalDist
+
+    from quarry.operators import plotdata
+    values = [float(i * i % 1201) for i in range(3000)] + [5.0] * 25_000 + [1e6, -1e6]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    got = sorted((r["theoretical"], r["sample"]) for r in plotdata.qq_points(df, "v").collect())
+    n = len(values)
+    want = [(NormalDist().inv_cdf((i + 0.5) / n), v) for i, v in enumerate(sorted(values))]
+    assert len(got) == n and got[0][1] == -1e6 and got[-1][1] == 1e6
+    assert all(abs(a - b) < 1e-9 and v == w for (a, v), (b, w) in zip(got, want))
+    few = sorted((r["theoretical"], r["sample"]) for r in plotdata.qq_points(df.limit(4), "v").collect())
+    assert abs(few[0][0] - NormalDist().inv_cdf((1 - 3 / 8) / (4 + 1 - 6 / 8))) < 1e-9 and len(few) == 4
+    assert plotdata.qq_points(df.where("v IS NULL"), "v").count() == 0
