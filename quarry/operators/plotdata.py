@@ -121,14 +121,16 @@ def density(df: DataFrame, c: str, n: int = 512, grid_bins: int = 4096, by: str
         params.append((r["grp"], float(bw), float(a), float(b), int(r["n"])))
     pdf = spark.createDataFrame(params, "grp string, bw double, a double, b double, n long")
     fw = (F.col("b") - F.col("a")) / grid_bins
-    fine = (base.join(F.broadcast(pdf), "grp")
+    # a null group is a group; one row per group is broadcast
+    fine = (base.join(F.broadcast(pdf), base["grp"].eqNullSafe(pdf["grp"])).drop(pdf["grp"])
             .groupBy("grp", F.floor((F.col("v") - F.col("a")) / fw).alias("k"))
-            .agg(F.count(F.lit(1)).alias("w"), F.avg("v").alias("m")))
+            .agg(F.count(F.lit(1)).alias("w"), F.avg("v").alias("m"))
+            .withColumnRenamed("grp", "of"))
     pts = spark.range(n).select(F.col("id").cast("int").alias("i"))
     # evaluation points x occupied fine bins: bounded by n * grid_bins per group
     ev = pts.crossJoin(F.broadcast(pdf)).withColumn("x", F.col("a") + F.col("i") * (F.col("b") - F.col("a")) / (n - 1))
     z = (F.col("x") - F.col("m")) / F.col("bw")
-    dens = (ev.join(fine, "grp")
+    dens = (ev.join(fine, F.col("grp").eqNullSafe(F.col("of")))
             .groupBy("grp", "i", "x", "bw", "n")
             .agg(F.sum(F.col("w") * F.exp(-0.5 * z * z)).alias("s"))
             .select("grp", "i", "x", (F.col("s") / (F.col("n") * F.col("bw") * math.sqrt(2 * math.pi))).alias("density")))

@@ -147,3 +147,15 @@ def test_qq_points_of_every_row(spark):
     few = sorted((r["theoretical"], r["sample"]) for r in plotdata.qq_points(df.limit(4), "v").collect())
     assert abs(few[0][0] - NormalDist().inv_cdf((1 - 3 / 8) / (4 + 1 - 6 / 8))) < 1e-9 and len(few) == 4
     assert plotdata.qq_points(df.where("v IS NULL"), "v").count() == 0
+
+
+def test_density_of_a_null_group(spark):
+    from quarry.operators import plotdata
+    df = spark.createDataFrame([(g, float(i * i % 97)) for g in ("a", None) for i in range(200)] + [("b", 1.0), ("b", 2.5)],
+                               "g string, v double")
+    got = {}
+    for r in plotdata.density(df, "v", n=16, by="g").collect():
+        got.setdefault(r["g"], {})[r["i"]] = (r["x"], r["density"])
+    assert set(got) == {"a", "b", None} and all(len(v) == 16 for v in got.values())
+    for i, (x, d) in got["a"].items():
+        assert math.isclose(got[None][i][0], x) and math.isclose(got[None][i][1], d)
