@@ -389,10 +389,12 @@ def _gower_matrix(A: pd.DataFrame, B: pd.DataFrame, num: list[str], cat: list[st
     return sum(parts) / len(parts)
 
 
-def _pam(D: np.ndarray, k: int, max_iter: int = 100) -> list[int]:
-    """PAM: greedy BUILD then SWAP until no improving swap (or max_iter)."""
+def _pam(D: np.ndarray, k: int, max_iter: int = 100, weights: np.ndarray | None = None) -> list[int]:
+    """PAM: greedy BUILD then SWAP until no improving swap (or max_iter); point i counts ``weights[i]`` times."""
     n = len(D)
-    med = [int(np.argmin(D.sum(axis=1)))]
+    if weights is not None:
+        D = D * weights[:, None]  # rows are points, columns are candidates
+    med = [int(np.argmin(D.sum(axis=0)))]
     while len(med) < k:
         cur = D[:, med].min(axis=1)
         gains = [(np.maximum(cur - D[:, j], 0).sum(), j) for j in range(n) if j not in med]
@@ -428,24 +430,40 @@ def clara(df: DataFrame, features: list[str], k: int = 3, samples: int = 5, samp
     num = [f for f in features if f in ranges]
     cat = [f for f in features if f not in ranges]
     size = sample_size or (40 + 2 * k)
-    # distinct rows with their counts; each sample takes those with the smallest
-    # -log(u) / count, u from a seeded hash: drawn in proportion to the count, none twice
-    data = df.groupBy(*[col(f) for f in features]).agg(F.count(F.lit(1)).alias("__n"))
+    # distinct rows with their counts c; each sample is of rows of the table: every row has an
+    # exponential key from a seeded hash, and those with the smallest keys are taken.  The keys of
+    # c equal rows come in ascending order as sums of -log(u) / c, -log(u) / (c - 1), ...
+    names = [col(f) for f in features]
+    data = df.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
     parts = []
     for s in range(samples):
-        h = F.xxhash64(*[col(f) for f in features], F.lit(seed + s))
-        u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-        parts.append(data.withColumn("__h", -F.log(u) / F.col("__n")).orderBy("__h", *[col(f) for f in features])
-                     .limit(size).drop("__h", "__n").withColumn("__s", F.lit(s)))
+        def gap(j, s=s):
+            h = F.xxhash64(*names, F.lit(seed + s), j)
+            u = (F.shiftrightunsigned(h, 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+            return -F.log(u) / (F.col("__n") - j + 1)
+
+        copies = F.sequence(F.lit(1).cast("long"), F.least(F.col("__n"), F.lit(size).cast("long")))
+        keys = F.aggregate(copies, F.array().cast("array<double>"), lambda acc, j: F.concat(
+            acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + gap(j))))
+        keyed = data.select(*names, keys.alias("__keys"))
+        drawn = (keyed.select(*names, F.explode("__keys").alias("__h"), F.lit(1).alias("__w"))
+                 .orderBy("__h", *names).limit(size))
+        # the first k different rows are always there, so that k medoids are found
+        first = (keyed.select(*names, F.col("__keys")[0].alias("__h"), F.lit(0).alias("__w"))
+                 .orderBy("__h", *names).limit(k))
+        parts.append(drawn.unionByName(first).groupBy(*names)
+                     .agg(F.greatest(F.sum("__w"), F.lit(1)).alias("__w"), F.min("__h").alias("__h"))
+                     .withColumn("__s", F.lit(s)))
     smp = parts[0]
     for p in parts[1:]:
         smp = smp.unionByName(p)
-    schema = smp.schema
+    schema = smp.drop("__w", "__h").schema
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__h")
         D = _gower_matrix(pdf, pdf, num, cat, ranges)
-        med = _pam(D, min(k, len(pdf)), max_iter)
-        return pdf.iloc[med]
+        med = _pam(D, min(k, len(pdf)), max_iter, pdf["__w"].to_numpy(float))
+        return pdf.iloc[med].drop(columns=["__w", "__h"])
     cands = smp.groupBy("__s").applyInPandas(search, schema).collect()
     best = None
     by_s: dict = {}

@@ -130,3 +130,15 @@ def test_log_normal_tail_far_out():
     assert abs(f_sf(3.0, 2, 100) - (1 + 6 / 100) ** -50) < 1e-13
     # log-gamma of 300,000 is about 3.5 million, so ten digits are left
     assert abs(betainc(2.5, 300_000.0, 1e-5) - (1 - betainc(300_000.0, 2.5, 1 - 1e-5))) < 1e-10
+
+
+def test_clara_weighs_rows_by_their_multiplicity(spark):
+    from quarry.operators.cluster import _pam, clara
+    df = spark.range(1300).selectExpr("CASE WHEN id < 1000 THEN 0.0 ELSE CAST(id % 30 + 1 AS DOUBLE) END AS a")
+    assert clara(df, ["a"], k=1).medoids["a"].tolist() == [0.0]  # the median of the rows; that of the values is 15
+    rare = spark.range(100_003).selectExpr("CAST(greatest(id - 100000, 0) AS DOUBLE) AS a")
+    assert sorted(clara(rare, ["a"], k=3).medoids["a"]) == [0.0, 1.0, 2.0]
+    points, weights = np.array([0.0, 1.0, 2.0, 9.0]), np.array([1, 1, 1, 9])
+    away = np.abs(points[:, None] - points[None, :])
+    often = np.repeat(points, weights)
+    assert points[_pam(away, 1, weights=weights)[0]] == often[_pam(np.abs(often[:, None] - often[None, :]), 1)[0]] == 9.0
