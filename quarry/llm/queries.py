@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, lzprint, mixing, neighbours, ominhash, pseudolm, quality, toxicity
+from . import bpe, chat, html, lzprint, mixing, neighbours, ominhash, pseudolm, quality, simplex, toxicity, warc, wavelet
 from .tables import remainder_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,58 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
   CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size))
     + greatest(0, least(size, floor(target) - before - 2 * source_size)) AS BIGINT) AS taken FROM q"""
 
+#: Equal payloads of 100 bytes or more refer to the one with the least id.
+ORACLES["op11_warc"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+r AS (SELECT *, row_number() OVER w AS place, first_value(page_id) OVER w AS lead FROM p
+      WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST))
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN place > 1 AND payload_bytes >= 100 THEN 'revisit' ELSE 'response' END
+  AS record_type, CASE WHEN place > 1 AND payload_bytes >= 100 THEN lead END AS refers_to FROM r"""
+
+#: Lines by splitting at line ends.
+ORACLES["op12_fim"] = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+    string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+n AS (SELECT *, CAST(CASE WHEN t = '' THEN 0 WHEN t LIKE '%' || chr(10) THEN len(parts) - 1 ELSE len(parts) END AS BIGINT) AS n,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS lo, greatest(h1 % (n + 1), h2 % (n + 1)) AS hi,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+e AS (SELECT *, CASE WHEN lo = 0 THEN '' WHEN lo < len(parts) THEN array_to_string(parts[1:lo], chr(10)) || chr(10) ELSE t END AS head,
+    CASE WHEN hi = 0 THEN '' WHEN hi < len(parts) THEN array_to_string(parts[1:hi], chr(10)) || chr(10) ELSE t END AS upto FROM c),
+p AS (SELECT *, substr(upto, length(head) + 1) AS middle, substr(t, length(upto) + 1) AS tail FROM e)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(head) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || head || '<S>' || tail || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || tail || '<P>' || head || '<M>' || middle ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256 FROM p"""
+
+
+def _simplex_sql(k: int = 40, rounds: int = 5) -> str:
+    """The rounds of the clustering, every vector against every centroid."""
+    assigned = """a{i} AS MATERIALIZED (SELECT v.r, min(struct_pack(d := v.s - 2 * list_inner_product(v.x, c.x) + c.s, c := c.c)) AS m
+  FROM v, (SELECT c, x, list_inner_product(x, x) AS s FROM c{i}) AS c GROUP BY v.r)"""
+    moved = """c{j} AS MATERIALIZED (SELECT c, coalesce(m.x, c{i}.x) AS x FROM c{i} LEFT JOIN (
+  SELECT c, list(floor(total / n) ORDER BY pos) AS x FROM (
+    SELECT a{i}.m.c AS c, pos, sum(v.x[pos]) AS total, count(*) AS n FROM a{i} JOIN v USING (r), generate_series(1, 64) AS g(pos)
+    GROUP BY ALL) GROUP BY c) AS m USING (c))"""
+    steps = [text.format(i=i, j=i + 1) for i in range(rounds) for text in (assigned, moved)] + [assigned.format(i=rounds)]
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, x, list_inner_product(x, x) AS s, row_number() OVER () AS r FROM (
+    SELECT vec_id, list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: isfinite(e))) = 64)),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (
+    SELECT x, sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h FROM v ORDER BY h, x LIMIT {k})),
+{", ".join(steps)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
+  CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(f.x, lambda e: CAST(CAST(e AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} AS f ON f.c = m.c"""
+
+
+ORACLES["op13_simplex"] = _simplex_sql()
+
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[f.__name__] = f
@@ -168,3 +220,26 @@ def op6_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = pseudolm.vocabulary(docs)
     frequent = [w for w, _ in pseudolm.frequent_words(docs, words=words)]
     return pseudolm.score_documents(docs, frequent, pseudolm.fit(docs, frequent), vocabulary=words)
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through legacy archives into WARC records and back."""
+    return warc.archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at lines and put together with its middle last, and the text rebuilt from that."""
+    made = wavelet.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = wavelet.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(back.cast("binary"), 256).alias("restored_sha256"))
+
+
+@query
+def op13_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all embeddings after five rounds."""
+    return simplex.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

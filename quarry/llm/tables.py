@@ -1,9 +1,10 @@
-"""Small shared helpers of the operators: scans, text defaults, size-checked broadcast."""
+"""Small shared helpers of the operators: scans, text defaults, size-checked broadcast, hot keys."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,8 @@ from ..session import ensure_checkpoint_dir
 #: Most rows of a two-long-column side that is ever broadcast (about 8 MB of keys);
 #: a larger side goes through a shuffle join instead.
 BROADCAST_ROWS = 250_000
+#: Most keys that count as hot, and the rows that a hot key has more than.
+HOT_KEYS, HOT_ROWS = 50_000, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,3 +62,30 @@ def texts_of(batch: pa.Array, size: int = 256) -> Iterator[str]:
     for at in range(0, len(batch), size):
         yield from batch.slice(at, size).to_pylist()
     pa.default_memory_pool().release_unused()
+
+
+def join_on_hot_key(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with ``facts`` (one row per ``key``) that no frequent key puts into one task.
+
+    Keys with more than ``n / HOT_KEYS`` of the ``n`` rows are fewer than
+    :data:`HOT_KEYS`, so their facts are broadcast; the rows of the others go
+    through a shuffle, where each key has few.  Null keys match nothing.  Both sides are read twice.
+    """
+    total = rows.count()
+    often = (rows.groupBy(key).count().where((F.col("count") > max(total // HOT_KEYS, HOT_ROWS)) & F.col(key).isNotNull())
+             .select(key))
+    often = written(often)
+    hot = rows.join(F.broadcast(facts.join(F.broadcast(often), key, "left_semi")), key)
+    rest = rows.join(F.broadcast(often), key, "left_anti")
+    return hot.unionByName(rest.join(facts, key))
+
+
+@contextmanager
+def removed(spark: SparkSession, folder: str) -> Iterator[None]:
+    """Deletes ``folder`` of the shared folder at the end."""
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
