@@ -171,9 +171,10 @@ def train(x: np.ndarray, y: np.ndarray, seed: int = 11) -> RuleModel:
 
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label") -> RuleModel:
-    """Fit on the labelled rows given (the caller bounds them by :data:`FIT_ROWS`)."""
+    """Fit on at most :data:`FIT_ROWS` labelled rows (those first by a hash of their id)."""
     got = (labelled.where(F.col(label).isNotNull())
            .select("doc_id", F.col(label).cast("int").alias("__y"), statistics_column(text).alias("__s"))
+           .orderBy(F.xxhash64("doc_id"), "doc_id", "__y", "__s").limit(FIT_ROWS)
            .select("doc_id", "__y", "__s.*").toPandas().sort_values("doc_id", kind="stable"))
     return train(got[list(STATISTICS)].to_numpy(np.float64), got["__y"].to_numpy())
 

@@ -8,7 +8,7 @@ group mention) weigh more than its members' sum.  Terms count once however
 long the text is, so the whole of a long text is read and does not dilute.
 
 Fitting takes a bounded sample of the labelled rows (``FIT_ROWS`` of them,
-by the order of a hash of their id; near copies count once), chooses the
+by the order of a hash of their id), chooses the
 ``FIT_TERMS`` buckets that tell the labels apart best and trains in numpy on the driver.
 Scoring runs over all rows in Arrow batches; the model that travels is
 bounded by ``FIT_TERMS``.
@@ -98,13 +98,7 @@ def _choose(rows: list[np.ndarray], y: np.ndarray) -> list[int]:
 
 def train(rows: list[np.ndarray], labels: list[int], seed: int = 7) -> Model:
     """Logistic factorization machine by AdaGrad on the chosen buckets."""
-    # near copies share their smallest hashed buckets: one of each group is learnt from
-    first: dict[tuple, int] = {}
-    for i, r in enumerate(rows):
-        mixed = np.sort((r.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-        first.setdefault((labels[i], *mixed[:3].tolist()), i)
-    kept = sorted(first.values())
-    rows, y = [rows[i] for i in kept], np.array([labels[i] for i in kept], dtype=np.float64)
+    y = np.array(labels, dtype=np.float64)
     if not len(rows) or not y.any():
         return Model({}, -np.inf, np.zeros(0), np.zeros((0, FACTORS)))
     chosen = _choose(rows, y)
@@ -185,5 +179,5 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Co
     chosen = (labels.where(learn & quoted(key).isNotNull() & quoted(label).isNotNull())
               .groupBy(quoted(key).alias("__key")).agg(F.max(quoted(label)).cast("int").alias("label"))
               .orderBy(F.xxhash64("__key"), "__key").limit(limit))
-    return (docs.join(F.broadcast(chosen), quoted(key) == F.col("__key"))
-            .select(F.col("__key").alias("doc_id"), quoted(text).alias("text"), "label"))
+    texts = docs.select(quoted(key).alias("doc_id"), quoted(text).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__key")).select("doc_id", "text", "label")

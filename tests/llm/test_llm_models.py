@@ -36,6 +36,33 @@ def test_machine_learns_a_pair_that_single_terms_miss():
     assert max(score[0, 0], score[0, 1], score[1, 0]) < 0.5
 
 
+def test_score_is_the_plain_double_sum(spark):
+    """Scores of the query against w0 + sum w_i + sum over all pairs, term by term."""
+    from quarry.llm.queries import toxicity_model
+
+    folder = "/root/testdata/sf0.01"
+    model = toxicity_model(spark, folder)
+    rows = QUERIES["op2_toxicity"](spark, folder).join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), "doc_id")
+    for r in rows.limit(200).collect():
+        words = set(toxicity._WORDS((r["text"] or "").lower()))
+        on = sorted({model.slots[b] for w in words for b in toxicity.term_buckets(w) if b in model.slots})
+        z = model.base + sum(model.linear[i] for i in on)
+        z += sum(float(np.dot(model.factors[i], model.factors[j])) for n, i in enumerate(on) for j in on[:n])
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -35, 35))), abs=1e-9)
+
+
+def test_every_row_is_learnt_from():
+    """Rows with common words in common are no copies: each counts."""
+    rows = [np.array([1, 2, 3, 100 + k]) for k in range(40)]
+    seen = []
+    real, toxicity._choose = toxicity._choose, lambda r, y: seen.append(len(r)) or real(r, y)
+    try:
+        toxicity.train(rows, [k % 2 for k in range(40)])
+    finally:
+        toxicity._choose = real
+    assert seen == [40]
+
+
 def test_buckets_column_is_whole_text(spark):
     text = "filler " * 50_000 + "needleword"
     got = spark.createDataFrame([(text,)], "text string").select(toxicity.buckets_column(F.col("text")).alias("b")).first()["b"]
