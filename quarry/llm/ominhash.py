@@ -12,10 +12,9 @@ union.  That is the Jaccard similarity of the items unless text was moved
 about, and then less.  The band is as wide as such a similarity can need.
 
 Equal word sequences are one node from the start.  Within a bucket no pairs are
-listed: members are compared with a leader, and after that only with further
-leaders (8, 128, 2048, ... by rank) of buckets that still hold documents of
-different classes, until every bucket is of one class or every member was a
-leader.  A pair is passed over if too many items of either occur in no other
+listed: members are compared with a leader, and after that only classes that still share a
+bucket are, by their heads (8, 128, 2048, ... by rank), and documents of them where the heads do
+not decide (:func:`_settled`).  A pair is passed over if too many items of either occur in no other
 document still looked at.  The classes are thus those of all pairs that share a
 band key; a pair at similarity 0.8 shares none with a chance under 1 in 10,000.
 
@@ -23,8 +22,8 @@ Tables made once are checkpoints; those of the rounds are written tables, whose
 sizes the planner knows.
 
 Null text is empty; empty texts are copies of each other.  Texts are read whole.
-Ids are a key: rows that share an id are one document, of which the least text
-counts.  Rows with a null id whose text has no id elsewhere get a null class.
+Rows that share id and text are one document; rows that share only the id are
+documents of their own.  Rows with a null id whose text has no id elsewhere get a null class.
 The class id is the least document id of the class.  Other columns are not looked at.
 """
 
@@ -46,7 +45,7 @@ from .tables import broadcast_if_small, quoted, text_or_empty, texts_of, written
 K, SIMILARITY = 5, 0.8
 #: Items of one value, values of a band key, band keys.
 L, ROWS, BANDS = 2, 3, 36
-#: Leaders of a bucket after the first, and times as many in each further round.
+#: Classes of a bucket that meet all others in the first round, and times as many in each further round.
 FIRST_LEADERS, MORE_LEADERS = 8, 16
 #: Words whose hash one worker remembers.
 REMEMBERED = 120_000
@@ -130,17 +129,24 @@ def band_keys(found: np.ndarray) -> np.ndarray:
 
 
 def alignment(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
-    """Matches of the best in-order alignment within the band, over the union.
+    """Matches of the best in-order alignment within the band, over the union; too small, maybe, under ``least``."""
+    return bounds(x, y, least)[0]
+
+
+def bounds(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> tuple[float, float]:
+    """Matches of the best in-order alignment within the band over the union, and of all equal items over theirs.
 
     The items of a document are all different, so the best alignment is the
-    longest increasing run of places.  Values under ``least`` may be too small.
+    longest increasing run of places.  The second number is never below the similarity, the
+    first never above; it is 0 where the second is below ``least``, and exact where it reaches ``least``.
     """
     if not len(x) or not len(y):
-        return float(len(x) == len(y))
+        return (float(len(x) == len(y)),) * 2
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     both = len(x) + len(y)
+    overlap = len(i) / (both - len(i))
     if len(i) < least * (both - len(i)):
-        return len(i) / (both - len(i))
+        return 0.0, overlap
     j = j[np.argsort(i, kind="stable")]
     i = np.sort(i)
     j = j[np.abs(i - j) <= both * (1 - least) / (1 + least) + 1]
@@ -155,7 +161,7 @@ def alignment(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
             else:
                 tails[at] = place
         matched = len(tails)
-    return matched / (both - matched)
+    return matched / (both - matched), overlap
 
 
 def words_of(text: str) -> list[str]:
@@ -194,13 +200,15 @@ def items_column(text: str | Column) -> Column:
 
 
 def similarity_column(a: Column, b: Column) -> Column:
-    """:func:`alignment` of two texts (double)."""
+    """:func:`bounds` of the similarity of two texts: ``aligned``, ``overlap``."""
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<aligned: double, overlap: double>")
     def similarity(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            yield pa.array([alignment(items(words_of(x)), items(words_of(y)))
-                            for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True)], pa.float64())
+            found = [bounds(items(words_of(x)), items(words_of(y))) for x, y in zip(texts_of(left), texts_of(right), strict=True)]
+            yield pa.StructArray.from_arrays([pa.array([f[k] for f in found], pa.float64()) for k in range(2)],
+                                             ["aligned", "overlap"])
+        forget_words()
 
     return similarity(a, b)
 
@@ -226,108 +234,142 @@ def classes_of(links: DataFrame) -> DataFrame:
             return now
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``pairs`` with ``linked``: whether their texts align."""
-    asked = pairs.select("a.rep").union(pairs.select("b.rep")).distinct()
-    texts = texts.join(broadcast_if_small(asked, 2 * pairs.count()), "rep", "left_semi")
-    left = texts.select(F.col("rep").alias("rep_a"), F.col("text").alias("left"))
-    right = texts.select(F.col("rep").alias("rep_b"), F.col("text").alias("right"))
-    joined = pairs.join(left, F.col("a.rep") == F.col("rep_a")).join(right, F.col("b.rep") == F.col("rep_b"))
-    return written(joined.select(
-        "a", "b", (similarity_column(F.col("left"), F.col("right")) >= SIMILARITY).alias("linked")))
+def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (nodes ``a, b``) with ``linked`` and bounds of their distance: ``least``, ``most``."""
+    n = pairs.count()
+    if not n:
+        return pairs.select("a", "b", F.lit(False).alias("linked"), F.lit(1.0).alias("least"), F.lit(1.0).alias("most"))
+    asked = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    texts = texts.join(broadcast_if_small(asked, 2 * n), "node", "left_semi")
+    joined = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
+              .join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b"))
+    return written(joined.select("a", "b", similarity_column(F.col("left"), F.col("right")).alias("s")).select(
+        "a", "b", (F.col("s.aligned") >= SIMILARITY).alias("linked"), (1 - F.col("s.overlap")).alias("least"),
+        (1 - F.col("s.aligned")).alias("most")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, class_id`` for every row of ``docs``."""
-    rows = docs.select(quoted(key).cast("long").alias("id"), text_or_empty(text).alias("text"))
-    sketched = cut_lineage(rows.select("id", sketch_column("text").alias("s")).select("id", "s.*"))
-    copies = sketched.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"),
-                                            F.first("bands").alias("bands"))
-    nodes = copies.where(F.col("rep").isNotNull() & (F.col("n") > 0))
-    repeated = not sketched.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1").isEmpty()
-    if repeated:
-        nodes = (nodes.groupBy("rep").agg(F.min(F.struct("digest", "n", "bands")).alias("s"))
-                 .select("rep", "s.*"))
-    nodes = nodes.select("rep", "n", F.transform("bands", lambda v, i: F.xxhash64(i, v)).alias("buckets"))
-    # documents are ordered by a hash of their id; leaders come first in it, and classes are named by their first
-    node = F.struct(F.xxhash64("rep").alias("by"), F.col("rep")).alias("node")
-    nodes = nodes.select(node, "n", "buckets")
+    return classified(docs, key, text).select(F.col("id").alias("doc_id"), F.col("first.id").alias("class_id"))
+
+
+def row_hash(key: Column, text: str) -> Column:
+    """Tells rows that share an id by their texts."""
+    return F.xxhash64(key, text_or_empty(text))
+
+
+def classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``id, by`` (:func:`row_hash`) of every row of ``docs`` and ``first``, the least ``id, by`` of its class."""
+    number = quoted(key).cast("long")
+    rows = docs.select(number.alias("id"), row_hash(number, text).alias("by"), text_or_empty(text).alias("text"))
+    sketched = cut_lineage(rows.select("id", "by", sketch_column("text").alias("s")).select("id", "by", "s.*"))
+    named = F.when(F.col("id").isNotNull(), F.struct("id", "by"))
+    copies = sketched.groupBy("digest").agg(F.min(named).alias("own"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # documents are ordered by a hash; leaders come first in it, and classes are named by their first
+    node = F.struct(F.col("own.by").alias("by"), F.col("own.id").alias("rep"))
+    nodes = (copies.where(F.col("own").isNotNull() & (F.col("n") > 0))
+             .select(node.alias("node"), "n", F.transform("bands", lambda v, i: F.xxhash64(i, v)).alias("buckets")))
     keyed = nodes.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = (keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("lead"))
               .where("size > 1").drop("size"))
     members = cut_lineage(keyed.join(shared, "bucket"))
     close = F.least("n", "m") >= SIMILARITY * F.greatest("n", "m")
-    most = F.least("can", "may")
-    possible = most >= SIMILARITY * (F.col("n") + F.col("m") - most)
     # first, each member against the leader that comes first among its buckets' leaders
     pairs = written(members.where(F.col("node") != F.col("lead.node")).groupBy("node", "n").agg(F.min("lead").alias("lead"))
                     .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), "n", F.col("lead.n").alias("m"))
                     .where(close).select("a", "b"))
-    reps = written(members.select("node.rep").distinct())
-    texts = rows.withColumnRenamed("id", "rep").join(broadcast_if_small(reps, reps.count()), "rep", "left_semi")
-    if repeated:
-        texts = texts.groupBy("rep").agg(F.min("text").alias("text"))
+    used = written(members.select("node").distinct())
+    texts = (rows.where("id IS NOT NULL").select(F.struct("by", F.col("id").alias("rep")).alias("node"), "text")
+             .join(broadcast_if_small(used, used.count()), "node", "left_semi"))
+    if not sketched.where("id IS NOT NULL").groupBy("id", "by").count().where("count > 1").isEmpty():
+        texts = texts.groupBy("node").agg(F.min("text").alias("text"))
     texts = cut_lineage(texts)
-    tested = _linked(pairs, texts)
+    tested = _tested(pairs, texts)
     classes = classes_of(tested.where("linked"))
+    classes = _settled(_matchable(_mixed_buckets(members.select("bucket", "node", "n"), classes, 0), texts), texts, classes, tested)
+    # the class is called by its least id
+    least = classes.groupBy("class").agg(F.min(F.struct(F.col("node.rep").alias("id"), "node.by")).alias("first"))
+    of_node = classes.join(least, "class").select(F.struct(F.col("node.rep").alias("id"), "node.by").alias("own"), "first")
+    of_copies = copies.select("digest", "own").join(of_node, "own", "left").select(
+        F.col("digest").alias("of"), F.coalesce("first", "own").alias("first"))
+    return sketched.select("id", "by", "digest").join(of_copies, F.col("digest") == F.col("of")).drop("digest", "of")
+
+
+def _settled(members: DataFrame, texts: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
+    """``classes`` after all links between ``members`` (``bucket, node, n, can``) of a bucket.
+
+    Aligned distance (1 - matches / union) is a metric, so a class is looked at through its head, the
+    document that names it: documents ``x`` and ``y`` cannot link if their heads are further apart than
+    the limit and the distances of ``x`` and ``y`` to their heads together.  Heads of classes
+    that share a bucket are tested first; documents only for the classes that this leaves open.
+    """
     low, high = 0, FIRST_LEADERS
-    members = _matchable(_mixed_buckets(members.select("bucket", "node", "n"), classes, low), texts, nodes)
     while True:
-        placed = written(_mixed_buckets(members, classes, low))
+        placed = _mixed_buckets(members, classes, low)
+        spokes = placed.where(F.col("node") != F.col("class")).select(F.col("class").alias("a"), F.col("node").alias("b")).distinct()
+        tested = tested.unionByName(_tested(written(spokes.join(tested, ["a", "b"], "left_anti")), texts))
+        reach = tested.select(F.col("a").alias("class"), F.col("b").alias("node"), "most")
+        placed = written(placed.join(reach, ["class", "node"], "left").withColumn("reach", F.coalesce("most", F.lit(0.0))).drop("most"))
         if placed.isEmpty():
-            break
-        members = placed.drop("class")
-        ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
+            return classes
+        groups = placed.groupBy("bucket", "class").agg(F.max("can").alias("can"), F.min("n").alias("n"), F.max("reach").alias("reach"))
+        ranked = written(groups.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class"))))
         leaders = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
-            "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("can").alias("may"), F.col("class").alias("of"),
-            F.col("earlier").alias("before"),
+            "bucket", F.col("class").alias("a"), F.col("n").alias("m"), F.col("can").alias("may"), F.col("reach").alias("extent"),
             F.col("rank").alias("lead"))
-        pairs = written(ranked.join(leaders, "bucket")
-                        .where((F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & possible
-                               & ~F.arrays_overlap("earlier", "before"))
-                        .select("a", F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
-        now = _linked(pairs, texts)
-        if not now.where("linked").isEmpty():
-            classes = _joined(classes, now.where("linked"))
+        met = written(ranked.join(leaders, "bucket").where((F.col("rank") > F.col("lead")) & _possible())
+                      .select("bucket", "a", F.col("class").alias("b"), (F.col("reach") + F.col("extent")).alias("slack")))
+        heads = met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
+        now = _tested(written(heads), texts)
         tested = tested.unionByName(now)
-        low, high = high, MORE_LEADERS * high
-    # the class id is the least document id of the class
-    named = classes.groupBy("class").agg(F.min("node.rep").alias("class_id"))
-    of_node = classes.join(named, "class").select(F.col("node.rep").alias("rep"), "class_id")
-    of_copies = copies.select("digest", "rep").join(of_node, "rep", "left").select(
-        "digest", F.coalesce("class_id", "rep").alias("class_id"))
-    return (sketched.select(F.col("id").alias("doc_id"), "digest").join(of_copies, "digest")
-            .select("doc_id", "class_id"))
+        # documents of classes whose heads are neither linked nor far enough apart
+        open_pairs = (met.where("slack > 0").join(tested.where("NOT linked"), ["a", "b"])
+                      .where(F.col("least") <= F.col("slack") + 1 - SIMILARITY + 1e-9).select("bucket", "a", "b", "least"))
+        left = placed.select("bucket", F.col("class").alias("a"), F.col("node").alias("x"), F.col("n").alias("m"),
+                             F.col("can").alias("may"), F.col("reach").alias("extent"))
+        right = placed.select("bucket", F.col("class").alias("b"), F.col("node").alias("y"), "n", "can", "reach")
+        near = F.col("least") <= F.col("extent") + F.col("reach") + 1 - SIMILARITY + 1e-9
+        found = (open_pairs.join(left, ["bucket", "a"]).join(right, ["bucket", "b"]).where(near & _possible())
+                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+                 .join(tested, ["a", "b"], "left_anti"))
+        inside = _tested(written(found), texts)
+        tested = written(tested.unionByName(inside))
+        links = now.where("linked").unionByName(inside.where("linked"))
+        if links.isEmpty():
+            low, high = high, MORE_LEADERS * high
+        else:  # ranks have changed; what was tested is known
+            classes, low = _joined(classes, links), 0
+
+
+def _possible() -> Column:
+    """Whether two documents (or any two of two classes) have enough items that can match."""
+    most = F.least("can", "may")
+    return most >= SIMILARITY * (F.col("n") + F.col("m") - most)
 
 
 def _mixed_buckets(members: DataFrame, classes: DataFrame, low: int) -> DataFrame:
-    """Members, with their ``class``, of buckets of several classes that have more than ``low`` members."""
+    """Members, with their ``class``, of buckets of more than one class and more than ``low`` of them."""
     placed = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = (placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("size"))
-             .where((F.col("x") != F.col("y")) & (F.col("size") > low)).select("bucket"))
+    mixed = (placed.select("bucket", "class").distinct().groupBy("bucket").agg(F.count("*").alias("size"))
+             .where(F.col("size") > max(low, 1)).select("bucket"))
     return placed.join(mixed, "bucket", "left_semi")
 
 
-def _matchable(members: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``bucket, node, n, can, earlier``: members with the most items that can match any other
-    member, and the buckets of the document before this one (a pair is looked at in the first it shares).
+def _matchable(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``bucket, node, n, can``: members with the most items that can match any other member.
 
     Items that no other document here has match nothing.  A document in which less
     than the similarity can match has no link to look for and is left out.
     """
     members = written(members.drop("class"))
     left = written(members.select("node", "n").distinct())
-    n_left = left.count()
-    own = texts.join(broadcast_if_small(left.select("node.rep"), n_left), "rep", "left_semi")
-    single = (own.select("rep", F.explode(items_column("text")).alias("item")).groupBy("item")
-              .agg(F.count("*").alias("times"), F.min("rep").alias("rep")).where("times = 1")
-              .groupBy("rep").agg(F.count("*").cast("int").alias("alone")))
-    able = (left.join(single, F.col("node.rep") == F.col("rep"), "left")
-            .select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("can"))
+    own = texts.join(broadcast_if_small(left.select("node"), left.count()), "node", "left_semi")
+    single = (own.select("node", F.explode(items_column("text")).alias("item")).groupBy("item")
+              .agg(F.count("*").alias("times"), F.min("node").alias("node")).where("times = 1")
+              .groupBy("node").agg(F.count("*").cast("int").alias("alone")))
+    able = (left.join(single, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("can"))
             .where(F.col("can") >= SIMILARITY * F.col("n")))
-    able = able.join(nodes.select("node", "buckets"), "node")
-    earlier = F.slice("buckets", F.lit(1), (F.array_position("buckets", F.col("bucket")) - 1).cast("int"))
-    return written(members.join(able, "node").select("bucket", "node", "n", "can", earlier.alias("earlier")))
+    return written(members.join(able, "node").select("bucket", "node", "n", "can"))
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -346,15 +388,21 @@ def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its class, one row each, all columns.
+    """The rows of ``docs`` whose id (and text) is the first of its class, one row each, all columns.
 
     Rows with a null id are kept unless their text is that of a row with an id.
     """
-    classes = near_duplicates(docs, key, text)
-    dropped = written(classes.where(F.col("doc_id") != F.col("class_id"))
-                          .select(F.col("doc_id").alias("__dropped")).distinct())
-    kept = docs.join(broadcast_if_small(dropped, dropped.count()), quoted(key) == F.col("__dropped"), "left_anti")
-    if docs.where(quoted(key).isNotNull()).groupBy(quoted(key)).count().where("count > 1").isEmpty():
+    found = classified(docs, key, text)
+    dropped = written(found.where((F.col("id") != F.col("first.id")) | (F.col("by") != F.col("first.by")) |
+                                  (F.col("id").isNull() & F.col("first").isNotNull()))
+                      .select(F.col("id").alias("__id"), F.col("by").alias("__by")).distinct())
+    here = row_hash(quoted(key).cast("long"), text)
+    kept = docs.join(broadcast_if_small(dropped, dropped.count()),
+                     quoted(key).cast("long").eqNullSafe(F.col("__id")) & (here == F.col("__by")), "left_anti")
+    if found.where("id IS NOT NULL").groupBy("id", "by").count().where("count > 1").isEmpty():
         return kept
-    return (kept.where(quoted(key).isNotNull()).dropDuplicates([key])
-            .unionByName(kept.where(quoted(key).isNull())))
+    # rows that share id and text: the one whose other columns hash lowest
+    row, order = F.struct(*[quoted(c) for c in docs.columns]), F.xxhash64(*[quoted(c) for c in docs.columns])
+    one = (kept.where(quoted(key).isNotNull()).groupBy(quoted(key).cast("long").alias("__id"), here.alias("__by"))
+           .agg(F.min_by(row, order).alias("__row")).select("__row.*"))
+    return one.unionByName(kept.where(quoted(key).isNull()))

@@ -98,6 +98,43 @@ def test_keep_one_keeps_columns_and_null_ids(spark):
     assert sorted((r["other"] for r in ominhash.keep_one(docs).collect())) == [2, 3, 4]
 
 
+def test_hot_class_beside_singletons_that_share_its_passage(spark):
+    """One class of a third of the rows, 200 documents that are each alone, chains and classes close to the limit."""
+    rng = random.Random(8)
+    passage = [f"p{k}" for k in range(120)]
+    rows = [(k, " ".join(edited(passage + [f"b{j}" for j in range(60)], 0.01, rng))) for k in range(130)]
+    shared = [f"s{j}" for j in range(400)]  # their other items stand in several documents, so that they can match
+    for k in range(200):
+        at = rng.randrange(300)
+        rows.append((1_000 + k, " ".join(passage + shared[at:at + 60])))
+    chain = [f"c{j}" for j in range(200)]
+    for k in range(40):  # each close to the next, the ends far apart
+        rows.append((2_000 + k, " ".join(chain[:5 * k] + [f"z{j}" for j in range(5 * k, 200)])))
+    rng.shuffle(rows)
+    assert classes(spark, rows) == brute_classes(rows)
+
+
+def test_distance_is_a_metric_within_its_bounds():
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(60)]
+    texts = [ominhash.items(edited(rng.sample(words, 60) if k % 4 == 0 else words[k:] + words[:k], 0.1, rng)) for k in range(40)]
+    for _ in range(2_000):
+        x, y, z = rng.sample(texts, 3)
+        (a, b), (c, d), (e, _) = ominhash.bounds(x, y), ominhash.bounds(y, z), ominhash.bounds(x, z)
+        assert a <= b and c <= d
+        assert 1 - e >= (1 - b) - (1 - c) - 1e-9  # most(x, z) >= least(x, y) - most(y, z)
+
+
+def test_rows_that_share_only_the_id_are_documents_of_their_own(spark):
+    docs = spark.createDataFrame([(1, "one text of seven words in all", 1), (1, "a wholly different other text stands here", 2),
+                                  (2, "One text of seven  words in all", 3), (1, "one text of seven words in all", 1), (None, "lost", 4)],
+                                 "doc_id long, text string, other int")
+    kept = sorted(r["other"] for r in ominhash.keep_one(docs).collect())
+    assert kept == [1, 2, 4]
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in ominhash.near_duplicates(docs).collect()) == [
+        (0, 0), (1, 1), (1, 1), (1, 1), (2, 1)]
+
+
 def test_fingerprints_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     rows = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
