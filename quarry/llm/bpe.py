@@ -28,8 +28,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .tables import text_or_empty
+from .tables import quoted, text_or_empty
 
 #: Pre-tokens longer than this are encoded each time, not remembered.
 REMEMBERED_CHARS = 48
@@ -93,7 +94,7 @@ class PieceIds:
         import sentencepiece
 
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self._ranks = ranks
+        self.ranks = ranks
         self._ids = sorted(ranks.values())
         self._plain = self._ids == list(range(len(ranks)))
         self._to_chars = {b: byte_char(b) for b in range(256)}
@@ -104,7 +105,7 @@ class PieceIds:
         raw = [t.encode() for t in new]
         encoded = self._model.encode([r.decode("latin-1").translate(self._to_chars) for r in raw], num_threads=1)
         for token, r, ids in zip(new, raw, encoded, strict=True):
-            whole = self._ranks.get(r)  # a pre-token that is itself a piece is that piece
+            whole = self.ranks.get(r)  # a pre-token that is itself a piece is that piece
             if whole is not None:
                 ids = [whole]
             elif not self._plain:
@@ -223,6 +224,36 @@ def decode_column(ids: str | Column, ranks: dict[bytes, int]) -> Column:
     return decode(F.col(ids) if isinstance(ids, str) else ids)
 
 
+def tokenise_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``ids``, ``n_tokens`` (long) and ``exact``: whether the ids decode to the text.
+
+    Encoding and decoding share a worker and its vocabulary, and documents are
+    handed on a few at a time, so that a worker never holds a whole batch of ids.
+    """
+    ranks = read_ranks(path)
+    sent = docs.sparkSession.sparkContext.broadcast((serialise_model(ranks), ranks, pattern, odd_characters()))
+    kept = [f for f in docs.schema.fields if f.name not in (text, "ids", "n_tokens", "exact")]
+    schema = StructType([*kept, *StructType.fromDDL("ids array<int>, n_tokens long, exact boolean").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = PieceIds(*sent.value)
+        bytes_of = {rank: piece for piece, rank in pieces.ranks.items()}
+        for batch in batches:
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
+                texts = part.column(len(kept)).to_pylist()
+                packed = [np.frombuffer(x, "<i4") for x in pieces.packed(texts)]
+                exact = [b"".join(map(bytes_of.__getitem__, x.tolist())) == t.encode() for x, t in zip(packed, texts, strict=True)]
+                sizes = [len(x) for x in packed]
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)),
+                                               pa.array(np.concatenate(packed)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(kept)], ids, pa.array(sizes, pa.int64()), pa.array(exact)],
+                                                 schema.names)
+            pa.default_memory_pool().release_unused()
+
+    return docs.select(*[quoted(f.name) for f in kept], text_or_empty(text).alias("__text")).mapInArrow(run, schema)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``n_tokens`` (long)."""
     out = docs.withColumn("ids", encode_column(text, read_ranks(path), pattern))
