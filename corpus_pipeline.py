@@ -3,6 +3,13 @@ group of near duplicates stays, sources are mixed to target weights, and texts b
 
 Each stage takes what its predecessor wrote and returns the columns of
 ``documents``, the last one the ids.  A stage on an empty table returns an empty table.
+
+Null text is the empty text and is scored like any; a null source is a source of its own; rows
+with a null id stay unless their text is that of a row with an id.  Texts are read
+whole, however long.  Rows with equal id and text are one document, rows that share only the id are
+documents of their own.  Ties: of a group of near duplicates the document with the least id
+stays; a score at the threshold counts as toxic, and as good.  Further columns, whatever their
+names, are carried along up to the last stage, which leaves them out.
 """
 
 from __future__ import annotations
@@ -48,10 +55,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document; ``exact`` says whether they decode to its text."""
-    encoded = bpe.encode_documents(docs, VOCABULARY, public_tokenizers.PATTERN)
-    exact = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return bpe.decode_documents(encoded, VOCABULARY).select(
-        "doc_id", "lang", "source", "n_chars", "n_tokens", "ids", exact.alias("exact"))
+    kept = [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
+    return bpe.tokenise_documents(docs.select(*kept), VOCABULARY, public_tokenizers.PATTERN)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
