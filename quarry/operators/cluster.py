@@ -421,6 +421,7 @@ class MedoidFit:
     medoids: pd.DataFrame
     ranges: dict
     objective: float
+    better_swaps: int | None = None    # exchanges with a candidate that would lower the objective
 
 
 def clara(df: DataFrame, features: list[str], k: int = 3, samples: int = 5, sample_size: int | None = None,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster as K
+from ..operators import medoids as MD
 from ..operators.columns import drop_noise
 from . import fixtures as fx
 from .registry import register, rounded, rsql
@@ -129,6 +130,34 @@ def k3_clara(spark, sf):
     return lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
 
 
+# groups far apart: the best medoids are the best of each group
+_APART = """(SELECT event_id % 4 AS grp, 10.0 * (event_id % 4) + user_id % 7 AS x, CAST(CAST(floor(value) AS BIGINT) % 5 AS DOUBLE) AS y,
+  substr('abcd', CAST(event_id % 4 + 1 AS INT), 1) AS g FROM events)"""
+
+
+@register("k3_medoids_objective", rsql(f"""
+WITH p AS (SELECT grp, x, y, count(*) AS w FROM {_APART} AS e GROUP BY grp, x, y),
+r AS (SELECT max(x) - min(x) AS rx, max(y) - min(y) AS ry FROM p),
+c AS (SELECT a.grp, b.x, b.y, sum(a.w * (abs(a.x - b.x) / rx + abs(a.y - b.y) / ry) / 3) AS cost
+      FROM p AS a JOIN p AS b ON a.grp = b.grp CROSS JOIN r GROUP BY a.grp, b.x, b.y),
+m AS (SELECT grp, min(cost) AS cost FROM c GROUP BY grp)
+SELECT 4 AS k, sum(cost) AS objective, CAST(0 AS BIGINT) AS better_swaps FROM m""", ["objective"]))
+def k3_objective(spark, sf):
+    """Objective over all rows, and how many exchanges with a candidate would still lower it."""
+    rows = spark.sql(f"SELECT x, y, g FROM {_APART.replace('events', '{events}')} AS e", events=fx.t(spark, sf, "events"))
+    fit = MD.k_medoids(rows, ["x", "y", "g"], k=4)
+    return rounded(spark.createDataFrame([(4, fit.objective, fit.better_swaps)], "k int, objective double, better_swaps long"))
+
+
+@register("k3_medoids_whole_table")
+def k3_medoids(spark, sf):
+    """Sizes and costs of the clusters of all rows, by their medoids."""
+    li = fx.t(spark, sf, "lineitem")
+    feats = ["l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
+    lab = K.medoid_labels(li, MD.k_medoids(li, feats, k=3))
+    return rounded(lab.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("medoid_distance").alias("cost")))
+
+
 # two features: the eigenvectors of a 2 x 2 covariance matrix have a closed form
 PCA_SQL = f"""
 WITH d AS (SELECT event_id, x, y FROM {CL_SQL} AS s),
