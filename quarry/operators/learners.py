@@ -1,4 +1,4 @@
-"""Regression and classification learners.
+"""Regression and classification learners.
 
 Every learner trains on the expression design matrix
 (:mod:`quarry.operators.design`): Spark ML estimators where Spark has
@@ -17,27 +17,31 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
+from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
+                                       OneVsRest)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import col, roles
+from ..session import cut_lineage
 from . import gradient as GD
+from . import knn as KNN
 from . import linear as L
+from . import trees as TR
 from .cleaning import drop_incomplete
-from .design import Design, apply_design, assemble, fit_design
+from .design import Design, apply_design, assemble, column_expr, fit_design
 
 REGRESSORS = ("linear", "ridge", "lasso", "tree", "rf", "svm", "gbm", "nnet")
-CLASSIFIERS = ("logistic", "tree", "rf", "svm", "nb", "gbm", "nnet")
+CLASSIFIERS = ("logistic", "tree", "rf", "svm", "knn", "nb", "gbm", "nnet")
 
 DEFAULTS = {
     "ridge": {"lambda": 0.1}, "lasso": {"lambda": 0.1},
     "tree": {"depth": 5, "cp": 0.01},
     "rf": {"trees": 100, "mtry": 3},
     "svm": {"kernel": "radial", "cost": 1.0, "epsilon": 0.1},
+    "knn": {"k": 5},
     "gbm": {"trees": 100, "depth": 3, "shrinkage": 0.1},
     "nnet": {"size": 5, "decay": 0.01, "iters": 200},
 }
@@ -110,17 +114,13 @@ def _fit_regressor(t: Trained, data: DataFrame, seed: int) -> Trained:
         else:
             t.model = GD.fit_net(m, d.names, "__y", p["size"], p["decay"], p.get("iters", 200), seed=seed)
         return t
+    if t.algo in ("tree", "rf"):
+        t.model = _grow(t, data.select(_tree_point(d).alias("x"), col(d.target).cast("double").alias("y")), 0, seed)
+        return t
     a = assemble(data, d).persist(StorageLevel.MEMORY_AND_DISK)
     if t.algo in ("ridge", "lasso"):
         est = LinearRegression(regParam=p["lambda"], elasticNetParam=0.0 if t.algo == "ridge" else 1.0,
                                standardization=True)
-    elif t.algo == "tree":
-        root_var = a.agg(F.var_pop("label")).collect()[0][0] or 0.0
-        est = DecisionTreeRegressor(maxDepth=p["depth"], minInfoGain=p["cp"] * root_var, seed=seed)
-    elif t.algo == "rf":
-        # R grows full trees (node size 5 for regression); Spark's depth limit is set high
-        est = RandomForestRegressor(numTrees=p["trees"], featureSubsetStrategy=str(min(p["mtry"], len(d.names))),
-                                    maxDepth=p.get("max_depth", 15), minInstancesPerNode=5, seed=seed)
     elif t.algo == "gbm":
         est = GBTRegressor(maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["shrinkage"], seed=seed)
     else:
@@ -130,10 +130,49 @@ def _fit_regressor(t: Trained, data: DataFrame, seed: int) -> Trained:
     return t
 
 
-def _gini(a: DataFrame) -> float:
-    """Impurity of the root: 1 - sum of squared class shares."""
-    counts = [r["count"] for r in a.groupBy("label").count().collect()]
-    return 1.0 - sum((c / sum(counts)) ** 2 for c in counts)
+#: Rows of a node that is split and of each side, in a pruned tree; rows of a node that a forest splits, by task.
+TREE_LIMITS, FOREST_SPLIT = {"min_split": 20, "min_bucket": 7}, {"regression": 6, "classification": 2}
+
+
+def _tree_columns(d: Design) -> list[tuple[str, Column, int]]:
+    """Name, number and count of levels (0: numeric) of what trees see: features as they are, and interaction columns."""
+    out = []
+    for v in d.variables():
+        if v in d.levels:
+            place = F.array_position(F.array(*[F.lit(x) for x in d.levels[v]]), col(v)) - 1
+            out.append((v, place.cast("double"), len(d.levels[v])))
+        else:
+            out.append((v, col(v).cast("double"), 0))
+    return out + [(name, column_expr(combo), 0) for name, _, combo in d.columns if len(combo) > 1]
+
+
+def _tree_point(d: Design) -> Column:
+    return F.array(*[value for _, value, _ in _tree_columns(d)])
+
+
+def _grow(t: Trained, rows: DataFrame, classes: int, seed: int) -> TR.Forest:
+    """A pruned tree, or a forest of full trees."""
+    p = t.params
+    shape = TR.Shape(tuple(levels for *_, levels in _tree_columns(t.design)), classes)
+    local = p.get("local_rows", TR.LOCAL_ROWS)
+    rows = rows.where(KNN.finite("x"))
+    if t.algo == "tree":
+        return TR.grow(rows, shape, TR.Limits(p["depth"], **TREE_LIMITS), cp=p["cp"], seed=seed, local_rows=local)
+    limits = TR.Limits(p.get("max_depth"), p.get("min_split", FOREST_SPLIT[t.task]))
+    return TR.grow(rows, shape, limits, p["trees"], p.get("bootstrap", True), p["mtry"], seed=seed, local_rows=local)
+
+
+def _tree_predict(t: Trained, df: DataFrame, keep: list[str]) -> DataFrame:
+    rows = df.select(F.struct(F.lit(1).alias("__one"), *[col(c) for c in keep]).alias("kept"), _tree_point(t.design).alias("x"))
+    found = TR.predict(rows.where(KNN.finite("x")), t.model, vote=t.algo == "rf" and t.task == "classification")
+    kept = [F.col("kept")[c].alias(c) for c in keep]
+    if t.task == "regression":
+        return found.select(*kept, F.col("answer")[0].alias("prediction"))
+    best = F.array_position("answer", F.array_max("answer")).cast("int")
+    sel = [*kept, F.element_at(F.array(*[F.lit(v) for v in t.levels]), best).alias("prediction")]
+    if len(t.levels) == 2:
+        sel.append(F.col("answer")[1].alias("score"))
+    return found.select(*sel)
 
 
 def _fit_classifier(t: Trained, data: DataFrame, seed: int) -> Trained:
@@ -142,15 +181,16 @@ def _fit_classifier(t: Trained, data: DataFrame, seed: int) -> Trained:
     if t.algo == "nb":
         t.model = fit_naive_bayes(data, "__label", t.features, k)
         return t
+    if t.algo == "knn":
+        rows = data.select(_point(d).alias("x"), F.col("__label").cast("int").alias("label"))
+        t.model = KnnModel(cut_lineage(KNN.weighted_points(rows)), len(d.names), p.get("leaf_points", KNN.LEAF_POINTS))
+        return t
+    if t.algo in ("tree", "rf"):
+        t.model = _grow(t, data.select(_tree_point(d).alias("x"), F.col("__label").alias("y")), k, seed)
+        return t
     a = assemble(data, d).persist(StorageLevel.MEMORY_AND_DISK)
     if t.algo == "logistic":
         est = LogisticRegression(regParam=0.0, family="multinomial" if k > 2 else "binomial", maxIter=100)
-    elif t.algo == "tree":
-        est = DecisionTreeClassifier(maxDepth=p["depth"], minInfoGain=p["cp"] * _gini(a), seed=seed)
-    elif t.algo == "rf":
-        est = RandomForestClassifier(numTrees=p["trees"], seed=seed, maxDepth=p.get("max_depth", 15),
-                                     minInstancesPerNode=1,
-                                     featureSubsetStrategy=str(min(p["mtry"], len(d.names))))
     elif t.algo == "gbm":
         g = GBTClassifier(maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["shrinkage"], seed=seed)
         est = g if k == 2 else OneVsRest(classifier=g)
@@ -196,6 +236,29 @@ def _fit_svm_classifier(t: Trained, a: DataFrame, seed: int) -> Trained:
     return t
 
 
+def _point(d: Design) -> Column:
+    """The design columns as one array."""
+    return F.array(*[column_expr(combo) for _, _, combo in d.columns])
+
+
+class KnnModel:
+    """The weighted training points and the k-d tree over them."""
+
+    def __init__(self, points: DataFrame, dims: int, leaf_points: int = KNN.LEAF_POINTS):
+        self.points, self.dims, self.leaf_points = points, dims, leaf_points
+        self.tree = KNN.grow(points, dims, leaf_points)
+
+
+def _knn_predict(t: Trained, df: DataFrame, keep: list[str]) -> DataFrame:
+    levels = F.array(*[F.lit(v) for v in t.levels])
+    rows = df.select(F.struct(F.lit(1).alias("__one"), *[col(c) for c in keep]).alias("kept"), _point(t.design).alias("x"))
+    found = KNN.classify(rows, t.model.tree, t.params["k"])
+    sel = [F.col("kept")[c].alias(c) for c in keep] + [levels[F.col("label")].alias("prediction")]
+    if len(t.levels) == 2:
+        sel.append(F.coalesce(F.col("shares")[F.lit(1)], F.lit(0.0)).alias("score"))
+    return found.select(*sel)
+
+
 def _kernel_features(a: DataFrame, km: GD.KernelMap, dims: int) -> DataFrame:
     """Apply the explicit kernel map to the feature vectors in Arrow batches
     (numpy, one pass); the result is a vector column again."""
@@ -294,6 +357,8 @@ def predict(t: Trained, df: DataFrame, keep: list[str] | None = None) -> DataFra
     """R9/C-predict: ``prediction`` (number, or class label); binary: ``score`` = P(second level)."""
     keep = list(keep or [])
     d = t.design
+    if t.algo in ("tree", "rf"):
+        return _tree_predict(t, df, keep)
     if t.task == "regression":
         if t.algo == "linear":
             return df.select(*[col(c) for c in keep], t.model.prediction().alias("prediction"))
@@ -310,6 +375,8 @@ def predict(t: Trained, df: DataFrame, keep: list[str] | None = None) -> DataFra
         if "score" in out.columns:
             sel.append("score")
         return out.select(*sel)
+    if t.algo == "knn":
+        return _knn_predict(t, df, keep)
     a = assemble(df, d, keep=keep, with_target=False)
     if t.algo == "svm":
         a = _kernel_features(a, t.extra["kernel"], t.extra["dims"])
@@ -328,10 +395,10 @@ def predict(t: Trained, df: DataFrame, keep: list[str] | None = None) -> DataFra
 # ---- importance ---------------------------------------------------------------
 
 def importance(t: Trained) -> list[tuple[str, float]]:
-    """Native importance per design column, sorted desc.
+    """Native importance per design column (trees and forests: per feature), sorted desc.
 
-    linear: abs(t); ridge/lasso/logistic: abs(coefficient); trees, forests,
-    boosting: Spark's impurity importance; network: connection weights;
+    linear: abs(t); ridge/lasso/logistic: abs(coefficient); trees, forests: share of
+    all gains; boosting: Spark's impurity importance; network: connection weights;
     svm / naive Bayes: none (use permutation importance).
     """
     names = t.design.names
@@ -346,7 +413,8 @@ def importance(t: Trained) -> list[tuple[str, float]]:
         cm = m.coefficientMatrix.toArray()
         vals = list(np.abs(cm).sum(axis=0))
     elif t.algo in ("tree", "rf"):
-        vals = list(m.featureImportances.toArray())
+        names = [name for name, *_ in _tree_columns(t.design)]
+        vals = list(m.gains / max(m.gains.sum(), 1e-300))
     elif t.algo == "gbm":
         if hasattr(m, "featureImportances"):
             vals = list(m.featureImportances.toArray())

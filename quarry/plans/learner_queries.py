@@ -110,6 +110,78 @@ for _name, _algo, _t, _p in [
     register(_name, _NB_TEST_SQL if _algo == "nb" else None)(_cls_query(_algo, _t, _p))
 
 
+# steps by a set of levels and by a number; what is added is too small for any further split to pay cp
+_STEPS = "(CASE WHEN l_returnflag IN ('A', 'R') THEN 10.0 ELSE 0.0 END + CASE WHEN l_quantity > 25 THEN 5.0 ELSE 0.0 END)"
+_NEAR_STEPS = f"({_STEPS} + ((l_partkey % 13) - 6) / 10.0)"
+_RANK_OF_STEP = f"(CASE WHEN l_partkey % 40 = 0 THEN 'other' WHEN {_STEPS} < 5 THEN 'p' WHEN {_STEPS} < 10 THEN 'q' WHEN {_STEPS} < 15 THEN 'r' ELSE 's' END)"
+_STEP_FEATURES = ["l_discount", "l_returnflag", "l_quantity"]
+
+
+def _stepped(spark, sf):
+    return load_table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_extendedprice", *_STEP_FEATURES, F.expr(_NEAR_STEPS).alias("y"), F.expr(_RANK_OF_STEP).alias("cls"))
+
+
+@register("r4_tree_leaves_of_planted_steps", rsql(f"""
+SELECT avg({_NEAR_STEPS}) AS prediction, count(*) AS n FROM lineitem GROUP BY {_STEPS}""", ["prediction"], 6))
+def r4_leaves(spark, sf):
+    """Leaf means and counts of the pruned tree; a split by a set of levels is one split."""
+    df = _stepped(spark, sf)
+    t = LR.train(df, "y", _STEP_FEATURES, "tree", task="regression", params={"depth": 5, "cp": 0.01})
+    return rounded(t.predict(df).groupBy("prediction").agg(F.count(F.lit(1)).alias("n")), 6)
+
+
+@register("c2_tree_leaves_of_planted_steps", f"""
+SELECT mode({_RANK_OF_STEP} ORDER BY l_orderkey) AS prediction, count(*) AS n, count(*) FILTER ({_RANK_OF_STEP} = 'other') AS others
+FROM lineitem GROUP BY {_STEPS}""")
+def c2_leaves(spark, sf):
+    df = _stepped(spark, sf)
+    t = LR.train(df, "cls", _STEP_FEATURES, "tree", task="classification", params={"depth": 5, "cp": 0.01})
+    return t.predict(df, keep=["cls"]).groupBy("prediction").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("cls") == "other").alias("others"))
+
+
+# without drawing rows a full tree parts all rows that differ, however deep that is
+@register("r5_forest_of_full_trees", rsql(f"""
+SELECT l_orderkey, l_linenumber, avg({_NEAR_STEPS}) OVER (PARTITION BY l_extendedprice) AS prediction
+FROM lineitem""", ["prediction"], 8))
+def r5_full(spark, sf):
+    df = _stepped(spark, sf)
+    t = LR.train(df, "y", ["l_extendedprice"], "rf", task="regression",
+                 params={"trees": 3, "mtry": 1, "bootstrap": False, "min_split": 2})
+    return rounded(t.predict(df, keep=["l_orderkey", "l_linenumber"]), 8)
+
+
+@register("c3_forest_of_full_trees", f"""
+WITH n AS (SELECT l_extendedprice, {_RANK_OF_STEP} AS cls, count(*) AS n FROM lineitem GROUP BY ALL),
+m AS (SELECT l_extendedprice, cls FROM n QUALIFY row_number() OVER (PARTITION BY l_extendedprice ORDER BY n DESC, cls) = 1)
+SELECT l_orderkey, l_linenumber, cls AS prediction FROM lineitem JOIN m USING (l_extendedprice)""")
+def c3_full(spark, sf):
+    df = _stepped(spark, sf)
+    t = LR.train(df, "cls", ["l_extendedprice"], "rf", task="classification",
+                 params={"trees": 3, "mtry": 1, "bootstrap": False})
+    return t.predict(df, keep=["l_orderkey", "l_linenumber"])
+
+
+def _knn_sql(target: str, k: int = 5) -> str:
+    """All pairs: every train row at the k-th distance or nearer votes; a draw goes to the smallest class."""
+    return f"""
+WITH d AS (SELECT event_id, value, user_id, train, {target} AS cls FROM {_SPLIT_SQL} AS t),
+p AS (SELECT q.event_id, q.cls AS actual, r.cls, (q.value - r.value) * (q.value - r.value)
+        + (q.user_id - r.user_id) * (q.user_id - r.user_id) AS squared
+      FROM d AS q JOIN d AS r ON NOT q.train AND r.train),
+k AS (SELECT event_id, list_extract(min(squared, {k}), {k}) AS reach FROM p GROUP BY event_id),
+v AS (SELECT event_id, actual, p.cls, count(*) AS n FROM p JOIN k USING (event_id) WHERE squared <= reach GROUP BY ALL)
+SELECT event_id, actual, cls AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC, cls) = 1"""
+
+
+@register("c5_knn_test_predictions", _knn_sql("CASE WHEN y < 70 THEN 'a_low' WHEN y < 130 THEN 'b_mid' ELSE 'c_high' END"))
+def c5_knn(spark, sf):
+    tr, te = _split(spark, sf)
+    t = LR.train(tr, "y3", ["value", "user_id"], "knn", task="classification", params={"k": 5})
+    return t.predict(te, keep=["event_id", "y3"]).withColumnRenamed("y3", "actual")
+
+
 NB_SQL = f"""
 WITH d AS (SELECT event_id, value, user_id, event_type, {fx.EV_CLS2} AS y FROM events),
 st AS (SELECT y, count(*) AS n, avg(value) AS mv, stddev_samp(value) AS sv, avg(user_id) AS mu,

@@ -53,6 +53,10 @@ def save_bundle(t: LR.Trained, path: str, schema_of: DataFrame | None = None,
         if t.algo == "linear":
             arrays = {"coef": m.coef, "se": m.se, "vcov": m.vcov, "means": m.means,
                       "scalars": np.array([m.n, m.rss, m.tss, m.ymean]), "kept": np.array(m.kept)}
+        elif t.algo in ("tree", "rf"):
+            LR.TR.save(m, path, SparkSession.getActiveSession())
+        elif t.algo == "knn":
+            m.points.write.mode("overwrite").parquet(os.path.join(path, "points"))
         elif t.algo == "nb":
             meta["nb"] = {"k": m.k, "prior": m.prior, "gauss": m.gauss,
                           "table": {f: {str(c): v for c, v in tb.items()} for f, tb in m.table.items()}}
@@ -106,6 +110,11 @@ def load_bundle(path: str) -> tuple[LR.Trained, dict]:
         mod, cls = meta["model_class"].rsplit(".", 1)
         import importlib
         t.model = getattr(importlib.import_module(mod), cls).load(os.path.join(path, "model"))
+    elif t.algo in ("tree", "rf"):
+        t.model = LR.TR.load(path, SparkSession.getActiveSession())
+    elif t.algo == "knn":
+        points = SparkSession.getActiveSession().read.parquet(os.path.join(path, "points"))
+        t.model = LR.KnnModel(points, len(d.names), t.params.get("leaf_points", LR.KNN.LEAF_POINTS))
     else:
         arr = dict(np.load(io.BytesIO(row["arrays"]), allow_pickle=False))
         if t.algo == "linear":
