@@ -1,11 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source's documents are shuffled (by a hash of their id and the
-seed), repeated as often as the source's target asks for, and given a
-virtual finish time: the source's tokens served so far, this document
-included, divided by the source's target.  All documents are then put in
-the order of these times by ranges and the mix is cut at the total budget.
-The document at which a source reaches its target is taken in part.
+seed) and offered up to three times over, in packets of at most :data:`PACKET` words.  A packet's
+virtual finish time is the source's words served so far, this packet included, divided by the
+source's weight.  All packets are then put in the order of these times by ranges, and the mix is cut at
+the total budget: what stands before the cut is taken.  That cut alone decides; a source whose
+three rounds end before it leaves its share to the others, so that each source ends within a packet
+of its target (:func:`targets`, computed beside it).
 
 Running sums go over two levels: sums of hash (or time) ranges, then rows
 within a range, so that a source with a third of all rows is spread over
@@ -29,6 +30,8 @@ from .tables import broadcast_if_small, quoted, text_or_empty
 WEIGHTS = (5.0, 2.0, 1.0)
 #: A source is taken at most so many times over.
 MOST_REPEATS = 3
+#: Words of a document that are served at once.
+PACKET = 128
 #: Rows that one range of a running sum is meant to hold, and the fewest ranges.
 RANGE_ROWS, LEAST_RANGES = 50_000, 1_024
 WORD = r"[^\x20\x09-\x0D]+"
@@ -40,7 +43,7 @@ def size_column(text: str) -> Column:
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """``source``, ``source_size``, ``target``: all sizes shared by weight, none above ``most`` times its own.
+    """``source``, ``source_size``, ``weight``, ``target``: all sizes shared by weight, none above ``most`` times its own.
 
     Sorted by ``most * size / weight``, the sources up to some place are at
     their limit and the rest share what is left by weight; running sums over
@@ -59,7 +62,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int =
     tried = limited.withColumn("rate", left / shared)
     # the first source whose own limit is not below the rate of all that follow sets the rate
     rate = F.min(F.when(F.col("rate") <= F.col("level"), F.struct("level", "place", "rate"))).over(every)["rate"]
-    return tried.select("source", "source_size",
+    return tried.select("source", "source_size", "weight",
                         F.least("limit", F.coalesce(rate, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
@@ -93,29 +96,36 @@ def mix(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
     """The mix: a row per document and repeat that is taken.
 
     ``row, doc_id, source, size, source_size, target, repeat`` (from 0),
-    ``finish`` (virtual finish time), ``take`` (words taken) and ``position``
-    (words of the mix up to and with this row).  ``budget`` is all sizes when not given.
+    ``finish`` (virtual finish time of its last packet), ``take`` (words taken) and ``position``
+    (words of the mix up to and with it).  ``budget`` is all sizes when not given.
     """
+    goals = cut_lineage(targets(sized, weights, most))
     totals = sized.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
-    ranges = max(LEAST_RANGES, 1 << (int(totals["n"]) // RANGE_ROWS).bit_length())
+    last = goals.agg(F.max(most * F.col("source_size") / F.col("weight"))).first()[0] or 1.0
+    ranges = max(LEAST_RANGES, 1 << (int(totals["n"] + totals["words"] // PACKET) // RANGE_ROWS).bit_length())
     bits = min(ranges.bit_length() - 1, 30)
     goal = totals["words"] if budget is None else budget
     # 60 bits of a hash of id and seed
     text = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))
     place = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
-    rows = sized.join(targets(sized, weights, most).withColumnRenamed("source", "__source"),
+    rows = sized.join(goals.withColumnRenamed("source", "__source"),
                       F.col("source").eqNullSafe(F.col("__source"))).drop("__source").withColumn("place", place)
     served = running_sum(rows, "size", "served", ["source"], F.shiftright("place", 60 - bits),
                          ["place", "doc_id", "size", "row"])
-    first = F.col("served") - F.col("size") + F.col("repeat") * F.col("source_size")
-    entries = (served.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-               .withColumn("take", F.least(F.col("size"), F.floor("target") - first))
-               .where(F.col("take") > 0)
-               .withColumn("finish", F.try_divide(first + F.col("take"), F.col("target"))).drop("served", "place"))
-    ordered = running_sum(entries, "take", "position", [], F.floor(F.col("finish") * ranges),
-                          ["finish", "source", "repeat", "row"])
-    return (ordered.withColumn("take", F.col("take") - F.greatest(F.col("position") - goal, F.lit(0)))
-            .where(F.col("take") > 0).withColumn("position", F.least("position", F.lit(goal))))
+    # an offer is a packet of a repeat: all repeats of a source are served one after the other
+    parts = F.sequence(F.lit(0), F.ceil(F.col("size") / PACKET).cast("int") - 1)
+    offers = (served.where("size > 0").withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+              .withColumn("packet", F.explode(parts))
+              .withColumn("offer", F.least(F.lit(PACKET), F.col("size") - F.col("packet") * PACKET).cast("long"))
+              .withColumn("until", F.col("served") - F.col("size") + F.col("repeat") * F.col("source_size")
+                          + F.col("packet") * PACKET + F.col("offer"))
+              .withColumn("finish", F.col("until") / F.col("weight"))
+              .select("row", "doc_id", "source", "size", "source_size", "target", "repeat", "until", "offer", "finish"))
+    ordered = running_sum(offers, "offer", "position", [], F.floor(F.col("finish") * (16.0 * ranges / last)),
+                          ["finish", "source", "until"])
+    taken = ordered.withColumn("take", F.col("offer") - F.greatest(F.col("position") - goal, F.lit(0))).where(F.col("take") > 0)
+    return (taken.groupBy("row", "doc_id", "source", "size", "source_size", "target", "repeat")
+            .agg(F.max("finish").alias("finish"), F.sum("take").alias("take"), F.max(F.least("position", F.lit(goal))).alias("position")))
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",

@@ -36,24 +36,27 @@ SELECT conv_id, n AS n_turns, sha256(said) AS turns_sha256, length(loss) AS loss
   CAST(chars AS BIGINT) AS formatted_chars,
   regexp_matches(roles, '^(system,)?user(,assistant,user)*(,assistant)?$') AS valid FROM c"""
 
-#: Shares and the shuffled order are expressible; a document's share is what is left of its source's target.
+#: Packets in the order of their finish times, cut where all sizes are taken; targets beside it by running sums over the sources.
 ORACLES["op9_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':5'), 1, 15) AS BIGINT) AS place FROM documents),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':5'), 1, 15) AS BIGINT) AS place, row_number() OVER () AS id FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
         row_number() OVER (ORDER BY source IS NULL, source) - 1 AS k FROM d GROUP BY source),
 w AS (SELECT *, CASE k % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
 r AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER low, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER low, 0)) AS rate
       FROM w WINDOW low AS (ORDER BY cap / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT rate FROM r WHERE rate <= cap / weight ORDER BY cap / weight, k LIMIT 1),
-g AS (SELECT source, source_size, least(cap, (SELECT rate FROM f) * weight) AS target FROM r),
-q AS (SELECT d.*, g.source_size, g.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size
+g AS (SELECT source, source_size, weight, least(cap, (SELECT rate FROM f) * weight) AS target FROM r),
+q AS (SELECT d.*, g.source_size, g.weight, g.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size
         ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, round(target, 6) AS target,
-  CAST(greatest(0, least(size, floor(target) - before)) + greatest(0, least(size, floor(target) - before - source_size))
-    + greatest(0, least(size, floor(target) - before - 2 * source_size)) AS BIGINT) AS taken FROM q"""
+      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+o AS (SELECT id, source, weight, least(128, size - p * 128) AS offer, before + n * source_size + p * 128 + least(128, size - p * 128) AS until
+      FROM q, generate_series(0, 2) AS a(n), LATERAL (SELECT unnest(generate_series(0, (size + 127) // 128 - 1)) AS p) WHERE size > 0),
+c AS (SELECT *, sum(offer) OVER (ORDER BY until / weight, source NULLS FIRST, until ROWS UNBOUNDED PRECEDING) AS position FROM o),
+t AS (SELECT id, sum(offer - greatest(position - (SELECT sum(size) FROM d), 0)) AS taken FROM c
+      WHERE position - offer < (SELECT sum(size) FROM d) GROUP BY id)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN t USING (id)"""
 
 #: Equal payloads of 100 bytes or more refer to the one with the least id.
 ORACLES["op11_warc"] = """
@@ -182,7 +185,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
     sized = mixing.sized_documents(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     took = mixing.mix(sized).groupBy("row").agg(F.sum("take").alias("taken"))
-    goals = mixing.targets(sized).withColumnRenamed("source", "of")
+    goals = mixing.targets(sized).drop("weight").withColumnRenamed("source", "of")
     return (sized.join(took, "row", "left").join(goals, F.col("source").eqNullSafe(F.col("of")))
             .select("doc_id", "size", "source_size", F.round("target", 6).alias("target"),
                     F.coalesce("taken", F.lit(0)).cast("long").alias("taken")))

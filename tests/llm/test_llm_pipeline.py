@@ -1,7 +1,7 @@
 """The whole pipeline against plain Python on 200 documents, and on columns that clash."""
 
 import hashlib
-import math
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -9,7 +9,6 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 from test_llm_near import brute_classes
-from test_llm_texts import shares
 
 import corpus_pipeline
 from quarry.llm import bpe, mixing, quality, toxicity
@@ -20,18 +19,27 @@ SF = "/root/testdata/sf0.01"
 
 
 def brute_mix(docs):
-    """Copies of each document: sources served in the order of a hash up to their target, three times over at most."""
-    sized = [(r["doc_id"], r["source"], len(__import__("re").findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs]
+    """Copies of each document: packets of all sources in the order of their finish times, up to as many words as there are."""
+    sized = [(r["doc_id"], r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))) for r in docs]
     totals = defaultdict(int)
     for _, s, n in sized:
         totals[s] += n
-    target, copies = shares(dict(totals)), {}
-    served = defaultdict(int)
-    for i, s, n in sorted(sized, key=lambda d: (int(hashlib.md5(f"{d[0]}:5".encode()).hexdigest()[:15], 16), d[0])):
-        takes = [min(n, math.floor(target[s] + 1e-9) - served[s] - k * totals[s]) for k in range(3)]
-        copies[i] = sum(t > 0 and 2 * t >= n for t in takes)
-        served[s] += n
-    return copies
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(sorted(totals, key=lambda s: (s is None, s)))}
+    offers = []
+    for s in totals:
+        before = 0
+        own = sorted((int(hashlib.md5(f"{i}:5".encode()).hexdigest()[:15], 16), i, n) for i, of, n in sized if of == s)
+        for repeat in range(3):
+            for _, i, n in own:
+                for at in range(0, n, mixing.PACKET):
+                    words = min(mixing.PACKET, n - at)
+                    before += words
+                    offers.append((before / weight[s], s is not None, s or "", before, words, i, repeat))
+    left, took, size = sum(totals.values()), defaultdict(int), {i: n for i, _, n in sized}
+    for *_, words, i, repeat in sorted(offers):
+        took[i, repeat] += min(words, left)
+        left -= min(words, left)
+    return {i: sum(t > 0 and 2 * t >= size[i] for (of, _), t in took.items() if of == i) for i in size}
 
 
 def test_pipeline_against_plain_python(spark, tables):
