@@ -1,5 +1,4 @@
-"""Full-batch gradient training for learners Spark ML lacks (R6 SVM regression,
-R8 one-hidden-layer network regression, C4 kernel SVM features).
+"""Full-batch gradient training for learners Spark ML lacks (R6 SVM regression, C4 kernel SVM features).
 
 The data stay on the executors: every iteration is one job in which each
 partition returns (loss, gradient) partial sums for the current weights
@@ -162,75 +161,6 @@ def fit_svr(df: DataFrame, x_cols: list[str], y_col: str, kernel: str = "radial"
     return SVRModel(km, w, ym, ys)
 
 
-# ---- one-hidden-layer network, linear output --------------------------------
-
-@dataclass
-class NetModel:
-    mean: np.ndarray
-    sd: np.ndarray
-    W1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
-    y_mean: float
-    y_sd: float
-
-    def predict(self, X: np.ndarray) -> np.ndarray:
-        Z = (X - self.mean) / self.sd
-        H = 1.0 / (1.0 + np.exp(-(Z @ self.W1 + self.b1)))
-        return (H @ self.w2 + self.b2) * self.y_sd + self.y_mean
-
-    def input_weights(self) -> np.ndarray:
-        """Connection-weight importance per input: sum_h |W1[i,h] * w2[h]|."""
-        return np.abs(self.W1 * self.w2[None, :]).sum(axis=1)
-
-
-def fit_net(df: DataFrame, x_cols: list[str], y_col: str, size: int = 5, decay: float = 0.01,
-            iters: int = 200, seed: int = 42) -> NetModel:
-    """Logistic hidden units, linear output, weight decay on all weights."""
-    p = len(x_cols)
-    st = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m{i}") for i, c in enumerate(x_cols)],
-                *[F.stddev_samp(F.col(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(x_cols)],
-                F.avg(F.col(f"`{y_col}`")).alias("ym"), F.stddev_samp(F.col(f"`{y_col}`")).alias("ys"),
-                F.count(F.lit(1)).alias("n")).collect()[0]
-    mean = np.array([st[f"m{i}"] for i in range(p)], float)
-    sd = np.array([st[f"s{i}"] or 1.0 for i in range(p)], float)
-    sd[sd == 0] = 1.0
-    ym, ys = st["ym"], (st["ys"] or 1.0)
-    n = st["n"]
-    rng = np.random.default_rng(seed)
-    sizes = [(p, size), (size,), (size,), (1,)]
-    w0 = np.concatenate([rng.uniform(-0.7, 0.7, int(np.prod(s))) for s in sizes])
-
-    def unpack(w):
-        i = 0
-        W1 = w[i:i + p * size].reshape(p, size)
-        i += p * size
-        b1 = w[i:i + size]
-        i += size
-        w2 = w[i:i + size]
-        i += size
-        return W1, b1, w2, w[i]
-
-    def fn(w, X, y):
-        W1, b1, w2, b2 = unpack(w)
-        Z = (X - mean) / sd
-        H = 1.0 / (1.0 + np.exp(-(Z @ W1 + b1)))
-        out = H @ w2 + b2
-        r = out - (y - ym) / ys
-        loss = 0.5 * (r @ r)
-        gH = np.outer(r, w2) * H * (1 - H)
-        return loss, np.concatenate([(Z.T @ gH).ravel(), gH.sum(axis=0), H.T @ r, [r.sum()]])
-
-    def reg(w):
-        return 0.5 * decay * (w @ w) / n, decay * w / n
-    data = design_arrays(df, x_cols, y_col)
-    w = adam(data, fn, w0, iters=iters, lr=0.05, reg=reg)
-    data.unpersist()
-    W1, b1, w2, b2 = unpack(w)
-    return NetModel(mean, sd, W1, b1, w2, float(b2), ym, ys)
-
-
 def predict_column(df: DataFrame, model, x_cols: list[str], out: str = "prediction") -> DataFrame:
     """Arrow-batched prediction of a numpy model over the design columns."""
     from pyspark.sql.types import DoubleType, StructField, StructType

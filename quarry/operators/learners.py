@@ -2,25 +2,25 @@
 
 Every learner trains on the expression design matrix
 (:mod:`quarry.operators.design`): Spark ML estimators where Spark has
-one, closed forms as aggregates (OLS, naive Bayes), and the
-full-batch gradient trainer for the SVM regression and the network
-regression.  Predictions are lazy transforms.  Classes are the sorted
+one, closed forms as aggregates (OLS, naive Bayes), and trainers of
+their own for penalised regression, trees and forests, networks, the SVM regression and neighbours.  Predictions are lazy transforms.  Classes are the sorted
 levels of the target (C9); predictions map back to the same levels.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
-                                       OneVsRest)
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +29,8 @@ from ..session import cut_lineage
 from . import gradient as GD
 from . import knn as KNN
 from . import linear as L
+from . import network as NN
+from . import penalised as PN
 from . import trees as TR
 from .cleaning import drop_incomplete
 from .design import Design, apply_design, assemble, column_expr, fit_design
@@ -112,16 +114,16 @@ def _fit_regressor(t: Trained, data: DataFrame, seed: int) -> Trained:
         if t.algo == "svm":
             t.model = GD.fit_svr(m, d.names, "__y", p["kernel"], p["cost"], p["epsilon"], seed=seed)
         else:
-            t.model = GD.fit_net(m, d.names, "__y", p["size"], p["decay"], p.get("iters", 200), seed=seed)
+            t.model = NN.fit_network(m, d.names, "__y", p["size"], p["decay"], p.get("iters", 200), seed=seed)
         return t
     if t.algo in ("tree", "rf"):
         t.model = _grow(t, data.select(_tree_point(d).alias("x"), col(d.target).cast("double").alias("y")), 0, seed)
         return t
-    a = assemble(data, d).persist(StorageLevel.MEMORY_AND_DISK)
     if t.algo in ("ridge", "lasso"):
-        est = LinearRegression(regParam=p["lambda"], elasticNetParam=0.0 if t.algo == "ridge" else 1.0,
-                               standardization=True)
-    elif t.algo == "gbm":
+        t.model = PN.fit_path(data, d, [p["lambda"]], 0.0 if t.algo == "ridge" else 1.0)
+        return t
+    a = assemble(data, d).persist(StorageLevel.MEMORY_AND_DISK)
+    if t.algo == "gbm":
         est = GBTRegressor(maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["shrinkage"], seed=seed)
     else:
         raise ValueError(t.algo)
@@ -188,15 +190,16 @@ def _fit_classifier(t: Trained, data: DataFrame, seed: int) -> Trained:
     if t.algo in ("tree", "rf"):
         t.model = _grow(t, data.select(_tree_point(d).alias("x"), F.col("__label").alias("y")), k, seed)
         return t
+    if t.algo == "nnet":
+        m = apply_design(data, d)
+        t.model = NN.fit_network(m, d.names, "__y", p["size"], p["decay"], p.get("iters", 200), k, seed)
+        return t
     a = assemble(data, d).persist(StorageLevel.MEMORY_AND_DISK)
     if t.algo == "logistic":
         est = LogisticRegression(regParam=0.0, family="multinomial" if k > 2 else "binomial", maxIter=100)
     elif t.algo == "gbm":
         g = GBTClassifier(maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["shrinkage"], seed=seed)
         est = g if k == 2 else OneVsRest(classifier=g)
-    elif t.algo == "nnet":
-        est = MultilayerPerceptronClassifier(layers=[len(d.names), p["size"], k], maxIter=p.get("iters", 200),
-                                             seed=seed)
     elif t.algo == "svm":
         out = _fit_svm_classifier(t, a, seed)
         a.unpersist()
@@ -259,6 +262,26 @@ def _knn_predict(t: Trained, df: DataFrame, keep: list[str]) -> DataFrame:
     return found.select(*sel)
 
 
+def _net_predict(t: Trained, df: DataFrame, keep: list[str]) -> DataFrame:
+    """The class of the largest probability; complete rows only."""
+    model, inputs = t.model, len(t.design.names)
+
+    @F.arrow_udf("array<double>")
+    def chances(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            out = model.predict(np.asarray(lists.flatten()).reshape(len(lists), inputs))
+            yield pa.ListArray.from_arrays(np.arange(0, out.size + 1, out.shape[1], dtype=np.int32), out.ravel())
+
+    rows = df.select(F.struct(F.lit(1).alias("__one"), *[col(c) for c in keep]).alias("kept"), _point(t.design).alias("x"))
+    found = rows.where(KNN.finite("x")).withColumn("chance", chances("x"))
+    best = F.array_position("chance", F.array_max("chance")).cast("int")
+    sel = [F.col("kept")[c].alias(c) for c in keep]
+    sel.append(F.element_at(F.array(*[F.lit(v) for v in t.levels]), best).alias("prediction"))
+    if len(t.levels) == 2:
+        sel.append(F.col("chance")[1].alias("score"))
+    return found.select(*sel)
+
+
 def _kernel_features(a: DataFrame, km: GD.KernelMap, dims: int) -> DataFrame:
     """Apply the explicit kernel map to the feature vectors in Arrow batches
     (numpy, one pass); the result is a vector column again."""
@@ -360,7 +383,7 @@ def predict(t: Trained, df: DataFrame, keep: list[str] | None = None) -> DataFra
     if t.algo in ("tree", "rf"):
         return _tree_predict(t, df, keep)
     if t.task == "regression":
-        if t.algo == "linear":
+        if t.algo in ("linear", "ridge", "lasso"):
             return df.select(*[col(c) for c in keep], t.model.prediction().alias("prediction"))
         if t.algo in ("svm", "nnet"):
             m = apply_design(df, d, keep=keep, with_target=False)
@@ -377,6 +400,8 @@ def predict(t: Trained, df: DataFrame, keep: list[str] | None = None) -> DataFra
         return out.select(*sel)
     if t.algo == "knn":
         return _knn_predict(t, df, keep)
+    if t.algo == "nnet":
+        return _net_predict(t, df, keep)
     a = assemble(df, d, keep=keep, with_target=False)
     if t.algo == "svm":
         a = _kernel_features(a, t.extra["kernel"], t.extra["dims"])
@@ -408,7 +433,7 @@ def importance(t: Trained) -> list[tuple[str, float]]:
         tv = m.t()[1:]
         vals = [abs(v) if v == v else 0.0 for v in tv]
     elif t.algo in ("ridge", "lasso"):
-        vals = [abs(v) for v in m.coefficients.toArray()]
+        vals = [abs(v) for v in m.coef]
     elif t.algo == "logistic":
         cm = m.coefficientMatrix.toArray()
         vals = list(np.abs(cm).sum(axis=0))
@@ -420,13 +445,8 @@ def importance(t: Trained) -> list[tuple[str, float]]:
             vals = list(m.featureImportances.toArray())
         else:
             vals = list(np.mean([x.featureImportances.toArray() for x in m.models], axis=0))
-    elif t.algo == "nnet" and t.task == "regression":
-        vals = list(m.input_weights())
     elif t.algo == "nnet":
-        w = np.asarray(m.weights.toArray())
-        p, h = len(names), t.params["size"]
-        W1 = w[:p * h].reshape(p, h)
-        vals = list(np.abs(W1).sum(axis=1))
+        vals = list(m.input_weights())
     if vals is None:
         return []
     return sorted(zip(names, [float(v) for v in vals]), key=lambda x: -x[1])

@@ -146,6 +146,12 @@ def _pivot_keep(G: np.ndarray, tol: float = 1e-7) -> list[int]:
     return kept
 
 
+def training_adj_r2(fit: OLSFit) -> float:
+    """adjusted R2 of the training rows, by the number of chosen features (a factor is one)."""
+    free = fit.n - len(fit.design.variables()) - 1
+    return 1 - (1 - fit.r2) * (fit.n - 1) / free if free > 0 else float("nan")
+
+
 def fit_ols(df: DataFrame, formula: str, design: Design | None = None) -> OLSFit:
     """Ordinary least squares with an intercept."""
     d = design or fit_design(df, formula)
@@ -336,26 +342,56 @@ def breusch_pagan(df: DataFrame, fit: OLSFit) -> DataFrame:
                                            "bp double, df int, p_value double")
 
 
+#: Rows that one window of neighbouring rows holds.
+CHUNK = 100_000
+
+
 def durbin_watson(df: DataFrame, fit: OLSFit, order_by: str) -> DataFrame:
-    """Sum (e_t - e_{t-1})^2 / sum e_t^2 in ``order_by`` order.
+    """``dw`` = sum (e_t - e_{t-1})^2 / sum e_t^2 in ``order_by`` order, with its moments under independence.
 
-    Residuals get a global position (range buckets), then each row meets
-    its predecessor by an equi-join on position: no single-task window.
-    p-value: one-sided (positive autocorrelation), normal approximation
-    with mean 2 and variance 4/n.
+    Rows get a global position; runs of :data:`CHUNK` positions, each with the row before and the row
+    after it, are windows of their own, so that neither a self-join nor one task sees all rows.  The same pass
+    sums what ``expected`` and ``variance`` of the statistic need: with A the matrix of squared differences,
+    X'AX and (AX)'(AX) (Durbin and Watson 1950).  ``p_value`` is one-sided (positive autocorrelation), by the normal approximation.
     """
+    from pyspark.sql import Window
+
     from ..functions.rowindex import with_row_index
     d = fit.design
+    used = [i - 1 for i in fit.kept[1:]]
+    names = [d.names[j] for j in used]
+    p = len(names)
     data = apply_design(df, d, keep=[order_by])
-    e = data.select(col(order_by), (F.col("__y") - _pred_design(fit)).alias("e"))
-    idx = with_row_index(e, [order_by], "__t")
-    prev = idx.select((F.col("__t") + 1).alias("__t"), F.col("e").alias("e_prev"))
-    num = idx.join(prev, "__t").agg(F.sum(F.pow(F.col("e") - F.col("e_prev"), 2)).alias("num"))
-    den = idx.agg(F.sum(F.col("e") * F.col("e")).alias("den"), F.count(F.lit(1)).alias("n"))
-    r = num.crossJoin(den).collect()[0]  # one row x one row
-    dw = r["num"] / r["den"]
-    z = (dw - 2.0) / math.sqrt(4.0 / r["n"])
-    return df.sparkSession.createDataFrame([(float(dw), special.norm_cdf(z))], "dw double, p_value double")
+    rows = data.select(col(order_by).alias("__o"), (F.col("__y") - _pred_design(fit)).alias("e"),
+                       F.array(*[col(c) - F.lit(float(fit.means[j])) for c, j in zip(names, used)]).cast("array<double>").alias("x"))
+    placed = with_row_index(rows, ["__o"], "t").select("t", "e", "x")
+    own = F.floor((F.col("t") - 1) / CHUNK)
+    runs = F.array_distinct(F.array(own, F.floor((F.col("t") - 2) / CHUNK), F.floor(F.col("t") / CHUNK)))
+    near = placed.withColumn("own", own).withColumn("run", F.explode(runs)).where("run >= 0")
+    order = Window.partitionBy("run").orderBy("t")
+    seen = near.select("e", "x", "run", "own", *[f(F.col(c)).over(order).alias(f"{c}{k}") for c in ("e", "x") for k, f in ((0, F.lag), (1, F.lead))])
+    back = [F.col("x")[j] - F.col("x0")[j] for j in range(p)]  # null in the first row
+    ax = [F.coalesce(back[j], F.lit(0.0)) + F.coalesce(F.col("x")[j] - F.col("x1")[j], F.lit(0.0)) for j in range(p)]
+    sums = {"num": F.pow(F.col("e") - F.col("e0"), 2), "den": F.pow(F.col("e"), 2)}
+    sums |= {f"b{i}_{j}": back[i] * back[j] for i in range(p) for j in range(i, p)}
+    sums |= {f"c{i}_{j}": ax[i] * ax[j] for i in range(p) for j in range(i, p)}
+    r = seen.where("run = own").agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(k) for k, v in sums.items()]).first()
+
+    def matrix(letter):
+        return np.array([[r[f"{letter}{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)]).reshape(p, p)
+
+    n, k = fit.n, fit.k
+    inverse = fit.vcov[1:, 1:] / fit.sigma ** 2 if p else np.zeros((0, 0))
+    turned = matrix("b") @ inverse
+    trace = 2 * (n - 1) - float(np.trace(turned))
+    square = 2 * (3 * n - 4) - 2 * float(np.trace(matrix("c") @ inverse)) + float(np.trace(turned @ turned))
+    free = n - k
+    expected = trace / free
+    variance = 2 * (square - trace * expected) / (free * (free + 2))
+    dw = r["num"] / r["den"] if r["den"] else float("nan")
+    p_value = special.norm_cdf((dw - expected) / math.sqrt(variance)) if variance > 0 else float("nan")
+    return df.sparkSession.createDataFrame([(float(dw), p_value, expected, variance)],
+                                           "dw double, p_value double, expected double, variance double")
 
 
 def _pred_design(fit: OLSFit):

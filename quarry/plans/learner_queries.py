@@ -17,6 +17,8 @@ from ..operators import automl as AM
 from ..operators import explain as XP
 from ..operators import learners as LR
 from ..operators import metrics as M
+from ..operators import penalised as PN
+from ..operators.design import fit_design
 from ..operators.split import train_test_split
 from ..sources.tables import load_table
 from ..session import ensure_checkpoint_dir
@@ -46,6 +48,24 @@ def _linear_sql(columns: str) -> str:
             + f" SELECT {columns}, {predicted} AS prediction FROM {_SPLIT_SQL} AS t, fit WHERE NOT train")
 
 
+def _ridge_sql(penalty: float) -> str:
+    """Ridge as least squares: a pair of rows at plus and minus ``sqrt(n lambda / 2)`` for each standardised feature."""
+    levels = [f"(event_type = '{t}')::INT" for t in _TYPES[1:]]
+    terms = ["value", "user_id", *levels]
+    k = len(terms)
+    train = f"(SELECT y, {', '.join(f'CAST({x} AS DOUBLE) AS v{j}' for j, x in enumerate(terms, 1))} FROM {_SPLIT_SQL} AS t WHERE train)"
+    moments = "SELECT count(*) AS cnt, avg(y) AS ay, stddev_pop(y) AS sy, " + ", ".join(
+        f"avg(v{j}) AS a{j}, stddev_pop(v{j}) AS d{j}" for j in range(1, k + 1)) + f" FROM {train} AS t"
+    scaled = ", ".join(f"(v{j} - a{j}) / d{j} AS v{j}" for j in range(1, k + 1))
+    extra = " UNION ALL ".join(
+        f"SELECT 0.0 AS y, {', '.join(f'{sign}sqrt(cnt * {penalty} / sy / 2) AS v{i}' if i == j else f'0.0 AS v{i}' for i in range(1, k + 1))} FROM m"
+        for j in range(1, k + 1) for sign in ("", "-"))
+    rows = f"(WITH m AS ({moments}) SELECT (y - ay) / sy AS y, {scaled} FROM {train} AS t, m UNION ALL {extra})"
+    predicted = "ay + sy * (" + " + ".join(f"fit.b{j} * ({x} - a{j}) / d{j}" for j, x in enumerate(terms, 1)) + ")"
+    return (SQL.ols(rows, [f"v{j}" for j in range(1, k + 1)])
+            + f" SELECT event_id, y AS actual, {predicted} AS prediction FROM {_SPLIT_SQL} AS t, fit, ({moments}) AS m WHERE NOT train")
+
+
 def _split(spark, sf):
     return train_test_split(fx.ev_learn(spark, sf), "event_id", 0.8, 42)
 
@@ -68,8 +88,29 @@ for _name, _algo, _p in [
         ("r6_svm_regression_test_predictions", "svm", {"kernel": "radial", "cost": 1.0, "epsilon": 0.1}),
         ("r7_boosting_test_predictions", "gbm", {"trees": 100, "depth": 3, "shrinkage": 0.1}),
         ("r8_network_regression_test_predictions", "nnet", {"size": 5, "decay": 0.01, "iters": 200})]:
-    register(_name, rsql(_linear_sql("event_id, y AS actual"), ["actual", "prediction"], 4) if _algo == "linear" else None)(
-        _reg_query(_algo, _p))
+    _sql = {"linear": _linear_sql("event_id, y AS actual"), "ridge": _ridge_sql(0.1)}.get(_algo)
+    register(_name, rsql(_sql, ["actual", "prediction"], 4) if _sql else None)(_reg_query(_algo, _p))
+
+
+# two features: with u = c - lambda * sign(c) both stay if the signs of their solution agree with those of c, else the one with the larger |c|
+_PATH = (0.1, 2.0, 10.0, 25.0, 60.0)
+
+
+@register("r3_lasso_path_two_features", rsql(f"""
+WITH m AS (SELECT count(*) AS n, stddev_pop(value) AS s1, stddev_pop(user_id) AS s2, stddev_pop(y) AS sy, corr(value, user_id) AS r,
+    corr(value, y) AS c1, corr(user_id, y) AS c2 FROM (SELECT value, user_id, {fx.EV_Y} AS y FROM events) AS e),
+l AS (SELECT m.*, penalty, penalty / sy AS pen FROM m, (VALUES {", ".join(f"({v})" for v in _PATH)}) AS p(penalty)),
+u AS (SELECT *, c1 - pen * sign(c1) AS u1, c2 - pen * sign(c2) AS u2 FROM l),
+b AS (SELECT *, (u1 - r * u2) / (1 - r * r) AS f1, (u2 - r * u1) / (1 - r * r) AS f2 FROM u),
+o AS (SELECT *, CASE WHEN f1 * c1 > 0 AND f2 * c2 > 0 THEN f1 WHEN abs(c1) >= abs(c2) AND abs(c1) > pen THEN u1 ELSE 0 END AS b1,
+    CASE WHEN f1 * c1 > 0 AND f2 * c2 > 0 THEN f2 WHEN abs(c1) < abs(c2) AND abs(c2) > pen THEN u2 ELSE 0 END AS b2 FROM b)
+SELECT CAST(penalty AS DOUBLE) AS penalty, 'value' AS term, b1 * sy / s1 AS estimate FROM o
+UNION ALL SELECT CAST(penalty AS DOUBLE), 'user_id', b2 * sy / s2 FROM o""", ["penalty", "estimate"]))
+def r3_path(spark, sf):
+    df = fx.ev_learn(spark, sf)
+    fit = PN.fit_path(df, fit_design(df, "y ~ value + user_id"), list(_PATH), 1.0)
+    rows = [(penalty, term, float(b)) for penalty, bs in zip(fit.lambdas, fit.path) for term, b in zip(fit.design.names, bs)]
+    return rounded(spark.createDataFrame(rows, "penalty double, term string, estimate double"))
 
 
 def _cls_query(algo, target, params=None):

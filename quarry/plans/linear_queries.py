@@ -104,6 +104,31 @@ def r15_dw(spark, sf):
     return rounded(L.durbin_watson(df, fit, "event_id").select("dw"))
 
 
+# one centred regressor v: X'AX is the sum of squared steps of v, (AX)'(AX) that of its second differences
+@register("r15_durbin_watson_moments", rsql(_ols1_sql(DW_SQL) + f"""
+, e AS (SELECT event_id, x, y - (a + b * x) AS e FROM {DW_SQL} AS d, r),
+z AS (SELECT e, x, lag(e) OVER w AS ep, lag(x) OVER w AS xp, lead(x) OVER w AS xn FROM e WINDOW w AS (ORDER BY event_id)),
+q AS (SELECT count(*) AS m, sum((e - ep) * (e - ep)) / sum(e * e) AS dw, var_pop(x) * count(*) AS sxx, sum((x - xp) * (x - xp)) AS b,
+    sum(power(coalesce(x - xp, 0) + coalesce(x - xn, 0), 2)) AS c FROM z),
+t AS (SELECT *, (2 * (m - 1) - b / sxx) / (m - 2) AS expected, 2 * (3 * m - 4) - 2 * c / sxx + power(b / sxx, 2) AS square FROM q)
+SELECT dw, expected, 2 * (square - (2 * (m - 1) - b / sxx) * expected) / ((m - 2) * CAST(m AS DOUBLE)) AS variance FROM t""",
+                                               ["dw", "expected", "variance"], 8))
+def r15_moments(spark, sf):
+    df = dw_frame(spark, sf)
+    return rounded(L.durbin_watson(df, L.fit_ols(df, "y ~ x"), "event_id").drop("p_value"), 8)
+
+
+@register("f5_training_adj_r2_with_factor", rsql(
+    SQL.ols("(SELECT l_quantity, l_discount, (l_returnflag = 'N')::INT AS fn, (l_returnflag = 'R')::INT AS fr, "
+            f"{fx.LIN_TARGET} AS y FROM lineitem)", ["l_quantity", "l_discount", "fn", "fr"])
+    + " SELECT 1 - rss / tss AS r2, 1 - (rss / tss) * (n - 1) / (n - 3 - 1) AS adj_r2 FROM fit", ["r2", "adj_r2"], 8))
+def f5_factor(spark, sf):
+    """A factor with three levels is one chosen feature."""
+    df = fx.t(spark, sf, "lineitem").select("l_quantity", "l_discount", "l_returnflag", F.expr(fx.LIN_TARGET).alias("y"))
+    fit = L.fit_ols(df, "y ~ l_quantity + l_discount + l_returnflag")
+    return rounded(spark.createDataFrame([(float(fit.r2), L.training_adj_r2(fit))], "r2 double, adj_r2 double"), 8)
+
+
 @register("r14_breusch_pagan", rsql(_ols1_sql(DW_SQL) + f"""
 , e AS (SELECT x, power(y - (a + b * x), 2) AS e2 FROM {DW_SQL} AS d, r)
 SELECT count(*) * power(corr(e2, x), 2) AS bp, 1 AS df FROM e""", ["bp"]))

@@ -53,6 +53,8 @@ def save_bundle(t: LR.Trained, path: str, schema_of: DataFrame | None = None,
         if t.algo == "linear":
             arrays = {"coef": m.coef, "se": m.se, "vcov": m.vcov, "means": m.means,
                       "scalars": np.array([m.n, m.rss, m.tss, m.ymean]), "kept": np.array(m.kept)}
+        elif t.algo in ("ridge", "lasso"):
+            arrays = {"lambdas": np.array(m.lambdas), "path": m.path, "intercepts": m.intercepts, "alpha": np.array(m.alpha)}
         elif t.algo in ("tree", "rf"):
             LR.TR.save(m, path, SparkSession.getActiveSession())
         elif t.algo == "knn":
@@ -123,14 +125,15 @@ def load_bundle(path: str) -> tuple[LR.Trained, dict]:
             t.model = OLSFit(design=d, names=["(Intercept)"] + d.names, coef=arr["coef"], se=arr["se"], n=int(n),
                              rss=float(rss), tss=float(tss), means=arr["means"], ymean=float(ym),
                              vcov=arr["vcov"], kept=[int(k) for k in arr["kept"]])
+        elif t.algo in ("ridge", "lasso"):
+            t.model = LR.PN.PenalisedFit(d, arr["lambdas"].tolist(), arr["path"], arr["intercepts"], float(arr["alpha"]))
         elif t.algo == "nb":
             nb = meta["nb"]
             t.model = LR.NaiveBayes(nb["k"], nb["prior"], {f: [tuple(x) for x in v] for f, v in nb["gauss"].items()},
                                     {f: {int(c): v for c, v in tb.items()} for f, tb in nb["table"].items()})
         elif t.algo == "nnet":
-            from ..operators.gradient import NetModel
-            t.model = NetModel(arr["mean"], arr["sd"], arr["W1"], arr["b1"], arr["w2"], float(arr["b2"]),
-                               float(arr["y_mean"]), float(arr["y_sd"]))
+            t.model = LR.NN.NetModel(arr["mean"], arr["sd"], arr["W1"], arr["b1"], arr["w2"], arr["b2"],
+                                     float(arr["y_mean"]), float(arr["y_sd"]), float(arr["gradient"]), int(arr["passes"]))
         elif t.algo == "svm":
             from ..operators.gradient import KernelMap, SVRModel
             km = KernelMap(meta["kernel_kind"], arr["k_mean"], arr["k_sd"],
