@@ -12,10 +12,11 @@ union.  That is the Jaccard similarity of the items unless text was moved
 about, and then less.  The band is as wide as such a similarity can need.
 
 Equal word sequences are one node from the start.  Within a bucket no pairs are
-listed: members are compared with a leader, and after that only classes that still share a
-bucket are, by their heads (8, 128, 2048, ... by rank), and documents of them where the heads do
-not decide (:func:`_settled`).  A pair is passed over if too many items of either occur in no other
-document still looked at.  The classes are thus those of all pairs that share a
+listed: members are compared with a leader, and after that only with further
+leaders (2, 8, 32, ... by rank) of buckets that still hold documents of
+different classes, until every bucket is of one class or every member was a
+leader (:func:`_settled`).  A pair is passed over if too many items of either occur in no other
+document still looked at, or if their distances to a third document keep them apart.  The classes are thus those of all pairs that share a
 band key; a pair at similarity 0.8 shares none with a chance under 1 in 10,000.
 
 Tables made once are checkpoints; those of the rounds are written tables, whose
@@ -45,8 +46,10 @@ from .tables import broadcast_if_small, quoted, text_or_empty, texts_of, written
 K, SIMILARITY = 5, 0.8
 #: Items of one value, values of a band key, band keys.
 L, ROWS, BANDS = 2, 3, 36
-#: Classes of a bucket that meet all others in the first round, and times as many in each further round.
-FIRST_LEADERS, MORE_LEADERS = 8, 16
+#: Leaders of a bucket after the first, and times as many in each further round.
+FIRST_LEADERS, MORE_LEADERS = 2, 4
+#: Documents whose distances one document remembers.
+PIVOTS = 8
 #: Words whose hash one worker remembers.
 REMEMBERED = 120_000
 #: Elements of the hash matrix that are made at once.
@@ -286,7 +289,8 @@ def classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     texts = cut_lineage(texts)
     tested = _tested(pairs, texts)
     classes = classes_of(tested.where("linked"))
-    classes = _settled(_matchable(_mixed_buckets(members.select("bucket", "node", "n"), classes, 0), texts), texts, classes, tested)
+    members = _matchable(_mixed_buckets(members.select("bucket", "node", "n"), classes, 0), texts, nodes)
+    classes = _settled(members, texts, classes, tested)
     # the class is called by its least id
     least = classes.groupBy("class").agg(F.min(F.struct(F.col("node.rep").alias("id"), "node.by")).alias("first"))
     of_node = classes.join(least, "class").select(F.struct(F.col("node.rep").alias("id"), "node.by").alias("own"), "first")
@@ -296,67 +300,69 @@ def classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def _settled(members: DataFrame, texts: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
-    """``classes`` after all links between ``members`` (``bucket, node, n, can``) of a bucket.
+    """``classes`` after all links between ``members`` of a bucket, leaders by leaders.
 
-    Aligned distance (1 - matches / union) is a metric, so a class is looked at through its head, the
-    document that names it: documents ``x`` and ``y`` cannot link if their heads are further apart than
-    the limit and the distances of ``x`` and ``y`` to their heads together.  Heads of classes
-    that share a bucket are tested first; documents only for the classes that this leaves open.
+    A pair is looked at in the first bucket it shares, while its classes still differ, and only if
+    nothing known keeps it apart: aligned distance (1 - matches / union) is a metric, so two documents whose distances to
+    a third differ by more than the limit cannot link.  Each document remembers a few such thirds (:data:`PIVOTS`).
     """
     low, high = 0, FIRST_LEADERS
+    pivots = _pivots(tested)
     while True:
         placed = _mixed_buckets(members, classes, low)
-        spokes = placed.where(F.col("node") != F.col("class")).select(F.col("class").alias("a"), F.col("node").alias("b")).distinct()
-        tested = tested.unionByName(_tested(written(spokes.join(tested, ["a", "b"], "left_anti")), texts))
-        reach = tested.select(F.col("a").alias("class"), F.col("b").alias("node"), "most")
-        placed = written(placed.join(reach, ["class", "node"], "left").withColumn("reach", F.coalesce("most", F.lit(0.0))).drop("most"))
+        placed = written(placed.join(pivots, "node", "left").withColumn("pivots", F.coalesce("pivots", F.array())))
         if placed.isEmpty():
             return classes
-        groups = placed.groupBy("bucket", "class").agg(F.max("can").alias("can"), F.min("n").alias("n"), F.max("reach").alias("reach"))
-        ranked = written(groups.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("class"))))
+        ranked = written(placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))))
         leaders = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
-            "bucket", F.col("class").alias("a"), F.col("n").alias("m"), F.col("can").alias("may"), F.col("reach").alias("extent"),
-            F.col("rank").alias("lead"))
-        met = written(ranked.join(leaders, "bucket").where((F.col("rank") > F.col("lead")) & _possible())
-                      .select("bucket", "a", F.col("class").alias("b"), (F.col("reach") + F.col("extent")).alias("slack")))
-        heads = met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        now = _tested(written(heads), texts)
-        tested = tested.unionByName(now)
-        # documents of classes whose heads are neither linked nor far enough apart
-        open_pairs = (met.where("slack > 0").join(tested.where("NOT linked"), ["a", "b"])
-                      .where(F.col("least") <= F.col("slack") + 1 - SIMILARITY + 1e-9).select("bucket", "a", "b", "least"))
-        left = placed.select("bucket", F.col("class").alias("a"), F.col("node").alias("x"), F.col("n").alias("m"),
-                             F.col("can").alias("may"), F.col("reach").alias("extent"))
-        right = placed.select("bucket", F.col("class").alias("b"), F.col("node").alias("y"), "n", "can", "reach")
-        near = F.col("least") <= F.col("extent") + F.col("reach") + 1 - SIMILARITY + 1e-9
-        found = (open_pairs.join(left, ["bucket", "a"]).join(right, ["bucket", "b"]).where(near & _possible())
-                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-                 .join(tested, ["a", "b"], "left_anti"))
-        inside = _tested(written(found), texts)
-        tested = written(tested.unionByName(inside))
-        links = now.where("linked").unionByName(inside.where("linked"))
-        if links.isEmpty():
-            low, high = high, MORE_LEADERS * high
-        else:  # ranks have changed; what was tested is known
-            classes, low = _joined(classes, links), 0
+            "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("can").alias("may"), F.col("class").alias("of"),
+            F.col("earlier").alias("before"), F.col("pivots").alias("known"), F.col("rank").alias("lead"))
+        met = ranked.join(leaders, "bucket").where(
+            (F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & _possible()
+            & ~F.arrays_overlap("earlier", "before") & ~_kept_apart())
+        pairs = written(met.select("a", F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"))
+        now = _tested(pairs, texts)
+        if not now.where("linked").isEmpty():
+            classes = _joined(classes, now.where("linked"))
+        tested = written(tested.unionByName(now))
+        if low == 0:  # few leaders: few thirds
+            pivots = _pivots(tested)
+        low, high = high, MORE_LEADERS * high
+
+
+def _pivots(tested: DataFrame) -> DataFrame:
+    """``node, pivots``: the first leaders that a document was tested against, with bounds of the distances."""
+    each = F.slice(F.sort_array(F.collect_list(F.struct(F.col("a").alias("p"), "least", "most"))), 1, PIVOTS)
+    return written(tested.groupBy(F.col("b").alias("node")).agg(each.alias("pivots")))
+
+
+def _kept_apart() -> Column:
+    """Whether a third document shows that the pair cannot link, or the leader is one that the document was tested against."""
+    limit = 1 - SIMILARITY + 1e-9
+
+    def shows(x: Column) -> Column:
+        return F.exists("known", lambda y: (x["p"] == y["p"]) & ((x["least"] - y["most"] > limit) | (y["least"] - x["most"] > limit)))
+
+    return F.exists("pivots", lambda x: (x["p"] == F.col("a")) | shows(x))
 
 
 def _possible() -> Column:
-    """Whether two documents (or any two of two classes) have enough items that can match."""
+    """Whether two documents have enough items that can match."""
     most = F.least("can", "may")
     return most >= SIMILARITY * (F.col("n") + F.col("m") - most)
 
 
 def _mixed_buckets(members: DataFrame, classes: DataFrame, low: int) -> DataFrame:
-    """Members, with their ``class``, of buckets of more than one class and more than ``low`` of them."""
+    """Members, with their ``class``, of buckets of several classes that have more than ``low`` members."""
     placed = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-    mixed = (placed.select("bucket", "class").distinct().groupBy("bucket").agg(F.count("*").alias("size"))
-             .where(F.col("size") > max(low, 1)).select("bucket"))
+    mixed = (placed.groupBy("bucket").agg(F.min("class").alias("x"), F.max("class").alias("y"), F.count("*").alias("size"))
+             .where((F.col("x") != F.col("y")) & (F.col("size") > low)).select("bucket"))
     return placed.join(mixed, "bucket", "left_semi")
 
 
-def _matchable(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """``bucket, node, n, can``: members with the most items that can match any other member.
+def _matchable(members: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``bucket, node, n, can, earlier``: members with the most items that can match any other
+    member, and the buckets of the document before this one (a pair is looked at in the first it shares).
 
     Items that no other document here has match nothing.  A document in which less
     than the similarity can match has no link to look for and is left out.
@@ -369,7 +375,9 @@ def _matchable(members: DataFrame, texts: DataFrame) -> DataFrame:
               .groupBy("node").agg(F.count("*").cast("int").alias("alone")))
     able = (left.join(single, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("can"))
             .where(F.col("can") >= SIMILARITY * F.col("n")))
-    return written(members.join(able, "node").select("bucket", "node", "n", "can"))
+    able = able.join(nodes.select("node", "buckets"), "node")
+    earlier = F.slice("buckets", F.lit(1), (F.array_position("buckets", F.col("bucket")) - 1).cast("int"))
+    return written(members.join(able, "node").select("bucket", "node", "n", "can", earlier.alias("earlier")))
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:
