@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.roles import col, roles
 from ..session import cut_lineage
+from . import boosting as BO
 from . import gradient as GD
 from . import knn as KNN
 from . import linear as L
@@ -166,7 +167,11 @@ def _grow(t: Trained, rows: DataFrame, classes: int, seed: int) -> TR.Forest:
 
 def _tree_predict(t: Trained, df: DataFrame, keep: list[str]) -> DataFrame:
     rows = df.select(F.struct(F.lit(1).alias("__one"), *[col(c) for c in keep]).alias("kept"), _tree_point(t.design).alias("x"))
-    found = TR.predict(rows.where(KNN.finite("x")), t.model, vote=t.algo == "rf" and t.task == "classification")
+    rows = rows.where(KNN.finite("x"))
+    if t.algo == "gbm":
+        found = BO.predict(rows, t.model)
+    else:
+        found = TR.predict(rows, t.model, vote=t.algo == "rf" and t.task == "classification")
     kept = [F.col("kept")[c].alias(c) for c in keep]
     if t.task == "regression":
         return found.select(*kept, F.col("answer")[0].alias("prediction"))
@@ -194,12 +199,14 @@ def _fit_classifier(t: Trained, data: DataFrame, seed: int) -> Trained:
         m = apply_design(data, d)
         t.model = NN.fit_network(m, d.names, "__y", p["size"], p["decay"], p.get("iters", 200), k, seed)
         return t
+    if t.algo == "gbm":
+        shape = TR.Shape(tuple(levels for *_, levels in _tree_columns(d)), k)
+        rows = data.select(_tree_point(d).alias("x"), F.col("__label").alias("y")).where(KNN.finite("x"))
+        t.model = BO.fit(rows, shape, p["trees"], p["depth"], p["shrinkage"], p.get("local_rows", TR.LOCAL_ROWS))
+        return t
     a = assemble(data, d).persist(StorageLevel.MEMORY_AND_DISK)
     if t.algo == "logistic":
         est = LogisticRegression(regParam=0.0, family="multinomial" if k > 2 else "binomial", maxIter=100)
-    elif t.algo == "gbm":
-        g = GBTClassifier(maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["shrinkage"], seed=seed)
-        est = g if k == 2 else OneVsRest(classifier=g)
     elif t.algo == "svm":
         out = _fit_svm_classifier(t, a, seed)
         a.unpersist()
@@ -380,7 +387,7 @@ def predict(t: Trained, df: DataFrame, keep: list[str] | None = None) -> DataFra
     """R9/C-predict: ``prediction`` (number, or class label); binary: ``score`` = P(second level)."""
     keep = list(keep or [])
     d = t.design
-    if t.algo in ("tree", "rf"):
+    if t.algo in ("tree", "rf") or isinstance(t.model, BO.Boosted):
         return _tree_predict(t, df, keep)
     if t.task == "regression":
         if t.algo in ("linear", "ridge", "lasso"):
@@ -420,10 +427,10 @@ def predict(t: Trained, df: DataFrame, keep: list[str] | None = None) -> DataFra
 # ---- importance ---------------------------------------------------------------
 
 def importance(t: Trained) -> list[tuple[str, float]]:
-    """Native importance per design column (trees and forests: per feature), sorted desc.
+    """Native importance per design column (trees, forests and boosted classes: per feature), sorted desc.
 
     linear: abs(t); ridge/lasso/logistic: abs(coefficient); trees, forests: share of
-    all gains; boosting: Spark's impurity importance; network: connection weights;
+    all gains; boosted numbers: Spark's impurity importance; network: connection weights;
     svm / naive Bayes: none (use permutation importance).
     """
     names = t.design.names
@@ -437,14 +444,11 @@ def importance(t: Trained) -> list[tuple[str, float]]:
     elif t.algo == "logistic":
         cm = m.coefficientMatrix.toArray()
         vals = list(np.abs(cm).sum(axis=0))
-    elif t.algo in ("tree", "rf"):
+    elif t.algo in ("tree", "rf") or isinstance(m, BO.Boosted):
         names = [name for name, *_ in _tree_columns(t.design)]
         vals = list(m.gains / max(m.gains.sum(), 1e-300))
     elif t.algo == "gbm":
-        if hasattr(m, "featureImportances"):
-            vals = list(m.featureImportances.toArray())
-        else:
-            vals = list(np.mean([x.featureImportances.toArray() for x in m.models], axis=0))
+        vals = list(m.featureImportances.toArray())
     elif t.algo == "nnet":
         vals = list(m.input_weights())
     if vals is None:

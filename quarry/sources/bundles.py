@@ -55,6 +55,8 @@ def save_bundle(t: LR.Trained, path: str, schema_of: DataFrame | None = None,
                       "scalars": np.array([m.n, m.rss, m.tss, m.ymean]), "kept": np.array(m.kept)}
         elif t.algo in ("ridge", "lasso"):
             arrays = {"lambdas": np.array(m.lambdas), "path": m.path, "intercepts": m.intercepts, "alpha": np.array(m.alpha)}
+        elif t.algo == "gbm":
+            arrays = {"blob": np.frombuffer(m.packed(), np.uint8)}
         elif t.algo in ("tree", "rf"):
             LR.TR.save(m, path, SparkSession.getActiveSession())
         elif t.algo == "knn":
@@ -125,6 +127,8 @@ def load_bundle(path: str) -> tuple[LR.Trained, dict]:
             t.model = OLSFit(design=d, names=["(Intercept)"] + d.names, coef=arr["coef"], se=arr["se"], n=int(n),
                              rss=float(rss), tss=float(tss), means=arr["means"], ymean=float(ym),
                              vcov=arr["vcov"], kept=[int(k) for k in arr["kept"]])
+        elif t.algo == "gbm":
+            t.model = LR.BO.Boosted.unpacked(arr["blob"].tobytes())
         elif t.algo in ("ridge", "lasso"):
             t.model = LR.PN.PenalisedFit(d, arr["lambdas"].tolist(), arr["path"], arr["intercepts"], float(arr["alpha"]))
         elif t.algo == "nb":
