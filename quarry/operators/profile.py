@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import moments
+from ..functions.hotjoin import broadcast_if_small
 from ..functions.quantiles import quantiles
 from ..functions.roles import FLOAT_TYPES, col, dtype_of, missing, roles, type_name
+from ..session import cut_lineage
 
 
 def _clean(df: DataFrame, c: str):
@@ -64,11 +66,6 @@ def moment_stats(df: DataFrame, cols: list[str]) -> dict:
     for i, c in enumerate(cols):
         out[c] = {k: r[f"{k}{i}"] for k in
                   ("n", "mean", "sd", "var", "skew", "kurt", "pskew", "pkurt", "min", "max")}
-        out[c]["lo"], out[c]["hi"] = out[c]["min"], out[c]["max"]
-        # no distinct estimate here: it is an imperative aggregate and would take the whole
-        # wide aggregate out of code generation; the refining search needs none (a column
-        # with few values resolves in its first histogram pass)
-        out[c]["nd"] = float("inf")
         out[c]["missing"] = r["__rows"] - r[f"n{i}"]
     return out
 
@@ -77,8 +74,7 @@ def describe(df: DataFrame, cols: list[str] | None = None, extended: bool = True
     """Descriptive statistics per numeric column (long form)."""
     num = cols if cols is not None else roles(df)[0]
     st = moment_stats(df, num)
-    # the moment pass also gave n, min, max and distinct estimates: no extra statistics pass
-    qs = quantiles(df, num, [0.25, 0.5, 0.75], stats={c: st[c] for c in num})
+    qs = quantiles(df, num, [0.25, 0.5, 0.75])
     rows = []
     n_rows = st["__rows"]
     for c in num:
@@ -375,16 +371,21 @@ def _value_ranks(vc: DataFrame) -> DataFrame:
 def _prefix_sum(df: DataFrame, order: str, val: str, block: int = 100_000) -> DataFrame:
     """Exclusive prefix sum of ``val`` in ``order`` (1..n index), by blocks.
 
-    Sum per block of ``block`` consecutive indices (small result), running
-    total of the block sums, then a window inside each block.
+    Sum per block of ``block`` consecutive indices, running total of the block sums, then a window
+    inside each block.  The block sums go the same way over blocks of blocks, so that no window
+    has more than ``block`` rows; they are broadcast only while they are few.
     """
     b = F.floor((F.col(order) - 1) / block)
-    blk = df.groupBy(b.alias("__blk")).agg(F.sum(val).alias("__s"))
-    wb = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per block: a global window over n / block rows is small
-    blk = blk.withColumn("__off", F.coalesce(F.sum("__s").over(wb), F.lit(0))).drop("__s")
+    blocks = cut_lineage(df.groupBy(b.alias("__blk")).agg(F.sum(val).alias("__s")))
+    few = blocks.count()
+    if few <= block:
+        wb = Window.orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = blocks.select("__blk", F.coalesce(F.sum("__s").over(wb), F.lit(0)).alias("__off"))
+    else:
+        summed = _prefix_sum(blocks.select((F.col("__blk") + 1).alias("__o"), "__s"), "__o", "__s", block)
+        offsets = summed.select((F.col("__o") - 1).alias("__blk"), F.col("before").alias("__off"))
     wi = Window.partitionBy("__blk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return (df.withColumn("__blk", b).join(F.broadcast(blk), "__blk")
+    return (df.withColumn("__blk", b).join(broadcast_if_small(offsets, few), "__blk")
             .withColumn("before", F.col("__off") + F.coalesce(F.sum(val).over(wi), F.lit(0)))
             .drop("__blk", "__off"))
 
