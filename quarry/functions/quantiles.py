@@ -1,36 +1,32 @@
-"""Exact quantiles (R type 7 = DuckDB ``quantile_cont``) at any scale.
-
-Two strategies, chosen per key from one statistics pass:
-
-* **map** -- Spark's exact ``percentile`` aggregate.  It keeps a
-  value -> count map per group (merged in one task), so it is only used
-  where the number of distinct values is known (``approx_count_distinct``)
-  to be small.
-* **refine** -- for keys with many distinct values: equal-width
-  histograms over the current value interval of each wanted order
-  statistic, narrowed pass by pass (``bins`` per pass), until the
-  interval holds few enough values to fetch them.  Every pass is a
-  distributed scan + ``groupBy(target, bin)``; only ``targets x bins``
-  rows reach the driver. A value held by a third of all rows is just one
-  bin whose min equals its max and resolves at once.
+"""Exact quantiles (R type 7 = DuckDB ``quantile_cont``) at any scale, for any number of groups.
+
+1. A sketch brackets every wanted quantile: ``percentile_approx`` has a rank error of at
+   most ``n / accuracy``, so the values three such errors below and above hold it between
+   them.  Keys of at most ``accuracy`` rows take their whole range.
+2. One counted pass: rows below an interval are counted, values within it are counted
+   by value, and a running sum finds the order statistics.  A value that a third of all rows
+   hold is one counted value.
+3. Before that, intervals that would still hold more than ``fetch`` values are narrowed: a sketch of what
+   lies within, cut at the two of :data:`GRID` steps around the wanted rank.
+
+The count also proves the bracket; a key whose bracket failed is done again from its whole range.  Rows meet the
+intervals of their column and group by a join, so the number of groups has no limit; it is a
+broadcast only while the keys are few.
 
 Type 7: h = (n-1) p, value = x[floor h] + (h - floor h) (x[floor h + 1] - x[floor h]).
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..session import cut_lineage
+from .hotjoin import broadcast_if_small
 from .roles import col
 
-MAP_DISTINCT_LIMIT = 10_000
-MAX_GROUPS = 10_000   # grouped quantiles come back per group: a bound on what reaches the driver
-COLLECT_LIMIT = 100_000
-BINS = 1024
+#: Inverse of the sketch's rank error, values of an interval that a window takes, steps of a narrowing.
+ACCURACY, FETCH, GRID = 10_000, 1_000_000, 1_000
 
 
 def long_values(df: DataFrame, cols: list[str], by: str | None = None) -> DataFrame:
@@ -46,165 +42,103 @@ def long_values(df: DataFrame, cols: list[str], by: str | None = None) -> DataFr
     return out.where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _keycols(by):
-    return ["cid", "g"] if by is not None else ["cid"]
-
+def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None, accuracy: int = ACCURACY,
+              fetch: int = FETCH) -> dict:
+    """{col: [q(p) ...]} or, with ``by``, {(col, group): [...]}: :func:`quantile_table` on the driver, for few groups.
 
-def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None,
-              map_distinct_limit: int = MAP_DISTINCT_LIMIT,
-              collect_limit: int = COLLECT_LIMIT, bins: int = BINS, stats: dict | None = None) -> dict:
-    """Return {col: [q(p) ...]} or {(col, group): [...]} when ``by`` is given.
-
-    Missing where a key has no values.  ``stats`` ({col: {n, lo, hi, nd}},
-    ungrouped only) saves the statistics pass when the caller already
-    aggregated the columns.
+    A column without values has nulls; a group without has no entry.
     """
     if not cols:
         return {}
+    rows = quantile_table(df, cols, probs, by, accuracy, fetch).collect()
+    if by is not None:
+        return {(cols[r["cid"]], r["g"]): list(r["q"]) for r in rows}
+    found = {cols[r["cid"]]: list(r["q"]) for r in rows}
+    return {c: found.get(c, [None] * len(probs)) for c in cols}
+
+
+def quantile_table(df: DataFrame, cols: list[str], probs: list[float], by: str | None = None, accuracy: int = ACCURACY,
+                   fetch: int = FETCH) -> DataFrame:
+    """``cid`` (place in ``cols``), with ``by`` also ``g``, ``n`` (values) and ``q`` (array in the order of ``probs``)."""
+    values = long_values(df, cols, by)
+    keys = ["cid"] if by is None else ["cid", "g"]
     probs = [float(p) for p in probs]
-    lv = long_values(df, cols, by)
-    keys = _keycols(by)
-    if stats is not None and by is None:
-        stats = [{"cid": i, "n": stats[c]["n"], "lo": stats[c]["lo"], "hi": stats[c]["hi"], "nd": stats[c]["nd"]}
-                 for i, c in enumerate(cols) if stats[c]["n"]]
-    else:
-        if by is not None:
-            ng = lv.select("g").distinct().limit(MAX_GROUPS + 1).count()
-            if ng > MAX_GROUPS:
-                raise ValueError(f"more than {MAX_GROUPS} groups in {by}")
-        stats = (lv.groupBy(*keys)
-                 .agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-                      F.approx_count_distinct("v").alias("nd"))
-                 .collect())
-    out: dict = {}
-    small, big = [], []
-    for r in stats:
-        key = (r["cid"], r["g"]) if by is not None else r["cid"]
-        (small if r["nd"] <= map_distinct_limit else big).append((key, r))
-    if small:
-        pct = F.percentile(F.col("v"), F.array(*[F.lit(p) for p in probs]))
-        if by is None:
-            small_ids = [k for k, _ in small]
-            rows = (lv.where(F.col("cid").isin(small_ids)).groupBy("cid")
-                    .agg(pct.alias("q")).collect())
-            for r in rows:
-                out[r["cid"]] = list(r["q"])
-        else:
-            small_ids = sorted({k[0] for k, _ in small})
-            few = lv.where(F.col("cid").isin(small_ids))
-            if big:  # groups of many values never enter the map (as many rows as there are groups, checked above)
-                large = lv.sparkSession.createDataFrame(
-                    [k for k, _ in big], T.StructType([T.StructField("bc", T.IntegerType()),
-                                                       T.StructField("bg", lv.schema["g"].dataType)]))
-                few = few.join(F.broadcast(large), (F.col("cid") == F.col("bc")) & F.col("g").eqNullSafe(F.col("bg")),
-                               "left_anti")
-            for r in few.groupBy("cid", "g").agg(pct.alias("q")).collect():
-                out[(r["cid"], r["g"])] = list(r["q"])
-    if big:
-        out.update(_refine(lv, keys, big, probs, collect_limit, bins))
-    named = {}
-    for k, v in out.items():
-        if by is None:
-            named[cols[k]] = v
-        else:
-            named[(cols[k[0]], k[1])] = v
-    for i, c in enumerate(cols):
-        if by is None and c not in named:
-            named[c] = [None] * len(probs)
-    return named
-
-
-def _refine(lv: DataFrame, keys: list[str], big, probs, collect_limit, bins) -> dict:
-    spark = lv.sparkSession
-    key_is_tuple = len(keys) == 2
-    targets = {}
-    wanted = {}
-    for key, r in big:
-        n = r["n"]
-        ranks = []
-        for p in probs:
-            h = (n - 1) * p
-            lo_r = int(math.floor(h))
-            ranks.append((lo_r, min(lo_r + 1, n - 1), h - lo_r))
-        wanted[key] = ranks
-        for lo_r, hi_r, _ in ranks:
-            for rk in (lo_r, hi_r):
-                targets.setdefault((key, rk), {"lo": float(r["lo"]), "hi": float(r["hi"]),
-                                               "below": 0, "cnt": n, "val": None})
-    for _ in range(64):
-        open_t = [t for t in targets if targets[t]["val"] is None]
-        if not open_t:
-            break
-        # values fetched in one pass are bounded by collect_limit over all intervals
-        each = max(1_000, collect_limit // len(open_t))
-        # targets sharing a value interval share one histogram / fetch
-        intervals: dict = {}
-        for t in open_t:
-            st = targets[t]
-            fetch = 1 if st["cnt"] <= each else 0
-            intervals.setdefault((t[0], st["lo"], st["hi"], fetch), []).append(t)
-        rows = []
-        iv_list = list(intervals.keys())
-        for iid, (key, lo, hi, fetch) in enumerate(iv_list):
-            kv = list(key) if key_is_tuple else [key]
-            rows.append((iid, *kv, lo, hi, fetch))
-        schema = T.StructType([T.StructField("iid", T.IntegerType())] +
-                              [T.StructField("tcid", T.IntegerType())] +
-                              ([T.StructField("tg", lv.schema["g"].dataType)] if key_is_tuple else []) +
-                              [T.StructField("tlo", T.DoubleType()), T.StructField("thi", T.DoubleType()),
-                               T.StructField("fetch", T.IntegerType())])
-        # one row per open interval: bounded by (#columns x #probs x 2)
-        tdf = F.broadcast(spark.createDataFrame(rows, schema))
-        same = F.col("cid") == F.col("tcid")
-        if key_is_tuple:
-            same = same & F.col("g").eqNullSafe(F.col("tg"))  # a null group is a group
-        hits = lv.join(tdf, same & (F.col("v") >= F.col("tlo")) & (F.col("v") <= F.col("thi")))
-        fetch_ids = [i for i, iv in enumerate(iv_list) if iv[3] == 1]
-        hist_ids = [i for i, iv in enumerate(iv_list) if iv[3] == 0]
-        if fetch_ids:
-            got = hits.where(F.col("fetch") == 1).groupBy("iid", "v").count().collect()
-            per: dict = {}
-            for r in got:
-                per.setdefault(r["iid"], []).append((r["v"], r["count"]))
-            for iid in fetch_ids:
-                vals = sorted(per.get(iid, []))
-                for t in intervals[iv_list[iid]]:
-                    need = t[1] - targets[t]["below"]
-                    acc = 0
-                    for v, c in vals:
-                        acc += c
-                        if acc > need:
-                            targets[t]["val"] = v
-                            break
-        if hist_ids:
-            width = F.col("thi") - F.col("tlo")
-            b = F.when(width > 0, F.least(F.floor((F.col("v") - F.col("tlo")) / width * bins),
-                                          F.lit(bins - 1))).otherwise(0).cast("int")
-            hist = (hits.where(F.col("fetch") == 0).groupBy("iid", b.alias("bin"))
-                    .agg(F.count("v").alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                    .collect())
-            per = {}
-            for r in hist:
-                per.setdefault(r["iid"], []).append((r["bin"], r["c"], r["mn"], r["mx"]))
-            for iid in hist_ids:
-                hs = sorted(per.get(iid, []))
-                for t in intervals[iv_list[iid]]:
-                    st = targets[t]
-                    need = t[1] - st["below"]
-                    acc = 0
-                    for _, c, mn, mx in hs:
-                        if acc + c > need:
-                            st["lo"], st["hi"], st["below"], st["cnt"] = mn, mx, st["below"] + acc, c
-                            if mn == mx:
-                                st["val"] = mn
-                            break
-                        acc += c
-    out = {}
-    for key, ranks in wanted.items():
-        vals = []
-        for lo_r, hi_r, frac in ranks:
-            a = targets[(key, lo_r)]["val"]
-            b = targets[(key, hi_r)]["val"]
-            vals.append(a + frac * (b - a) if frac else a)
-        out[key] = vals
-    return out
+    apart = 3.0 / accuracy
+    asked = [max(p - apart, 0.0) for p in probs] + [min(p + apart, 1.0) for p in probs]
+    k = len(probs)
+    whole = F.col("n") <= accuracy
+    sketch = values.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                                       F.percentile_approx("v", asked, accuracy).alias("near"))
+    brackets = cut_lineage(sketch.select(
+        *keys, "n", "lo", "hi", F.when(whole, F.array_repeat("lo", k)).otherwise(F.slice("near", 1, k)).alias("los"),
+        F.when(whole, F.array_repeat("hi", k)).otherwise(F.slice("near", k + 1, k)).alias("his")))
+    size = brackets.agg(F.count(F.lit(1)).alias("keys"), F.max("n").alias("n")).first()
+    held = min(size["n"] or 0, max(accuracy, 2 * apart * (size["n"] or 0)))
+    found = cut_lineage(_counted(values, brackets, keys, probs, size["keys"], held, accuracy, fetch))
+    lost = found.where("NOT sure")
+    if not lost.isEmpty():
+        again = brackets.join(lost.select(*[F.col(c).alias(f"_{c}") for c in keys]), _same(keys, "_"), "left_semi")
+        again = again.withColumns({"los": F.array_repeat("lo", k), "his": F.array_repeat("hi", k)})
+        found = found.where("sure").unionByName(_counted(values, again, keys, probs, size["keys"], size["n"], accuracy, fetch))
+    return found.select(*keys, "n", "q")
+
+
+def _same(keys: list[str], mark: str) -> Column:
+    """Rows of one key; a null group is a group."""
+    out = F.col("cid") == F.col(f"{mark}cid")
+    return out if len(keys) == 1 else out & F.col("g").eqNullSafe(F.col(f"{mark}g"))
+
+
+def _marked(brackets: DataFrame, keys: list[str], size: int) -> DataFrame:
+    named = brackets.select(*[F.col(c).alias(f"_{c}") for c in keys], "n", "los", "his")
+    return broadcast_if_small(named, size)
+
+
+def _within(values: DataFrame, brackets: DataFrame, keys: list[str], k: int, size: int) -> DataFrame:
+    """``keys, n, t, val, lo, hi``: for each interval ``t`` a row holds its value, or null from below; none from above."""
+    met = values.join(_marked(brackets, keys, size), _same(keys, "_"))
+    each = [F.struct(F.lit(t).alias("t"), F.when(F.col("v") >= F.col("los")[t], F.col("v")).alias("val"),
+                     (F.col("v") <= F.col("his")[t]).alias("here")) for t in range(k)]
+    return met.select(*keys, "n", F.inline(F.array(*each))).where("here").drop("here")
+
+
+def _rank(probs: list[float]) -> Column:
+    """0-based (n - 1) p of the interval ``t``."""
+    return (F.col("n") - 1) * F.array(*[F.lit(p) for p in probs])[F.col("t")]
+
+
+def _counted(values: DataFrame, brackets: DataFrame, keys: list[str], probs: list[float], size: int, held: float,
+             accuracy: int, fetch: int) -> DataFrame:
+    """``keys, n, q, sure``: the counted pass over the brackets, narrowed until ``held`` values are few."""
+    k = len(probs)
+    while held > fetch:
+        brackets = cut_lineage(_narrowed(values, brackets, keys, probs, size, accuracy))
+        held = held * 6 / GRID
+    counts = _within(values, brackets, keys, k, size).groupBy(*keys, "n", "t", "val").agg(F.count(F.lit(1)).alias("c"))
+    upto = Window.partitionBy(*keys, "t").orderBy(F.col("val").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    low = F.floor(_rank(probs))
+    high = F.least(low + 1, F.col("n") - 1)
+    summed = counts.withColumn("upto", F.sum("c").over(upto))
+    stats = summed.groupBy(*keys, "n", "t").agg(
+        F.min(F.when(F.col("upto") > low, F.col("val"))).alias("a"), F.min(F.when(F.col("upto") > high, F.col("val"))).alias("b"),
+        F.coalesce(F.max(F.when(F.col("val").isNull(), F.col("upto"))), F.lit(0)).alias("below"))
+    share = _rank(probs) - low
+    value = F.when((share > 0) & (F.col("b") != F.col("a")), F.col("a") + share * (F.col("b") - F.col("a"))).otherwise(F.col("a"))
+    done = stats.select(*keys, "n", "t", value.alias("value"), ((F.col("below") <= low) & F.col("b").isNotNull()).alias("sure"))
+    return done.groupBy(*keys, "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda s: s["value"]).alias("q"),
+                                        (F.min("sure") & (F.count(F.lit(1)) == k)).alias("sure"))
+
+
+def _narrowed(values: DataFrame, brackets: DataFrame, keys: list[str], probs: list[float], size: int, accuracy: int) -> DataFrame:
+    """The brackets, each cut at the two of :data:`GRID` even steps of its content around the wanted rank."""
+    inside = (_within(values, brackets, keys, len(probs), size).groupBy(*keys, "n", "t")
+              .agg(F.count_if(F.col("val").isNull()).alias("below"), F.count("val").alias("held"),
+                   F.percentile_approx("val", [i / GRID for i in range(GRID + 1)], max(accuracy, 10 * GRID)).alias("steps")))
+    at = F.floor((F.floor(_rank(probs)) - F.col("below")) / F.col("held") * GRID).cast("int")
+    # small contents stay as they are: a step would be less than a row
+    few = F.col("held") <= 10 * GRID
+    lo = F.col("steps")[F.when(few, 0).otherwise(F.least(F.greatest(at - 1, F.lit(0)), F.lit(GRID)))]
+    hi = F.col("steps")[F.when(few, GRID).otherwise(F.least(F.greatest(at + 3, F.lit(0)), F.lit(GRID)))]
+    cut = inside.select(*keys, "n", F.struct("t", lo.alias("lo"), hi.alias("hi")).alias("s"))
+    return cut.groupBy(*keys, "n").agg(F.sort_array(F.collect_list("s")).alias("s")).select(
+        *keys, "n", F.col("s.lo").alias("los"), F.col("s.hi").alias("his"))

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.roles import col
+from .levels import class_counts, pair_counts
 
 
 def _pairs(df, y, p):
@@ -72,7 +73,11 @@ def predictions_table(df: DataFrame, y: str, p: str, keep: list[str] | None = No
 
 # ---- classification ---------------------------------------------------------
 
-def class_levels(df: DataFrame, *cols: str, max_levels: int = 1000) -> list[str]:
+#: Classes above which a matrix with its empty cells is refused; :func:`pair_counts` has no limit.
+MOST_CLASSES = 1000
+
+
+def class_levels(df: DataFrame, *cols: str, max_levels: int = MOST_CLASSES) -> list[str]:
     vals = None
     for c in cols:
         v = df.select(col(c).cast("string").alias("v")).where("v IS NOT NULL").distinct()
@@ -99,26 +104,20 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str,
                            levels: list[str] | None = None) -> DataFrame:
     """C11: accuracy; binary precision/recall for the second level; multi-class
     macro means over classes where defined; F1 = 2PR/(P+R) from those values."""
-    levels = levels or class_levels(df, actual, predicted)
-    cm = confusion_matrix(df, actual, predicted, levels)
-    per = (cm.groupBy().agg(
-        F.sum("n").alias("total"),
-        F.sum(F.when(F.col("predicted") == F.col("actual"), F.col("n"))).alias("correct"))
-    )
-    cls = (cm.groupBy(F.col("actual").alias("cls")).agg(F.sum("n").alias("actual_n"))
-           .join(cm.groupBy(F.col("predicted").alias("cls")).agg(F.sum("n").alias("pred_n")), "cls")
-           .join(cm.where(F.col("predicted") == F.col("actual")).select(F.col("actual").alias("cls"),
-                                                                         F.col("n").alias("tp")), "cls"))
-    cls = cls.select("cls", F.try_divide(F.col("tp"), F.col("pred_n")).alias("precision"),
-                     F.try_divide(F.col("tp"), F.col("actual_n")).alias("recall"))
-    if len(levels) == 2:
-        pr = cls.where(F.col("cls") == levels[1]).select("precision", "recall")
-    else:
-        pr = cls.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"))
-    return (per.crossJoin(pr)  # one row x one row
-            .select((F.col("correct") / F.col("total")).alias("accuracy"), "precision", "recall",
-                    F.try_divide(2 * F.col("precision") * F.col("recall"),
-                                 F.col("precision") + F.col("recall")).alias("f1")))
+    pairs = pair_counts(df.where(col(actual).isNotNull() & col(predicted).isNotNull()), actual, predicted)
+    if levels:
+        pairs = pairs.where(F.col("predicted").isin(levels) & F.col("actual").isin(levels))
+    classes = class_counts(pairs).withColumns({"precision": F.try_divide("tp", "pred_n"), "recall": F.try_divide("tp", "actual_n")})
+    # one row: of two classes the second counts, of more all do
+    positive = F.max(F.struct("cls", "precision", "recall")) if not levels or len(levels) != 2 else \
+        F.max(F.when(F.col("cls") == levels[1], F.struct("cls", "precision", "recall")))
+    two = F.lit(len(levels) == 2) if levels else F.col("k") == 2
+    one = classes.agg(F.sum("tp").alias("correct"), F.sum("actual_n").alias("total"), F.count(F.lit(1)).alias("k"),
+                      positive.alias("second"), F.avg("precision").alias("mp"), F.avg("recall").alias("mr"))
+    out = one.select((F.col("correct") / F.col("total")).alias("accuracy"),
+                     F.when(two, F.col("second.precision")).otherwise(F.col("mp")).alias("precision"),
+                     F.when(two, F.col("second.recall")).otherwise(F.col("mr")).alias("recall"))
+    return out.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
 def _score_table(df: DataFrame, score: str, label: str, positive) -> DataFrame:

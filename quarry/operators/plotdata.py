@@ -13,10 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import quantiles
+from ..functions.hotjoin import broadcast_if_small
+from ..functions.quantiles import quantile_table, quantiles
 from ..functions.roles import FLOAT_TYPES, col, dtype_of, roles
 from ..functions.rowindex import with_row_index
 from ..functions.special import norm_ppf
+from ..session import cut_lineage
 from .profile import _prefix_sum
 
 #: Most Q-Q points that one row of counts is expanded to in a piece.
@@ -59,18 +61,12 @@ def bar_counts(df: DataFrame, c: str) -> DataFrame:
 
 def box_stats(df: DataFrame, y: str, by: str | None = None) -> DataFrame:
     """q1, median, q3, whiskers (extreme values within 1.5 IQR of the box), outlier count."""
-    qs = quantiles(df, [y], [0.25, 0.5, 0.75], by=by)
-    spark = df.sparkSession
-    if by is None:
-        rows = [("all", *qs[y])]
-    else:
-        rows = [(None if g is None else str(g), *v) for (c, g), v in qs.items()]
-    fences = spark.createDataFrame(rows, "grp string, q1 double, median double, q3 double")
     x = _num(df, y)
     g = col(by).cast("string") if by else F.lit("all")
     data = df.select(g.alias("grp"), x.alias("v")).where("v IS NOT NULL")
-    # one row per group: size bounded by the number of groups
-    j = data.join(F.broadcast(fences), data["grp"].eqNullSafe(fences["grp"])).drop(fences["grp"])
+    table = cut_lineage(quantile_table(data, ["v"], [0.25, 0.5, 0.75], by="grp"))
+    fences = table.select(F.col("g").alias("of"), *[F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3"))])
+    j = data.join(broadcast_if_small(fences, fences.count()), F.col("grp").eqNullSafe(F.col("of"))).drop("of")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     out = j.groupBy("grp", "q1", "median", "q3").agg(
@@ -87,8 +83,8 @@ def box_outliers(df: DataFrame, y: str, by: str | None = None, keep: list[str] |
     key = by or "group"
     g = col(by).cast("string") if by else F.lit("all")
     data = df.select(*[col(c) for c in (keep or [])], g.alias("__g"), _num(df, y).alias("value"))
-    f = st.select(F.col(key).alias("__g"), "q1", "q3")
-    j = data.join(F.broadcast(f), data["__g"].eqNullSafe(f["__g"])).drop(f["__g"])
+    f = cut_lineage(st.select(F.col(key).alias("__f"), "q1", "q3"))
+    j = data.join(broadcast_if_small(f, f.count()), F.col("__g").eqNullSafe(F.col("__f"))).drop("__f")
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return j.where((F.col("value") < lo) | (F.col("value") > hi)).drop("q1", "q3") \
@@ -106,29 +102,24 @@ def density(df: DataFrame, c: str, n: int = 512, grid_bins: int = 4096, by: str
     x = _num(df, c)
     keys = [col(by).cast("string").alias("grp")] if by else [F.lit("all").alias("grp")]
     base = df.select(*keys, x.alias("v")).where("v IS NOT NULL")
-    st = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("v").alias("sd"),
-                                 F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-    qs = quantiles(base, ["v"], [0.25, 0.75], by="grp")
-    spark = df.sparkSession
-    params = []
-    for r in st:
-        q1, q3 = qs.get(("v", r["grp"]), [None, None])
-        sd = r["sd"] or 0.0
-        iq = (q3 - q1) / 1.34 if q1 is not None else 0.0
-        lo_ = min(sd, iq) if min(sd, iq) > 0 else (sd if sd > 0 else (iq if iq > 0 else (abs(r["lo"]) or 1.0)))
-        bw = 0.9 * lo_ * r["n"] ** (-0.2)
-        a, b = r["lo"] - 3 * bw, r["hi"] + 3 * bw
-        params.append((r["grp"], float(bw), float(a), float(b), int(r["n"])))
-    pdf = spark.createDataFrame(params, "grp string, bw double, a double, b double, n long")
+    st = base.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("sd"),
+                                 F.min("v").alias("lo"), F.max("v").alias("hi"))
+    table = quantile_table(base, ["v"], [0.25, 0.75], by="grp").select(
+        F.col("g").alias("of"), ((F.col("q")[1] - F.col("q")[0]) / 1.34).alias("iq"))
+    least = F.least("sd", "iq")
+    spread = (F.when(least > 0, least).when(F.col("sd") > 0, F.col("sd")).when(F.col("iq") > 0, F.col("iq"))
+              .when(F.col("lo") != 0, F.abs("lo")).otherwise(F.lit(1.0)))
+    # a null group is a group
+    pdf = cut_lineage(st.join(table, F.col("grp").eqNullSafe(F.col("of"))).withColumn("bw", 0.9 * spread * F.pow("n", F.lit(-0.2)))
+                      .select("grp", "bw", (F.col("lo") - 3 * F.col("bw")).alias("a"), (F.col("hi") + 3 * F.col("bw")).alias("b"), "n"))
+    groups = pdf.count()
     fw = (F.col("b") - F.col("a")) / grid_bins
-    # a null group is a group; one row per group is broadcast
-    fine = (base.join(F.broadcast(pdf), base["grp"].eqNullSafe(pdf["grp"])).drop(pdf["grp"])
-            .groupBy("grp", F.floor((F.col("v") - F.col("a")) / fw).alias("k"))
-            .agg(F.count(F.lit(1)).alias("w"), F.avg("v").alias("m"))
-            .withColumnRenamed("grp", "of"))
-    pts = spark.range(n).select(F.col("id").cast("int").alias("i"))
+    fine = (base.withColumnRenamed("grp", "of").join(broadcast_if_small(pdf, groups), F.col("of").eqNullSafe(F.col("grp")))
+            .groupBy("of", F.floor((F.col("v") - F.col("a")) / fw).alias("k"))
+            .agg(F.count(F.lit(1)).alias("w"), F.avg("v").alias("m")))
     # evaluation points x occupied fine bins: bounded by n * grid_bins per group
-    ev = pts.crossJoin(F.broadcast(pdf)).withColumn("x", F.col("a") + F.col("i") * (F.col("b") - F.col("a")) / (n - 1))
+    ev = pdf.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
+        "x", F.col("a") + F.col("i") * (F.col("b") - F.col("a")) / (n - 1))
     z = (F.col("x") - F.col("m")) / F.col("bw")
     dens = (ev.join(fine, F.col("grp").eqNullSafe(F.col("of")))
             .groupBy("grp", "i", "x", "bw", "n")

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..operators import levels as LV
 from ..operators import metrics as M
 from ..operators import runs as R
 from ..operators import split as S
@@ -121,6 +122,25 @@ def c11_binary(spark, sf):
     return rounded(M.classification_metrics(bin_frame(spark, sf), "actual", "predicted"))
 
 
+# two thousand classes and more
+MANY_SQL = "(SELECT CAST(l_partkey AS VARCHAR) AS actual, CAST(l_partkey - l_orderkey % 2 AS VARCHAR) AS predicted FROM lineitem)"
+
+
+def many_frame(spark, sf):
+    return fx.t(spark, sf, "lineitem").select(F.col("l_partkey").cast("string").alias("actual"),
+                                              F.expr("CAST(l_partkey - l_orderkey % 2 AS STRING)").alias("predicted"))
+
+
+@register("c11_metrics_of_many_classes", _cls_metrics_sql(MANY_SQL))
+def c11_many(spark, sf):
+    return rounded(M.classification_metrics(many_frame(spark, sf), "actual", "predicted"))
+
+
+@register("c10_pair_counts_of_many_classes", f"SELECT predicted, actual, count(*) AS n FROM {MANY_SQL} AS s GROUP BY predicted, actual")
+def c10_many(spark, sf):
+    return LV.pair_counts(many_frame(spark, sf), "actual", "predicted")
+
+
 @register("c14_prediction_check", f"""
 SELECT o_orderkey, actual, predicted, actual = predicted AS correct FROM {CLS_SQL} AS s""")
 def c14_check(spark, sf):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning as C
 from ..operators import columns as K
+from ..operators import levels as LV
 from ..operators import outliers as O
 from ..operators import transform as X
 from . import fixtures as fx
@@ -98,6 +99,30 @@ def p11_factor(spark, sf):
     return K.apply_factor(o, "prio", levels, code_col="prio_code")
 
 
+# as many levels as there are parts
+_PART_CODES = """SELECT l_orderkey, l_linenumber, l_returnflag, CAST(l_partkey AS VARCHAR) AS part,
+  dense_rank() OVER (ORDER BY CAST(l_partkey AS VARCHAR)) AS code, dense_rank() OVER (ORDER BY l_returnflag) AS flag FROM lineitem"""
+
+
+def _parts(spark, sf):
+    return fx.t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_partkey").cast("string").alias("part"))
+
+
+@register("p11_codes_of_many_levels", f"SELECT l_orderkey, l_linenumber, part, code AS part_code FROM ({_PART_CODES}) AS c")
+def p11_many(spark, sf):
+    df = _parts(spark, sf).drop("l_returnflag")
+    return LV.coded(df, "part", LV.level_table(df, "part"), "part_code")
+
+
+@register("t13_sparse_one_hot_of_many_levels", f"""
+SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN code > 1 THEN CAST(code - 1 AS VARCHAR) END,
+  CASE WHEN flag > 1 THEN CAST(flag - 1 + (SELECT max(code) - 1 FROM ({_PART_CODES}) AS m) AS VARCHAR) END) AS ones
+FROM ({_PART_CODES}) AS c""")
+def t13_many(spark, sf):
+    rows, _ = LV.sparse_one_hot(_parts(spark, sf), ["part", "l_returnflag"])
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(F.col("ones").cast("array<string>"), ",").alias("ones"))
+
+
 def _impute_sql(fill_price: str, fill_mostly: str, fill_status: str | None = None) -> str:
     status = f"coalesce(status_na, {fill_status})" if fill_status else "status_na"
     return rsql(f"""

@@ -19,12 +19,12 @@ def _type7(xs, p):
     return xs[lo] + (h - lo) * (xs[hi] - xs[lo])
 
 
-@pytest.mark.parametrize("mode", ["map", "refine"])
+@pytest.mark.parametrize("mode", ["whole", "sketched", "narrowed"])
 def test_quantiles_match_type7(spark, mode):
     rnd = random.Random(3)
     vals = [rnd.gauss(0, 1) for _ in range(3000)] + [5.0] * 1000   # a hot value
     df = spark.createDataFrame([(v, float(i % 7)) for i, v in enumerate(vals)], "x double, z double")
-    kw = dict(map_distinct_limit=0, collect_limit=20, bins=8) if mode == "refine" else {}
+    kw = {"whole": {}, "sketched": {"accuracy": 200}, "narrowed": {"accuracy": 200, "fetch": 10}}[mode]
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
     got = quantiles(df, ["x", "z"], probs, **kw)
     for c, data in (("x", vals), ("z", [float(i % 7) for i in range(len(vals))])):
@@ -35,7 +35,7 @@ def test_quantiles_match_type7(spark, mode):
 def test_grouped_quantiles(spark):
     rows = [(float(i), "a" if i % 2 else "b") for i in range(101)]
     df = spark.createDataFrame(rows, "x double, g string")
-    got = quantiles(df, ["x"], [0.5], by="g", map_distinct_limit=0, collect_limit=5, bins=4)
+    got = quantiles(df, ["x"], [0.5], by="g", accuracy=10, fetch=5)
     assert got[("x", "a")][0] == _type7([r[0] for r in rows if r[1] == "a"], 0.5)
     assert got[("x", "b")][0] == _type7([r[0] for r in rows if r[1] == "b"], 0.5)
 
