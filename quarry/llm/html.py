@@ -11,22 +11,24 @@ look at neighbours inside the article alone.
 Character references are decoded, white space inside a block becomes one
 space, and the kept blocks are joined by a line break in page order.
 Null or empty html and pages without main text give the empty string.
-Pages of any length are read whole; broken or cut markup is read as far as
-it goes.  Repeated rows are extracted alike.
+Pages of any length are read whole, in time that follows their length; broken or cut markup is read as far as
+it goes, and an element that is never closed hides nothing after it (script, style, title and textarea apart).
+Repeated rows are extracted alike, equal neighbours stay, an empty table stays empty, and other columns are carried along.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import text_or_empty
+from .tables import text_or_empty, texts_of
 
 #: Names of HTML elements and of common classes.
 BLOCK_TAGS = frozenset("""address article aside blockquote body button caption center dd details dialog dir div dl dt
@@ -88,7 +90,7 @@ class _Open:
     hidden: bool
     article: int
     content: bool
-    parts: list[str] = field(default_factory=list)
+    heading: bool = False  # itself or an element around it
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -108,6 +110,9 @@ def blocks(html: str) -> list[Block]:
     """The text blocks of a page, in order, blanks normalised, empty ones left out."""
     out: list[Block] = []
     stack = [_Open("", False, 0, False)]
+    opened: Counter[str] = Counter()  # names on the stack
+    unclosed: set[str] = set()  # names that no end tag closes from here on
+    ends: dict[str, dict[int, int]] = {}
     parts: list[tuple[str, bool]] = []
     articles, link_depth, at = 0, 0, 0
 
@@ -118,10 +123,14 @@ def blocks(html: str) -> list[Block]:
         if text:
             top = stack[-1]
             linked = sum(len("".join(unescape(p).split())) for p, in_link in parts if in_link)
-            out.append(Block(text, top.hidden, top.article, top.content,
-                             any(o.name in HEADINGS for o in stack), linked))
+            out.append(Block(text, top.hidden, top.article, top.content, top.heading, linked))
         parts.clear()
 
+    def cut(depth: int) -> None:
+        for gone in stack[depth:]:
+            opened[gone.name] -= 1
+        del stack[depth:]
+
     while True:
         found = _MARKUP.search(html, at)
         end = found.start() if found else len(html)
@@ -140,18 +149,22 @@ def blocks(html: str) -> list[Block]:
                 link_depth = 0
             elif name in BLOCK_TAGS:
                 flush()
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].name == name:
-                        del stack[depth:]
-                        break
+                if opened[name]:
+                    cut(next(d for d in range(len(stack) - 1, 0, -1) if stack[d].name == name))
                 link_depth = min(link_depth, len(stack))
             continue
         if name in SKIPPED_TAGS:
             if name == "title":
                 flush()
-            over = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.IGNORECASE).search(html, at)
-            if not found["attrs"].rstrip().endswith("/") or name in ("script", "style", "title", "textarea"):
-                at = over.end() if over else len(html)
+            raw = name in ("script", "style", "title", "textarea")
+            if (raw or not found["attrs"].rstrip().endswith("/")) and name not in unclosed:
+                over = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.IGNORECASE).search(html, at)
+                if over:
+                    at = over.end()
+                elif raw:
+                    at = len(html)
+                else:
+                    unclosed.add(name)
             continue
         if name == "a":
             link_depth = len(stack)
@@ -174,23 +187,26 @@ def blocks(html: str) -> list[Block]:
                  or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", own.get("style", ""), re.I) is not None)
         if name not in BLOCK_TAGS:
             if hides and not attrs.rstrip().endswith("/"):  # an inline element that markup hides
-                at = _after_inline(html, at, name)
+                if name not in ends:
+                    ends[name] = _matching_ends(html, name)
+                at = ends[name].get(at, at)
             continue
         flush()
-        if name in CLOSES:
+        if any(opened[other] for other in CLOSES.get(name, ())):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name in CLOSES[name]:
-                    del stack[depth:]
+                    cut(depth)
                     break
                 if stack[depth].name in ("ul", "ol", "dl", "table", "select"):
                     break
         while stack[-1].name == "p" or (stack[-1].name in HEADINGS and name in HEADINGS):
-            stack.pop()  # a paragraph ends where the next block starts
+            cut(len(stack) - 1)  # a paragraph ends where the next block starts
         top = stack[-1]
         if name == "header" and not top.article and not top.content:
             hides = True
-        if name == "body" and "body" not in (o.name for o in stack):
+        if name == "body" and not opened["body"]:
             stack[1:] = [o for o in stack[1:] if o.name == "html"]
+            opened = Counter(o.name for o in stack[1:])
             top = stack[-1]
             hides = False
         article = top.article
@@ -198,19 +214,23 @@ def blocks(html: str) -> list[Block]:
             articles += 1
             article = articles
         stack.append(_Open(name, top.hidden or hides, article,
-                           top.content or (not hides and not names.isdisjoint(CONTENT_NAMES))))
+                           top.content or (not hides and not names.isdisjoint(CONTENT_NAMES)),
+                           top.heading or name in HEADINGS))
+        opened[name] += 1
     flush()
     return out
 
 
-def _after_inline(html: str, at: int, name: str) -> int:
-    """Place behind the end tag that matches an inline element opened before ``at``."""
-    depth = 1
-    for tag in re.compile(rf"<(/?){re.escape(name)}\b[^>]*+>", re.IGNORECASE).finditer(html, at):
-        depth += -1 if tag[1] else 1
-        if not depth:
-            return tag.end()
-    return at
+def _matching_ends(html: str, name: str) -> dict[int, int]:
+    """For each start tag of an element, by the place behind it, the place behind the end tag that matches it."""
+    out: dict[int, int] = {}
+    waiting: list[int] = []
+    for tag in re.compile(rf"<(/?){re.escape(name)}\b[^>]*+>", re.IGNORECASE).finditer(html):
+        if not tag[1]:
+            waiting.append(tag.end())
+        elif waiting:
+            out[waiting.pop()] = tag.end()
+    return out
 
 
 def _decide(block: Block, inside: bool) -> bool | None:
@@ -287,7 +307,7 @@ def main_text_column(html: str | Column) -> Column:
     @F.arrow_udf("string")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for pages in batches:
-            yield pa.array([main_text(p) for p in pages.to_pylist()], pa.string())
+            yield pa.array([main_text(p) for p in texts_of(pages)], pa.string())
 
     return extract(text_or_empty(html))
 

@@ -1,7 +1,7 @@
 """Chat formatting, mixing and HTML extraction against plain Python."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +142,41 @@ def test_broken_markup_never_fails():
         html.main_text(page)
 
 
+def test_elements_that_are_never_closed_hide_nothing():
+    text = "The cat is on the mat and it was there for all of the day"
+    for tag in ("svg", "object", "audio", "noscript", "iframe", "canvas", 'span hidden', 'b class="ad"'):
+        assert html.main_text(f"<article><p>{text}.</p><{tag}><p>{text}!</p></article>") == f"{text}.\n{text}!"
+    assert html.main_text(f"<article><p>{text}.</p><script>x<p>{text}!</p></article>") == f"{text}."
+    assert html.main_text(f"<article><p>{text}. <span hidden>no <span>x</span></span>Yes</p></article>") == f"{text}. Yes"
+
+
+@pytest.mark.parametrize("piece", ['<span class="ad">x', "<svg>y", "<div>z", "</section><div>", "<li>q", "<h2><div>t", "<body>u"])
+def test_time_follows_the_length_of_a_page(piece):
+    import time
+
+    def once(page):
+        start = time.process_time()
+        html.main_text(page)
+        return time.process_time() - start
+
+    def took(n):
+        return min(once("<article>" + piece * n) for _ in range(3))
+
+    assert took(16_000) < 8 * max(took(4_000), 0.02)  # four times the length; the square would be sixteen
+
+
+def test_rules_find_the_article_without_its_tag(spark):
+    """The same pages with article and main turned into div: blocks kept alike."""
+    import re
+
+    kept = found = both = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        want = html.main_text(r["html"]).split("\n")
+        got = html.main_text(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r["html"])).split("\n")
+        kept, found, both = kept + len(got), found + len(want), both + sum((Counter(want) & Counter(got)).values())
+    assert both >= 0.99 * kept and both >= 0.99 * found
+
+
 def test_given_pages(spark):
     import re
     from html import unescape
