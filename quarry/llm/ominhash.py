@@ -13,7 +13,7 @@ about, and then less.  The band is as wide as such a similarity can need.
 
 Equal word sequences are one node from the start.  Within a bucket no pairs are
 listed: members are compared with a leader, and after that only with further
-leaders (2, 8, 32, ... by rank) of buckets that still hold documents of
+leaders (4, 64, 1024, ... by rank) of buckets that still hold documents of
 different classes, until every bucket is of one class or every member was a
 leader (:func:`_settled`).  A pair is passed over if too many items of either occur in no other
 document still looked at, or if their distances to a third document keep them apart.  The classes are thus those of all pairs that share a
@@ -47,7 +47,7 @@ K, SIMILARITY = 5, 0.8
 #: Items of one value, values of a band key, band keys.
 L, ROWS, BANDS = 2, 3, 36
 #: Leaders of a bucket after the first, and times as many in each further round.
-FIRST_LEADERS, MORE_LEADERS = 2, 4
+FIRST_LEADERS, MORE_LEADERS = 4, 16
 #: Documents whose distances one document remembers.
 PIVOTS = 8
 #: Words whose hash one worker remembers.
@@ -304,16 +304,17 @@ def _settled(members: DataFrame, texts: DataFrame, classes: DataFrame, tested: D
 
     A pair is looked at in the first bucket it shares, while its classes still differ, and only if
     nothing known keeps it apart: aligned distance (1 - matches / union) is a metric, so two documents whose distances to
-    a third differ by more than the limit cannot link.  Each document remembers a few such thirds (:data:`PIVOTS`).
+    a third differ by more than the limit cannot link.  Each document remembers the leaders of the first
+    round that it was tested against, :data:`PIVOTS` at most.
     """
     low, high = 0, FIRST_LEADERS
-    pivots = _pivots(tested)
+    members = members.join(_pivots(tested), "node", "left").withColumn("pivots", F.coalesce("pivots", F.array()))
     while True:
-        placed = _mixed_buckets(members, classes, low)
-        placed = written(placed.join(pivots, "node", "left").withColumn("pivots", F.coalesce("pivots", F.array())))
+        placed = written(_mixed_buckets(members, classes, low))
         if placed.isEmpty():
             return classes
-        ranked = written(placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))))
+        members = placed.drop("class")
+        ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
         leaders = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
             "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("can").alias("may"), F.col("class").alias("of"),
             F.col("earlier").alias("before"), F.col("pivots").alias("known"), F.col("rank").alias("lead"))
@@ -324,9 +325,7 @@ def _settled(members: DataFrame, texts: DataFrame, classes: DataFrame, tested: D
         now = _tested(pairs, texts)
         if not now.where("linked").isEmpty():
             classes = _joined(classes, now.where("linked"))
-        tested = written(tested.unionByName(now))
-        if low == 0:  # few leaders: few thirds
-            pivots = _pivots(tested)
+        tested = tested.unionByName(now)
         low, high = high, MORE_LEADERS * high
 
 
