@@ -218,10 +218,11 @@ def skewed_columns(df: DataFrame, cols: list[str] | None = None, threshold: floa
 def zero_variance_columns(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Numeric columns whose sample variance is exactly 0."""
     num = cols if cols is not None else roles(df)[0]
-    structs = [F.struct(F.lit(c).alias("variable"), F.var_samp(_clean(df, c)).alias("variance"))
-               for c in num]
+    # by the values: merged partial variances of equal values need not be 0 to the last bit
+    structs = [F.struct(F.lit(c).alias("variable"), F.min(_clean(df, c)).alias("lo"), F.max(_clean(df, c)).alias("hi"),
+                        F.count(_clean(df, c)).alias("n")) for c in num]
     return (df.agg(F.array(*structs).alias("a")).select(F.inline("a"))
-            .where(F.col("variance") == 0).select("variable"))
+            .where((F.col("lo") == F.col("hi")) & (F.col("n") > 1)).select("variable"))
 
 
 def outlier_share(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
