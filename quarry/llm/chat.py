@@ -13,7 +13,7 @@ Turns are ordered by turn number (null first), then role, then text, so
 ties and repeated rows have one order; every row is a turn.  Null roles and
 texts are empty; rows with a null conversation id form one conversation.
 A conversation that the machine rejects is formatted like any other and
-has ``valid`` false.  Other columns are not looked at.  One conversation is
+has ``valid`` false.  Other columns are not looked at, and an empty table has no conversations.  One conversation is
 one output text, so it is built by one task whatever its length.
 """
 

@@ -13,7 +13,8 @@ are read whole, as UTF-8 bytes.
 
 :func:`chained` compares every document with its successor by id (ties: by
 text; null ids first) and with an edited text made of both.  Ids are taken
-for a key: the rows of one id are held by one task.
+for a key: the rows of one id are held by one task.  An empty table gives no
+rows; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
