@@ -33,6 +33,9 @@ from ..functions.roles import col, roles
 from .cleaning import drop_incomplete
 from .transform import apply_scale, fit_scale
 
+#: Rows that a task of a pass over vectors reads at most.
+ROWS_OF_TASK = 500_000
+
 
 def prepare(df: DataFrame, features: list[str], scale: str = "none") -> DataFrame:
     """K1: chosen features, complete rows, optional z-score / min-max of numeric ones."""
@@ -351,7 +354,11 @@ def hierarchical(df: DataFrame, features: list[str] | None = None, k: int = 3, m
     feats = features or roles(df)[0]
     n_rows = df.count()
     m = min(micro, n_rows)
-    km = KMeans(k=m, maxIter=20, seed=seed, initMode="k-means||").fit(_vec(df, feats))
+    v = _vec(df, feats)
+    tasks = math.ceil(n_rows / ROWS_OF_TASK)
+    if v.rdd.getNumPartitions() < tasks:
+        v = v.repartition(tasks)
+    km = KMeans(k=m, maxIter=20, seed=seed, initMode="k-means||").fit(v)
     centers = np.array([c.tolist() for c in km.clusterCenters()])
     sizes = km.summary.clusterSizes
     keep = [i for i, s in enumerate(sizes) if s > 0]
