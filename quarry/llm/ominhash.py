@@ -16,7 +16,8 @@ listed: members are compared with a leader, and after that only with further
 leaders (4, 64, 1024, ... by rank) of buckets that still hold documents of
 different classes, until every bucket is of one class or every member was a
 leader (:func:`_settled`).  A pair is passed over if too many items of either occur in no other
-document still looked at, or if their distances to a third document keep them apart.  The classes are thus those of all pairs that share a
+document still looked at, if the parities of their items differ in too many cells (:func:`parities`), or if their distances to
+a third document keep them apart; none of these passes over a link.  The classes are thus those of all pairs that share a
 band key; a pair at similarity 0.8 shares none with a chance under 1 in 10,000.
 
 Tables made once are checkpoints; those of the rounds are written tables, whose
@@ -33,6 +34,8 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +53,8 @@ L, ROWS, BANDS = 2, 3, 36
 FIRST_LEADERS, MORE_LEADERS = 4, 16
 #: Documents whose distances one document remembers.
 PIVOTS = 8
+#: Cells of a document's parities, in words of 64.
+CELL_WORDS = 32
 #: Words whose hash one worker remembers.
 REMEMBERED = 120_000
 #: Elements of the hash matrix that are made at once.
@@ -131,6 +136,15 @@ def band_keys(found: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether each cell holds an odd number of the items, as bits (int64).
+
+    Two documents differ in at least as many items as cells: common items fall into the same cell of both.
+    """
+    cells = np.bincount((found % np.uint64(64 * CELL_WORDS)).astype(np.int64), minlength=64 * CELL_WORDS)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64)
+
+
 def alignment(x: np.ndarray, y: np.ndarray, least: float = SIMILARITY) -> float:
     """Matches of the best in-order alignment within the band, over the union; too small, maybe, under ``least``."""
     return bounds(x, y, least)[0]
@@ -202,6 +216,17 @@ def items_column(text: str | Column) -> Column:
     return listed(text_or_empty(text))
 
 
+def parities_column(text: str | Column) -> Column:
+    """:func:`parities` of the items of a text (``array<long>``)."""
+
+    @F.arrow_udf("array<long>")
+    def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([parities(items(words_of(t))) for t in texts_of(texts)], pa.list_(pa.int64()))
+
+    return listed(text_or_empty(text))
+
+
 def similarity_column(a: Column, b: Column) -> Column:
     """:func:`bounds` of the similarity of two texts: ``aligned``, ``overlap``."""
 
@@ -317,6 +342,7 @@ def _settled(members: DataFrame, texts: DataFrame, classes: DataFrame, tested: D
         ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("node")))
         leaders = ranked.where((F.col("rank") > low) & (F.col("rank") <= high)).select(
             "bucket", F.col("node").alias("a"), F.col("n").alias("m"), F.col("can").alias("may"), F.col("class").alias("of"),
+            F.col("odd").alias("even"),
             F.col("earlier").alias("before"), F.col("pivots").alias("known"), F.col("rank").alias("lead"))
         met = ranked.join(leaders, "bucket").where(
             (F.col("rank") > F.col("lead")) & (F.col("class") != F.col("of")) & _possible()
@@ -347,8 +373,13 @@ def _kept_apart() -> Column:
 
 def _possible() -> Column:
     """Whether two documents have enough items that can match."""
-    most = F.least("can", "may")
-    return most >= SIMILARITY * (F.col("n") + F.col("m") - most)
+    both = F.col("n") + F.col("m")
+    differ = reduce(add, [F.bit_count(F.col("odd")[k].bitwiseXOR(F.col("even")[k])) for k in range(CELL_WORDS)])
+
+    def enough(most: Column) -> Column:
+        return most >= SIMILARITY * (both - most)
+
+    return enough(F.least("can", "may")) & enough(F.shiftright(both - differ, 1))
 
 
 def _mixed_buckets(members: DataFrame, classes: DataFrame, low: int) -> DataFrame:
@@ -360,8 +391,8 @@ def _mixed_buckets(members: DataFrame, classes: DataFrame, low: int) -> DataFram
 
 
 def _matchable(members: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``bucket, node, n, can, earlier``: members with the most items that can match any other
-    member, and the buckets of the document before this one (a pair is looked at in the first it shares).
+    """``bucket, node, n, can, odd, earlier``: members with the most items that can match any other
+    member, their parities, and the buckets of the document before this one (a pair is looked at in the first it shares).
 
     Items that no other document here has match nothing.  A document in which less
     than the similarity can match has no link to look for and is left out.
@@ -374,9 +405,12 @@ def _matchable(members: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFr
               .groupBy("node").agg(F.count("*").cast("int").alias("alone")))
     able = (left.join(single, "node", "left").select("node", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("can"))
             .where(F.col("can") >= SIMILARITY * F.col("n")))
-    able = able.join(nodes.select("node", "buckets"), "node")
+    able = written(able.join(nodes.select("node", "buckets"), "node"))
+    odd = (texts.join(broadcast_if_small(able.select("node"), able.count()), "node", "left_semi")
+           .select("node", parities_column("text").alias("odd")))
+    able = able.join(odd, "node")
     earlier = F.slice("buckets", F.lit(1), (F.array_position("buckets", F.col("bucket")) - 1).cast("int"))
-    return written(members.join(able, "node").select("bucket", "node", "n", "can", earlier.alias("earlier")))
+    return written(members.join(able, "node").select("bucket", "node", "n", "can", "odd", earlier.alias("earlier")))
 
 
 def _joined(classes: DataFrame, links: DataFrame) -> DataFrame:

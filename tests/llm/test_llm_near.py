@@ -202,3 +202,29 @@ def test_many_equal_vectors(spark):
     assert by[0] == [1, 2, 3, 4, 5]
     assert by[250] == [0, 1, 2, 3, 4]
     assert set(by) == {0, 50, 100, 150, 200, 250, 1_000}
+
+
+def test_parities_never_say_too_much():
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    for _ in range(200):
+        x, y = (ominhash.items(edited(words[:rng.randrange(1, 400)], rng.choice((0, 0.02, 0.2)), rng)) for _ in range(2))
+        differ = int(np.bitwise_count((ominhash.parities(x) ^ ominhash.parities(y)).view(np.uint64)).sum())
+        assert differ <= len(set(x.tolist()) ^ set(y.tolist()))
+    assert not ominhash.parities(ominhash.items([])).any()
+
+
+def test_copies_too_far_from_each_other_are_not_compared(spark, monkeypatch):
+    """Copies of one text, pairwise under the limit: without their parities nearly all pairs were compared."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(60):
+        words = list(base)
+        for at in rng.sample(range(0, 200, 8), 4):
+            words[at] = f"new{k}_{at}"
+        rows.append((k, " ".join(words)))
+    asked, tested = [], ominhash._tested
+    monkeypatch.setattr(ominhash, "_tested", lambda pairs, texts: asked.append(pairs.count()) or tested(pairs, texts))
+    assert classes(spark, rows) == brute_classes(rows)
+    assert sum(asked) <= 4 * len(rows)
