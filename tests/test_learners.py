@@ -52,3 +52,18 @@ def test_automl_reports_and_skips_a_failing_learner(spark):
     assert "nope" in res.errors
     assert {r.algorithm for r in res.ranking.collect()} == {"glm", "tree"}
     assert res.best in ("glm", "tree") and res.run_id.startswith(res.best + "_")
+
+
+def test_boosting_passes_over_few_parts(spark, split, monkeypatch):
+    """A pass starts a task for each part, so parts of few rows made the passes slow."""
+    many = split[0].repartition(60)
+    parts, fit = [], LR.GBTRegressor.fit
+    monkeypatch.setattr(LR.GBTRegressor, "fit", lambda self, rows: parts.append((rows.rdd.getNumPartitions(), rows.count())) or fit(self, rows))
+    t = LR.train(many, "y", FEATS, "gbm", task="regression", params={"trees": 3})
+    assert parts == [(spark.sparkContext.defaultParallelism, many.count())]
+    monkeypatch.setattr(LR, "PASS_ROWS", 500)
+    more = LR.train(many, "y", FEATS, "gbm", task="regression", params={"trees": 3})
+    assert parts[1] == (-(-many.count() // 500), many.count())
+    apart = t.predict(split[1], keep=["event_id"]).join(
+        more.predict(split[1], keep=["event_id"]).withColumnRenamed("prediction", "other"), "event_id")
+    assert apart.where(F.abs(F.col("prediction") - F.col("other")) > 1e-6).isEmpty()
