@@ -69,3 +69,68 @@ def test_words_of_a_hash_class_are_told_apart(spark):
 
 def test_at_least_the_earlier_sizes():
     assert pseudolm.FREQUENT >= 192 and pseudolm.OTHERS >= 64 and pseudolm.WIDTH >= 16
+
+
+def test_a_step_on_a_stream_is_the_step_by_its_formula():
+    rng, w = np.random.default_rng(2), pseudolm.WINDOW
+    texts = [rng.integers(0, pseudolm.CLASSES, n).astype(np.int32) for n in (7, 1, 30)]
+    net, plain = pseudolm.start(), {k: v.astype(np.float64) for k, v in pseudolm.start().items()}
+    seen = {k: np.full(v.shape, 1e-6, np.float32) for k, v in net.items()}
+    pseudolm.learn(net, seen, pseudolm.stream(texts))
+    slopes, total = {k: np.zeros(v.shape) for k, v in plain.items()}, sum(map(len, texts))
+    for tokens in texts:
+        for i, token in enumerate(tokens):
+            near = [tokens[i + k] if 0 <= i + k < len(tokens) else pseudolm.CLASSES for k in (-2, -1, 1, 2)]
+            h = np.tanh(sum(plain["embed"][c] * plain["place"][k] for k, c in enumerate(near)) + plain["bias"])
+            err = np.exp(plain["out"] @ h + plain["prior"])
+            err /= err.sum()
+            err[token] -= 1
+            err /= total
+            back = (err @ plain["out"]) * (1 - h**2)
+            for k, c in enumerate(near):
+                slopes["embed"][c] += back * plain["place"][k]
+                slopes["place"][k] += back * plain["embed"][c]
+            for name, slope in (("bias", back), ("out", np.outer(err, h)), ("prior", err)):
+                slopes[name] += slope
+    for name, slope in slopes.items():
+        step = pseudolm.STEP * slope / np.sqrt(1e-6 + slope**2)
+        assert np.abs(net[name] - (plain[name] - step)).max() < 1e-5, name
+    assert list(pseudolm.stream(texts[1:2])) == [pseudolm.CLASSES] * w + list(texts[1]) + [pseudolm.CLASSES] * w
+
+
+def test_logits_beyond_the_range_of_exponentials():
+    net = pseudolm.start()
+    net["prior"][:2] = 2_000, -2_000
+    got = pseudolm.log_likelihood(net, np.array([0, 1], dtype=np.int32))
+    assert abs(got + 4_000) < 10
+    seen = {k: np.full(v.shape, 1e-6, np.float32) for k, v in net.items()}
+    pseudolm.learn(net, seen, pseudolm.stream([np.array([0, 1], dtype=np.int32)]))
+    assert all(np.isfinite(v).all() for v in net.values())
+
+
+def test_a_block_names_every_word_once():
+    known = pseudolm._Numbered({"the": 0})
+    texts = ["the cat cat", "", "the", "dog the cat"]
+    numbers = [np.array([known[w] for w in t.split()], np.int32) for t in texts]
+    words, first, offsets = (x.to_pylist() for x in pseudolm.said_words(known, [5, 6, 8, 9], numbers))
+    assert first == [5, 5]
+    assert dict(zip(words, offsets, strict=True)) == {"cat": [0, 0, 4], "dog": [4]}
+    assert len(pseudolm.said_words(known, [5], numbers[2:3])[0]) == 0
+
+
+def test_blocks_of_any_size_give_the_same_scores(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{j % (7 + i)} all" for j in range(40 * i))) for i in range(12)] + [(None, None), (3, "w1"), (3, "w1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    words = pseudolm.vocabulary(docs)
+    frequent = [w for w, _ in pseudolm.frequent_words(docs, words=words)][:3]
+    net = pseudolm.fit(docs, frequent)
+
+    def scores():
+        got = pseudolm.score_documents(docs, frequent, net, vocabulary=words).collect()
+        return sorted((r["doc_id"] or -1, r["n_tokens"], round(r["log_likelihood"], 6)) for r in got)
+
+    whole = scores()
+    monkeypatch.setattr(pseudolm, "BLOCK", 50)
+    assert scores() == whole and len(whole) == len(rows)
+    monkeypatch.setattr(pseudolm, "REMEMBERED", 1)
+    assert scores() == whole
