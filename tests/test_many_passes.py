@@ -33,3 +33,39 @@ def test_kernel_features_keep_their_rows(spark):
     assert sorted(r.id for r in rows) == list(range(200))
     for r in rows:
         np.testing.assert_allclose(r.z, km.transform(np.array([[r.id / 10, r.id % 3]]))[0], atol=1e-12)
+
+
+def test_a_pass_tells_all_splits_that_the_bins_of_one_feature_allow(spark, monkeypatch):
+    """Splits near the ends of a node made as many passes over all rows as the chain of nodes was deep."""
+    from quarry.operators import trees as TR
+    passes, count = [], TR._count
+    monkeypatch.setattr(TR, "_count", lambda *a: passes.append(len(a[2])) or count(*a))
+    # a third of the values is in one bin of the table
+    x = F.when(F.col("id") % 3 == 0, 500 + F.col("id") / 1e6).otherwise(F.col("id") % 1000).cast("double")
+    df = spark.range(6000).repartition(4).select("id", x.alias("x"), (F.xxhash64("id") % 100).cast("double").alias("y"))
+    t = LR.train(df, "y", ["x"], "rf", task="regression", params={"trees": 2, "mtry": 1, "bootstrap": False, "min_split": 2, "local_rows": 50})
+    assert len(passes) <= 5
+    got = t.predict(df, keep=["id", "x", "y"]).groupBy("x").agg(F.avg("y").alias("mean"), F.min("prediction").alias("a"), F.max("prediction").alias("b"))
+    assert got.where((F.abs(F.col("mean") - F.col("a")) > 1e-9) | (F.abs(F.col("mean") - F.col("b")) > 1e-9)).count() == 0
+
+
+def test_depth_and_rows_of_a_side_hold_within_a_pass(spark):
+    df = spark.range(3000).repartition(3).select(F.col("id").cast("double").alias("x"), (F.col("id") % 97).cast("double").alias("y"))
+    for local in (40, 65_536):
+        m = LR.train(df, "y", ["x"], "rf", task="regression", params={"trees": 1, "mtry": 1, "bootstrap": False, "max_depth": 3, "local_rows": local}).model
+        assert len(m.tops[0].feature) <= 15
+
+
+def test_a_tree_of_one_number_is_the_tree_with_a_constant_beside_it():
+    import numpy as np
+
+    from quarry.operators import trees as TR
+    g = np.random.default_rng(3)
+    for classes, limits in ((0, TR.Limits(None, 2)), (3, TR.Limits(None, 2)), (0, TR.Limits(4, 20, 7)), (2, TR.Limits(5, 20, 7))):
+        x, w = np.round(g.normal(size=800), 2), g.integers(0, 3, 800).astype(float)
+        y = g.integers(0, classes, 800).astype(float) if classes else g.normal(size=800)
+        a = TR.grow_local(x[:, None], y, w, TR.Shape((0,), classes), limits, 1, 1)
+        b = TR.grow_local(np.column_stack([x, np.zeros(800)]), y, w, TR.Shape((0, 0), classes), limits, 2, 1)
+        for name in ("feature", "left", "right", "larger_left", "cut"):
+            np.testing.assert_array_equal(getattr(a, name), getattr(b, name))
+        np.testing.assert_allclose(a.stats, b.stats, atol=1e-9)
