@@ -69,3 +69,55 @@ def test_a_tree_of_one_number_is_the_tree_with_a_constant_beside_it():
         for name in ("feature", "left", "right", "larger_left", "cut"):
             np.testing.assert_array_equal(getattr(a, name), getattr(b, name))
         np.testing.assert_allclose(a.stats, b.stats, atol=1e-9)
+
+
+def test_small_tables_are_boosted_in_one_piece(spark, monkeypatch):
+    """Hundreds of passes of a job each cost more than a task that holds a bounded number of values."""
+    import numpy as np
+
+    from quarry.operators import boosting as BO
+    from quarry.operators import trees as TR
+    monkeypatch.setattr(TR, "LOCAL_ROWS", 10)
+    cuts, cut = [], BO.cut_lineage
+    monkeypatch.setattr(BO, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    df = _three_classes(spark)
+    whole = LR.train(df, "c", ["a", "b"], "gbm", task="classification", params={"trees": 12}).model
+    assert len(cuts) == 1
+    blocks = LR.train(df, "c", ["a", "b"], "gbm", task="classification", params={"trees": 12, "local_rows": 10}).model
+    assert len(cuts) > 3
+    np.testing.assert_allclose(whole.deviances, blocks.deviances)
+    np.testing.assert_allclose(whole.gains, blocks.gains, atol=1e-9)
+    monkeypatch.setattr(BO, "LOCAL_VALUES", 100)
+    assert BO.local_rows(whole.shape) == 16
+
+
+def test_network_sums_of_few_parts_take_one_stage(spark, monkeypatch):
+    import numpy as np
+
+    from quarry.operators import gradient as GD
+    from quarry.operators import network as NN
+    g = np.random.default_rng(5)
+    v = g.normal(size=(90, 3))
+    blocks = GD.design_arrays(spark.createDataFrame(v.tolist(), "a double, b double, y double").repartition(4), ["a", "b"], "y")
+    shape, points = NN.Shape(2, 2, 0), [g.normal(size=9), g.normal(size=9)]
+    monkeypatch.setattr(NN, "FEW_PARTS", 0, raising=False)
+    summed = NN.summed(blocks, shape, points)
+    monkeypatch.setattr(NN, "FEW_PARTS", 64, raising=False)
+    monkeypatch.setattr(NN.F, "posexplode", None)
+    for (loss, gradient), (other, other_gradient), w in zip(NN.summed(blocks, shape, points), summed, points, strict=True):
+        want = shape.loss(w, v[:, :2], v[:, 2])
+        np.testing.assert_allclose([loss, other], want[0])
+        np.testing.assert_allclose([gradient, other_gradient], [want[1], want[1]])
+
+
+def test_radial_map_is_the_cosine():
+    import math
+
+    import numpy as np
+
+    from quarry.operators import gradient as GD
+    km = GD.make_kernel("radial", [1.0, -2.0], [0.5, 3.0], 2, n_features=7, seed=2)
+    x = np.random.default_rng(1).normal(size=(1000, 2)) * [40, 5]
+    want = math.sqrt(2 / 7) * np.cos((x - km.mean) / km.sd @ km.W + km.b)
+    np.testing.assert_allclose(km.transform(x), want, atol=1e-12)
+    assert km.transform(x[:0]).shape == (0, 7)
